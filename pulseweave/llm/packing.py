@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -98,7 +99,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", te
         encode = encoder(tokenizer_path).encode
         for batch in batches:
             keys, texts, at = batch.column(0).to_pylist(), batch.column(1), 0
-            sizes = np.asarray(pa.compute.binary_length(texts).fill_null(0))
+            sizes = np.asarray(pc.binary_length(texts).fill_null(0))
             while at < len(keys):
                 end = max(at + 1, at + int(np.searchsorted(np.cumsum(sizes[at:]), 4 << 20)))
                 cols: list[list] = [[] for _ in range(5 + with_ids)]

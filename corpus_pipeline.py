@@ -1,5 +1,74 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: five stages over ``documents``, each written as Parquet and read again by the next.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame.  All but the
+last return the columns of ``documents``.
+
+1. language ID: texts without a recognised language, or recognised with less
+   than MIN_LANGUAGE, go.
+2. quality classifier: texts that score under MIN_QUALITY go.
+3. n-gram Jaccard join: of each group of near copies the document with the
+   smallest id stays.
+4. mixing: sources are brought nearer to one another by up to MAX_REPETITION
+   passes; every document is passed at least once, so none is dropped.
+5. packing: token pieces with their sequences and offsets.
+
+Null text and texts without letters go in stage 1.  Rows that repeat an id
+after stage 3 come from further passes of stage 4.  An empty table gives an
+empty result.  SQL cannot express the stages with models and tokenizers; the
+tests hold them against plain versions.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pulseweave.llm import langid, mixing, ngram_join, packing, quality
+from pulseweave.llm.scratch import Scratch, table
+
+MIN_LANGUAGE, MIN_QUALITY, MAX_REPETITION = 0.5, 0.7, 2.0
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = langid.train(docs.where(~langid.held_out(F.col("doc_id"), 5, 0)))
+    # under names of their own, so that the outputs do not take the place of input columns
+    judged = langid.detect(docs.select(*[F.col(c).alias(f"_in_{c}") for c in docs.columns]), model, text="_in_text")
+    kept = judged.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE))
+    return kept.select(*[F.col(f"_in_{c}").alias(c) for c in docs.columns])
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").where(~langid.held_out(F.col("doc_id"), 4, 2))
+    scored = quality.score(docs, quality.train(docs, labels), out="_quality")
+    return scored.where(F.col("_quality") >= MIN_QUALITY).drop("_quality")
+
+
+def copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    kept = ngram_join.join(docs).documents.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix(docs, max_repetition=MAX_REPETITION, budget="cover").select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("language", language_stage),
+    ("quality", quality_stage),
+    ("copies", copies_stage),
+    ("mixing", mixing_stage),
+    ("packing", packing_stage),
+]
 ORACLE_SQL = None
-run = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
+    for name, stage in STAGES[:-1]:
+        docs = scratch.save(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

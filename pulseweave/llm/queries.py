@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, mixing, ngram_join, packing, quality, token_counts, topk, url_filter
+from . import chat, embed_dedup, langid, mixing, ngram_join, packing, quality, token_counts, topk, url_filter
 from .scratch import Scratch, table
 
 #: The rules that the URL query judges by: host, path, verdict.
@@ -51,6 +51,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", langid.held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings")).vectors
+
+
 def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0), 10)
@@ -68,6 +72,7 @@ QUERIES = {
     "op5_token_counts": op5_token_counts,
     "op6_url_filters": op6_url_filters,
     "op7_quality": op7_quality,
+    "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_exact_top_k": op9_exact_top_k,
     "op10_chat_perspectives": op10_chat_perspectives,
 }

@@ -1,5 +1,5 @@
 """Named queries by family."""
 
-from . import rhythm
+from . import events, rhythm
 
-REGISTRIES = [rhythm.R]
+REGISTRIES = [rhythm.R, events.R]

@@ -171,34 +171,19 @@ def _pairs(df: DataFrame) -> DataFrame:
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of ``pairs`` whose sets (node, shingles) reach the threshold."""
+    """The pairs (a, b) of ``pairs`` whose sets (node, shingles, parts) reach the threshold.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                keep.append(similar(x, y))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
-
-
-def similar(x: np.ndarray, y: np.ndarray) -> bool:
-    """Whether two rising arrays reach the threshold; the suffix filter halves both at one shingle and bounds the overlap."""
-    total = len(x) + len(y)
-    if min(len(x), len(y)) * DENOMINATOR < max(len(x), len(y)) * NUMERATOR or not total:
-        return False
-    i, j = np.searchsorted(x, y[len(y) // 2]), len(y) // 2
-    apart = abs(int(i) - j) + abs((len(x) - int(i)) - (len(y) - j))
-    if (total - apart) // 2 * (NUMERATOR + DENOMINATOR) < NUMERATOR * total:
-        return False
-    both = np.concatenate([x, y])
-    both.sort()
-    same = int(np.count_nonzero(both[1:] == both[:-1]))
-    return DENOMINATOR * same >= NUMERATOR * (total - same)
+    The suffix filter compares the sizes of the parts of both sets: what they
+    differ by cannot be shared.  Then the whole sets are intersected.
+    """
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"), F.col("parts").alias("pa"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"), F.col("parts").alias("pb"))
+    total = F.size("sa") + F.size("sb")
+    apart = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.abs(x - y)), F.lit(0), lambda t, x: t + x)
+    near = ((total - apart) / 2) * (NUMERATOR + DENOMINATOR) >= NUMERATOR * total
+    same = F.size(F.array_intersect("sa", "sb"))
+    reached = F.when(near, DENOMINATOR * same >= NUMERATOR * (total - same)).otherwise(False)
+    return pairs.join(left, "a").join(right, "b").where(reached).select("a", "b")
 
 
 @dataclass
@@ -231,11 +216,20 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", width:
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             asked = batch.column("node").to_pylist()
-            got = [(k, s.tobytes()) for i, s in _sets(batch, width) if (k := asked[i]) == (digest(s) if len(s) else None)]
-            yield pa.RecordBatch.from_arrays([_long([k for k, _ in got]), pa.array([s for _, s in got], pa.binary())], ["node", "shingles"])
+            for first, shingles, ends in shingle_sets(batch.column(1), width):
+                node, found, parts, a = [], [], [], 0
+                for i, b in enumerate(ends.tolist()):
+                    x, a = shingles[a:b], b
+                    if len(x) and digest(x) == asked[first + i]:
+                        node.append(asked[first + i])
+                        found.append(x.view(np.int64))
+                        parts.append(np.bincount((x >> np.uint64(61)).astype(np.int64), minlength=8).astype(np.int32))
+                cut = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32))
+                flat = np.concatenate(found) if found else np.empty(0, np.int64)
+                yield pa.RecordBatch.from_arrays([_long(node), pa.ListArray.from_arrays(cut, _long(flat)), pa.array([p.tolist() for p in parts], pa.list_(pa.int32()))], ["node", "shingles", "parts"])
 
     few = wanted.count() <= BROADCAST_IDS
-    sets = docs.join(F.broadcast(wanted) if few else wanted, "doc_id").select("doc_id", "text", "node").mapInArrow(to_sets, "node long, shingles binary")
+    sets = docs.join(F.broadcast(wanted) if few else wanted, "doc_id").select("doc_id", "text", "node").mapInArrow(to_sets, "node long, shingles array<long>, parts array<int>")
     sets = scratch.save(sets, "sets")
 
     asked = scratch.save(_pairs(lists.where((F.col("node") != F.col("pivot")) & _passes("at", "pivot_at")).select(F.col("node").alias("x"), F.col("pivot").alias("y"))), "pairs")

@@ -85,7 +85,7 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _PLACE = _rng.integers(1, 1 << 63, 5, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-BYTES = 1 << 21
+BYTES = 1 << 19
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:

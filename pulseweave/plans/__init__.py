@@ -1,5 +1,5 @@
 """Named queries by family."""
 
-from . import events, rhythm
+from . import events, nights, rhythm, signals
 
-REGISTRIES = [rhythm.R, events.R]
+REGISTRIES = [rhythm.R, events.R, signals.R, nights.R]

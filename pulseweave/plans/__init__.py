@@ -1,5 +1,5 @@
 """Named queries by family."""
 
-from . import activities, events, nights, rhythm, signals
+from . import activities, events, nights, relational, rhythm, signals
 
-REGISTRIES = [rhythm.R, events.R, signals.R, nights.R, activities.R]
+REGISTRIES = [rhythm.R, events.R, signals.R, nights.R, activities.R, relational.R]

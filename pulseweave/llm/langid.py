@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import small_batches
 from .textgrams import char_counts, text_batches, tf_idf
 
 DIMS = 1 << 14
@@ -117,6 +118,7 @@ def calibrate(margins: np.ndarray, y: np.ndarray) -> float:
 
 def train(rows: DataFrame, *, text: str = "text", lang: str = "lang", dims: int = DIMS, sample: int = SAMPLE) -> LanguageModel | None:
     """A model from rows with text and a non-null language; None if there are none."""
+    small_batches(rows.sparkSession)
     rows = rows.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where(F.col("text").isNotNull() & F.col("lang").isNotNull())
     df, n = document_frequencies(rows.select("text"), dims)
     if not n:

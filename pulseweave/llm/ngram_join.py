@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected
-from .scratch import Scratch
+from .scratch import Scratch, small_batches
 from .textgrams import mix64, shingle_sets
 
 #: Similarity of at least NUMERATOR / DENOMINATOR.
@@ -198,6 +198,7 @@ class Joined:
 def join(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", width: int = WIDTH) -> Joined:
     """Groups the rows of ``docs`` by similarity of their texts."""
     spark = docs.sparkSession
+    small_batches(spark)
     scratch = Scratch(spark, "jaccard")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     members, sketch = profile(docs, scratch, width)

@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .langid import document_frequencies, inverse
+from .scratch import small_batches
 from .textgrams import char_counts, text_batches, tf_idf
 
 DIMS = 1 << 13
@@ -107,6 +108,7 @@ def latent_space(x: np.ndarray, rank: int, seed: int = 7) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text: str = "text", label: str = "quality", dims: int = DIMS, rank: int = RANK, sample: int = SAMPLE, neighbours: int = NEIGHBOURS) -> NeighbourModel | None:
     """A model from the texts of ``docs`` and ``labels`` (id and label); None without labelled texts."""
+    small_batches(docs.sparkSession)
     df, n = document_frequencies(docs.select(F.col(text).alias("text")), dims, lower=False)
     idf = inverse(df, n)
     marked = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.round(F.avg(label)).cast("int").alias("label"))

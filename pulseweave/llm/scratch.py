@@ -17,6 +17,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Rows that go to Python at a time; texts of a few kB make batches of a few MB.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows for an Arrow batch, so that batches of long texts take little memory beside the heap.
+
+    The setting is read when a plan runs, so it stays lowered; a session that set less keeps its own.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 class Scratch:
     """Cuts lineage by writing Parquet to the shared folder and reading it back.
 

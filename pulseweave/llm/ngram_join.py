@@ -210,10 +210,6 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", width:
     heads = scratch.save(heads.where(F.col("pivot") != F.col("_other")).drop("_other"), "heads")
     lists = scratch.save(posts.join(heads, "token").select("token", "node", "at", "pivot", "pivot_at").distinct(), "lists")
 
-    # the sets of the nodes at hand
-    wanted = lists.select("node").distinct().join(classes, "node").select("node", F.col("rep").alias("doc_id"))
-    wanted = scratch.save(wanted, "wanted")
-
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             asked = batch.column("node").to_pylist()
@@ -229,12 +225,21 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", width:
                 flat = np.concatenate(found) if found else np.empty(0, np.int64)
                 yield pa.RecordBatch.from_arrays([_long(node), pa.ListArray.from_arrays(cut, _long(flat)), pa.array([p.tolist() for p in parts], pa.list_(pa.int32()))], ["node", "shingles", "parts"])
 
-    few = wanted.count() <= BROADCAST_IDS
-    sets = docs.join(F.broadcast(wanted) if few else wanted, "doc_id").select("doc_id", "text", "node").mapInArrow(to_sets, "node long, shingles array<long>, parts array<int>")
-    sets = scratch.save(sets, "sets")
-
+    def linked(pairs: DataFrame) -> DataFrame:
+        """The links among ``pairs``; only the sets of their nodes are made again from the texts and shuffled."""
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        wanted = scratch.save(nodes.join(classes, "node").select("node", F.col("rep").alias("doc_id")), "wanted")
+        few = wanted.count() <= BROADCAST_IDS
+        sets = docs.join(F.broadcast(wanted) if few else wanted, "doc_id").select("doc_id", "text", "node").mapInArrow(to_sets, "node long, shingles array<long>, parts array<int>")
+        sets = scratch.save(sets, "sets")
+        out = scratch.save(verify(pairs, sets), "links")
+        scratch.drop(sets, wanted)
+        scratch.release()
+        return out
+
+    scratch.release()
     asked = scratch.save(_pairs(lists.where((F.col("node") != F.col("pivot")) & _passes("at", "pivot_at")).select(F.col("node").alias("x"), F.col("pivot").alias("y"))), "pairs")
-    links = scratch.save(verify(asked, sets), "links")
+    links = linked(asked)
     labels = connected(links, scratch)
     lists = lists.select("token", "node", "at")
     for turn in range(PIVOTS + 1):
@@ -258,7 +263,7 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", width:
             starred = lists.where(~whole).select("token", F.col("node").alias("x"), "at", "label").join(open_.select("token", F.col("pivot").alias("y"), "pivot_at", "pivot_label"), "token")
             found = found.union(starred.where((F.col("label") != F.col("pivot_label")) & _passes("at", "pivot_at")).select("x", "y"))
         fresh = scratch.save(_pairs(found).join(asked, ["a", "b"], "left_anti"), "pairs")
-        more = scratch.save(verify(fresh, sets), "links")
+        more = linked(fresh)
         if more.count():
             links = scratch.save(links.union(more), "links")
             labels = connected(links, scratch)
@@ -275,5 +280,6 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", width:
     smallest = scratch.save(named.groupBy("label").agg(F.min("rep").alias("component_id"), F.count("*").alias("nodes")), "smallest")
     grouped = scratch.save(named.join(smallest, "label").where((F.col("copies") > 1) | (F.col("nodes") > 1)).select("node", "component_id"), "grouped")
     out = members.join(grouped, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-    scratch.drop(sets, lists, heads, wanted)
+    scratch.drop(heads)
+    scratch.release()
     return Joined(out, members.select("doc_id", "node"), links)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -51,6 +52,11 @@ class Scratch:
         out._scratch_path = path  # noqa: SLF001
         return out
 
+    def release(self) -> None:
+        """Lets the driver collect what it no longer needs, so that Spark's cleaner deletes the shuffle files of finished steps."""
+        gc.collect()
+        self.spark._jvm.System.gc()  # noqa: SLF001
+
     def drop(self, *tables: DataFrame | None) -> None:
         """Deletes tables that nothing will read any more."""
         jvm = self.spark._jvm  # noqa: SLF001

@@ -33,7 +33,7 @@ def clipped(text: Column, most: int = 2000) -> Column:
 
 def entries(log: Column) -> Column:
     """Sections of a log that begin with ``## ``; blank ones dropped."""
-    return F.filter(F.transform(F.split(log, r"(?m)^## "), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(log, r"(?m)^## "), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def to_html(markdown: Column) -> Column:

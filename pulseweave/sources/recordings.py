@@ -42,7 +42,7 @@ def headers(all_lines: DataFrame) -> DataFrame:
     """One row a file: path, header (array of lower-case names), delimiter, question."""
     h = all_lines.groupBy("path").agg(F.min_by("line", "pos").alias("_h"), F.count("*").alias("n_lines"))
     d = delimiter(F.col("_h"))
-    names = F.transform(F.split(F.lower("_h"), F.concat(F.lit("["), F.coalesce(d, F.lit(",")), F.lit("]"))), F.trim)
+    names = F.transform(F.split(F.lower("_h"), F.concat(F.lit("["), F.coalesce(d, F.lit(",")), F.lit("]"))), lambda x: F.trim(x))
     names = F.filter(names, lambda x: x != "")  # a trailing delimiter is tolerated
     h = h.withColumns({"delimiter": d, "header": names})
     first = F.try_element_at("header", F.lit(1))
@@ -64,7 +64,7 @@ def rows(all_lines: DataFrame, head: DataFrame) -> DataFrame:
     """
     first = Window.partitionBy("path").orderBy("pos")
     d = all_lines.withColumn("_n", F.row_number().over(first)).where("_n > 1").join(head.where("question IS NULL").select("path", "header", "delimiter"), "path")
-    parts = F.transform(F.split("line", ","), F.trim)
+    parts = F.transform(F.split("line", ","), lambda x: F.trim(x))
     d = d.withColumn("_p", parts)
     get = lambda name: F.try_element_at("_p", F.when(F.array_position("header", F.lit(name)) > 0, F.array_position("header", F.lit(name)).cast("int")))
     text = {c: F.nullif(get(c), F.lit("")) for c in COLUMNS}
@@ -137,11 +137,15 @@ def accelerometer(spark: SparkSession, path: str) -> DataFrame:
     h = l.groupBy("path").agg(F.min_by("line", "pos").alias("_h"))
     n = {d: F.length("_h") - F.length(F.replace("_h", F.lit(d), F.lit(""))) for d in (";", ",", "\t")}
     best = F.when((n[";"] >= n[","]) & (n[";"] >= n["\t"]), ";").when(n[","] >= n["\t"], ",").otherwise("\t")
-    h = h.withColumn("_d", best).withColumn("_names", F.transform(F.split(F.lower("_h"), F.concat(F.lit("["), F.col("_d"), F.lit("]"))), F.trim))
+    h = h.withColumn("_d", best).withColumn("_names", F.transform(F.split(F.lower("_h"), F.concat(F.lit("["), F.col("_d"), F.lit("]"))), lambda x: F.trim(x)))
     place = lambda ok: F.array_position(F.transform("_names", ok), F.lit(True)).cast("int")
+
+    def axis(a: str):
+        return lambda x: (x == a) | F.startswith(x, F.lit(f"{a} ["))
+
     h = h.select(
         "path", "_h", "_d", place(lambda x: F.contains(x, F.lit("timestamp [ns]")) | (x == "time") | (x == "t_ns")).alias("_t"),
-        *[place(lambda x, a=a: (x == a) | F.startswith(x, F.lit(f"{a} ["))).alias(f"_{a}") for a in "xyz"], F.contains(F.lower("_h"), F.lit("[g]")).alias("_g"),
+        *[place(axis(a)).alias(f"_{a}") for a in "xyz"], F.contains(F.lower("_h"), F.lit("[g]")).alias("_g"),
     )
     d = l.join(h, "path").where("line <> _h")
     parts = F.split("line", F.concat(F.lit("["), F.col("_d"), F.lit("]")))

@@ -2,10 +2,12 @@
 
 NN-descent: a graph of nearest neighbours, begun from blocks of vectors that
 lie close under random hyperplanes, is refined by joining the neighbours of
-each vector with one another.  Lists whose entries all reach the threshold are
-saturated and are enlarged until they are not.  Recall is audited by brute
-force on a bounded sample of vectors; where it is low, new blocks are added and
-the descent goes on.  Edges at or over the threshold stay, verified in doubles.
+each vector with one another.  Lists whose entries all are within reach
+of a link are saturated and are enlarged WIDENINGS times; vectors whose lists
+are still open then are compared with all vectors of their label, in blocks.
+Recall is audited by brute force on a bounded sample of vectors; where it is
+low, new blocks are added and the descent goes on.  Edges at or over the
+threshold stay, verified in doubles.
 
 Dense groups do not become long lists.  Equal vectors are one node, and nodes
 within half the threshold angle of a leader are one ball: by the triangle
@@ -41,8 +43,11 @@ NEIGHBOURS = 10
 BLOCK = 512
 CHUNK = 64
 ROUNDS = 5
+WIDENINGS = 2
 AUDIT = 256
 RECALL = 0.95
+#: Vectors of a block that is compared exactly.
+EXACT_BLOCK = 1024
 BITS = 24
 
 
@@ -184,19 +189,22 @@ def _from_blocks(nodes: DataFrame, seed: int, k: int) -> DataFrame:
     return _ordered(nodes, seed).mapInArrow(run, "u long, v long, s double")
 
 
-def _round(edges: DataFrame, nodes: DataFrame, best: int = 4) -> DataFrame:
-    """Candidates u, v, s from joining the neighbours of each node; lists of hubs are joined in chunks."""
+def _round(edges: DataFrame, nodes: DataFrame, theta: float, neighbours: int, turn: int, best: int = 4) -> DataFrame:
+    """Candidates u, v, s from joining the neighbours of each node; lists of hubs are joined in chunks, other ones each turn.
+
+    A node takes its ``best`` partners of each list; one whose own list was widened takes all within reach.
+    """
     around = edges.select(F.col("u").alias("w"), F.col("v").alias("id"), "fresh").union(edges.select(F.col("v").alias("w"), F.col("u").alias("id"), "fresh"))
     around = around.groupBy("w", "id").agg(F.max("fresh").alias("fresh"))
     degree = around.groupBy("w").agg(F.count("*").alias("n"), F.max("fresh").alias("any"))
     worst = edges.groupBy("u").agg(F.min("s").alias("low"), F.count("*").alias("n"), F.max("k").alias("k"))
-    worst = worst.select(F.col("u").alias("id"), F.when(F.col("n") >= F.col("k"), F.col("low")).otherwise(-2.0).alias("low"))
+    worst = worst.select(F.col("u").alias("id"), F.when(F.col("n") >= F.col("k"), F.col("low")).otherwise(-2.0).alias("low"), (F.col("k") > neighbours).alias("wide"))
     lists = around.join(degree.where("any").select("w", F.ceil(F.col("n") / CHUNK).alias("chunks")), "w")
-    lists = lists.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")))
-    rows = lists.join(nodes.select("id", "small").join(worst, "id"), "id").select("w", "chunk", "id", "small", "low", "fresh")
+    lists = lists.withColumn("chunk", F.pmod(F.xxhash64("id", "w", F.lit(turn)), F.col("chunks")))
+    rows = lists.join(nodes.select("id", "small", "radius").join(worst, "id"), "id").select("w", "chunk", "id", "small", "low", "fresh", "radius", "wide")
 
     def run(batches):
-        ids, low, fresh, vectors, at, out = [], [], [], [], None, ([], [], [])
+        ids, low, fresh, vectors, radius, wide, at, out = [], [], [], [], [], [], None, ([], [], [])
 
         def close():
             m = np.frombuffer(b"".join(vectors), "<f2").reshape(len(ids), -1).astype(np.float32)
@@ -206,11 +214,14 @@ def _round(edges: DataFrame, nodes: DataFrame, best: int = 4) -> DataFrame:
             s[~(new[:, None] | new[None, :])] = -2.0  # both known before: compared before
             n = min(best, len(ids) - 1)
             top = np.argpartition(-s, n - 1, axis=1)[:, :n]
-            value = np.take_along_axis(s, top, 1)
-            keep = value > np.array(low)[:, None]
-            out[0].append(np.repeat(i, n).reshape(-1, n)[keep])
-            out[1].append(i[top][keep])
-            out[2].append(value[keep])
+            keep, r, grown = np.zeros(s.shape, dtype=bool), np.array(radius), np.array(wide)
+            np.put_along_axis(keep, top, True, 1)
+            if grown.any():
+                keep |= grown[:, None] & (s >= np.cos(np.minimum(theta + 0.01 + r[:, None] + r[None, :], math.pi)))
+            x, y = np.nonzero(keep & (s > np.array(low)[:, None]))
+            out[0].append(i[x])
+            out[1].append(i[y])
+            out[2].append(s[x, y])
 
         def flush():
             got = _arrow("u v s", pa.array(np.concatenate(out[0]), pa.int64()), pa.array(np.concatenate(out[1]), pa.int64()), pa.array(np.concatenate(out[2]).astype(np.float64)))
@@ -219,12 +230,14 @@ def _round(edges: DataFrame, nodes: DataFrame, best: int = 4) -> DataFrame:
             return got
 
         for batch in batches:
-            for w, c, i, v, x, f in zip(*(batch.column(n).to_pylist() for n in ("w", "chunk", "id", "small", "low", "fresh")), strict=True):
+            for w, c, i, v, x, f, r, g in zip(*(batch.column(n).to_pylist() for n in ("w", "chunk", "id", "small", "low", "fresh", "radius", "wide")), strict=True):
                 if at != (w, c):
                     if len(ids) > 1:
                         close()
-                    ids, low, fresh, vectors, at = [], [], [], [], (w, c)
+                    ids, low, fresh, vectors, radius, wide, at = [], [], [], [], [], [], (w, c)
                 ids.append(i)
+                radius.append(r)
+                wide.append(g)
                 low.append(x)
                 fresh.append(f)
                 vectors.append(v)
@@ -264,16 +277,17 @@ def near_duplicates(vectors: DataFrame, *, key: str = "vec_id", vector: str = "e
     size = ball.join(nodes.select("id", "copies"), "id").groupBy("leader").agg(F.max("angle").alias("radius"), F.sum("copies").alias("weight"))
     leaders = scratch.save(nodes.join(size.withColumnRenamed("leader", "id"), "id"), "leaders")
 
-    edges, tries, recall, found = None, 0, 0.0, None
+    edges, tries, turn, recall, found = None, 0, 0, 0.0, None
     radius = leaders.select("id", "radius")
     while True:
         seeds = (2 * tries, 2 * tries + 1)
         first = _from_blocks(leaders, seeds[0], neighbours).union(_from_blocks(leaders, seeds[1], neighbours))
         first = first.select("u", "v", "s", F.lit(True).alias("fresh"), F.lit(neighbours).alias("k"))
         edges = scratch.save(_top(first if edges is None else edges.withColumn("fresh", F.lit(False)).union(first)), "edges")
-        while True:
+        for widening in range(WIDENINGS + 1):
             for _ in range(ROUNDS):
-                new = _round(edges, leaders).select("u", "v", "s", F.lit(True).alias("fresh"))
+                turn += 1
+                new = _round(edges, leaders, theta, neighbours, turn).select("u", "v", "s", F.lit(True).alias("fresh"))
                 known = edges.groupBy("u").agg(F.max("k").alias("k"))
                 new = new.join(known, "u", "left").select("u", "v", "s", "fresh", F.coalesce("k", F.lit(neighbours)).alias("k"))
                 after = scratch.save(_top(edges.withColumn("fresh", F.lit(False)).union(new)), "edges")
@@ -283,14 +297,14 @@ def near_duplicates(vectors: DataFrame, *, key: str = "vec_id", vector: str = "e
                 if count.new <= 0.02 * count.n:
                     break
             # lists that are full of links may hide more
-            reach = _reach(edges, radius, theta)
-            full = reach.groupBy("u").agg(F.min("linked").alias("all"), F.count("*").alias("n"), F.max("k").alias("k")).where("all and n >= k").select("u", (2 * F.col("k")).alias("wider"))
-            full = scratch.save(full, "full")
-            if not full.count():
+            ends = scratch.save(_open(edges, radius, theta), "open")
+            full = ends.where("n >= k").select(F.col("id").alias("u"), (2 * F.col("k")).alias("wider"))
+            if widening == WIDENINGS or not full.count():
                 break
             edges = scratch.save(edges.join(full, "u", "left").select("u", "v", "s", (F.col("fresh") | F.col("wider").isNotNull()).alias("fresh"), F.coalesce("wider", "k").cast("int").alias("k")), "edges")
-        near = _reach(edges, radius, theta).where("linked").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
-        found = scratch.save(near, "near")
+        near = _reach(edges, radius, theta).where("linked").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
+        rest = _compared(leaders.join(ends.select("id"), "id", "left_semi"), leaders, theta, scratch)
+        found = scratch.save(near.union(rest).distinct(), "near")
         recall = _audit(leaders, found, theta, scratch)
         tries += 1
         if recall >= RECALL or tries == 3:
@@ -329,6 +343,64 @@ def _reach(edges: DataFrame, radius: DataFrame, theta: float) -> DataFrame:
     return out.withColumn("linked", F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), "s"))) <= F.lit(theta + 0.01) + F.col("ru") + F.col("rv"))
 
 
+def _open(edges: DataFrame, radius: DataFrame, theta: float) -> DataFrame:
+    """id, n, k of nodes without a list, or whose list has only entries within reach of a link."""
+    ends = _reach(edges, radius, theta).groupBy("u").agg(F.min("linked").alias("all"), F.count("*").alias("n"), F.max("k").alias("k"))
+    return radius.join(ends.withColumnRenamed("u", "id"), "id", "left").where("n is null or all").select("id", "n", "k")
+
+
+def _packed(rows: DataFrame, count: int) -> DataFrame:
+    """Rows (g, id, v, radius) as blocks of one g."""
+
+    def run(batches):
+        held: dict[int, list] = {}
+
+        def out(g):
+            ids, vectors, radius = zip(*held.pop(g), strict=True)
+            m = np.frombuffer(b"".join(vectors), "<f8").astype("<f4")
+            return _arrow("g ids m r", pa.array([g], pa.int64()), pa.array([np.array(ids, "<i8").tobytes()]), pa.array([m.tobytes()]), pa.array([np.array(radius, "<f8").tobytes()]))
+
+        for batch in batches:
+            for row in zip(*(batch.column(n).to_pylist() for n in ("g", "id", "v", "radius")), strict=True):
+                if held and row[0] not in held:
+                    yield out(next(iter(held)))
+                held.setdefault(row[0], []).append(row[1:])
+                if len(held[row[0]]) == EXACT_BLOCK:
+                    yield out(row[0])
+        for g in list(held):
+            yield out(g)
+
+    ordered = rows.select("g", "id", "v", "radius").repartitionByRange("g", "id").sortWithinPartitions("g", "id")
+    return ordered.coalesce(1 + count // (2 * EXACT_BLOCK)).mapInArrow(run, "g long, ids binary, m binary, r binary")
+
+
+def _compared(asked: DataFrame, leaders: DataFrame, theta: float, scratch: Scratch) -> DataFrame:
+    """a, b: the pairs of one of ``asked`` and any leader whose balls can hold a link, all compared, block by block."""
+
+    def run(batches):
+        for batch in batches:
+            for x in batch.to_pylist():
+                i, j = np.frombuffer(x["ids"], "<i8"), np.frombuffer(x["ids2"], "<i8")
+                r, q = np.frombuffer(x["r"], "<f8") + theta + 2e-3, np.frombuffer(x["r2"], "<f8")
+                s = np.frombuffer(x["m"], "<f4").reshape(len(i), -1) @ np.frombuffer(x["m2"], "<f4").reshape(len(j), -1).T
+                u, v = np.nonzero(s >= math.cos(min(r.max() + q.max(), math.pi)))
+                near = (np.arccos(np.clip(s[u, v].astype(np.float64), -1.0, 1.0)) <= r[u] + q[v]) & (i[u] != j[v])
+                u, v = i[u[near]], j[v[near]]
+                yield _arrow("a b", pa.array(np.minimum(u, v), pa.int64()), pa.array(np.maximum(u, v), pa.int64()))
+
+    asked = scratch.save(asked.select("g", "id", "v", "radius"), "asked")
+    one = scratch.save(_packed(asked, asked.count()), "asked-blocks")
+    two = one if asked.count() == leaders.count() else scratch.save(_packed(leaders, leaders.count()), "blocks")
+    # every pair of blocks of one g meets in one cell of a square
+    side = max(1, min(16, -(-two.count() // 8)))
+    cells = F.explode(F.sequence(F.lit(0), F.lit(side - 1)))
+    place = F.pmod(F.xxhash64("ids"), F.lit(side)).cast("int")
+    left = one.withColumn("x", place).withColumn("y", cells)
+    right = two.withColumn("y", place).withColumn("x", cells).select("g", "x", "y", F.col("ids").alias("ids2"), F.col("m").alias("m2"), F.col("r").alias("r2"))
+    pairs = left.join(right, ["g", "x", "y"]).select("ids", "m", "r", "ids2", "m2", "r2")
+    return scratch.save(pairs.mapInArrow(run, "a long, b long").distinct(), "compared")
+
+
 def _audit(leaders: DataFrame, found: DataFrame, theta: float, scratch: Scratch) -> float:
     """The part of the true links of a sample of AUDIT leaders that the graph has."""
     sample = leaders.orderBy(F.xxhash64("id"), "id").limit(AUDIT).select("id", "g", "v", "radius").collect()

@@ -74,6 +74,27 @@ def test_near_dedup_recall_and_precision(spark):
     assert all((r.n_links, r.kept) == (0, True) for r in out if 900 <= r.vec_id <= 905)
 
 
+def brute_counts(x):
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1)[:, None]
+    return (u @ u.T >= 0.93).sum(axis=1) - 1
+
+
+def dense_vectors(n, d, spread, seed=3):
+    """A group whose pairs lie about the threshold, few of them within half its angle."""
+    g = np.random.default_rng(seed)
+    x = g.standard_normal(d) / math.sqrt(d) + spread * g.standard_normal((n, d)) / math.sqrt(d)
+    return x.astype(np.float32)
+
+
+def test_near_dedup_of_a_dense_group(spark):
+    x = dense_vectors(400, 32, 0.22)
+    true = brute_counts(x)
+    assert true.mean() > 300
+    got = embed_dedup.near_duplicates(vectors(spark, [(i, [float(v) for v in x[i]], 1, None, None) for i in range(len(x))])).vectors.collect()
+    assert {r.vec_id: r.n_links for r in got} == dict(enumerate(true.tolist()))
+    assert {r.component_id for r in got} == {0}
+
+
 def test_near_dedup_of_nothing(spark):
     assert embed_dedup.near_duplicates(vectors(spark, [])).vectors.count() == 0
 

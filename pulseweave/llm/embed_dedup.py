@@ -5,9 +5,11 @@ lie close under random hyperplanes, is refined by joining the neighbours of
 each vector with one another.  Lists whose entries all are within reach
 of a link are saturated and are enlarged WIDENINGS times; vectors whose lists
 are still open then are compared with all vectors of their label, in blocks.
-Recall is audited by brute force on a bounded sample of vectors; where it is
-low, new blocks are added and the descent goes on.  Edges at or over the
-threshold stay, verified in doubles.
+Recall is audited by brute force on a sample of vectors, half of them with near
+candidates, that grows until it sees enough links; where recall is low or could
+not be measured, new blocks are added and the descent goes on, and after TRIES
+all vectors are compared in blocks.  Edges at or over the threshold stay,
+verified in doubles.
 
 Dense groups do not become long lists.  Equal vectors are one node, and nodes
 within half the threshold angle of a leader are one ball: by the triangle
@@ -44,7 +46,8 @@ BLOCK = 512
 CHUNK = 64
 ROUNDS = 5
 WIDENINGS = 2
-AUDIT = 256
+TRIES = 3
+AUDIT, AUDIT_MOST, AUDIT_LINKS = 256, 16384, 64
 RECALL = 0.95
 #: Vectors of a block that is compared exactly.
 EXACT_BLOCK = 1024
@@ -305,9 +308,12 @@ def near_duplicates(vectors: DataFrame, *, key: str = "vec_id", vector: str = "e
         near = _reach(edges, radius, theta).where("linked").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
         rest = _compared(leaders.join(ends.select("id"), "id", "left_semi"), leaders, theta, scratch)
         found = scratch.save(near.union(rest).distinct(), "near")
-        recall = _audit(leaders, found, theta, scratch)
+        recall = _audit(leaders, edges, found, theta, scratch)
         tries += 1
-        if recall >= RECALL or tries == 3:
+        if recall >= RECALL:
+            break
+        if tries == TRIES:
+            found, recall = scratch.save(_compared(leaders, leaders, theta, scratch), "near"), 1.0
             break
 
     # pairs of balls, by exact angles: wholly linked, or compared by member
@@ -401,25 +407,22 @@ def _compared(asked: DataFrame, leaders: DataFrame, theta: float, scratch: Scrat
     return scratch.save(pairs.mapInArrow(run, "a long, b long").distinct(), "compared")
 
 
-def _audit(leaders: DataFrame, found: DataFrame, theta: float, scratch: Scratch) -> float:
-    """The part of the true links of a sample of AUDIT leaders that the graph has."""
-    sample = leaders.orderBy(F.xxhash64("id"), "id").limit(AUDIT).select("id", "g", "v", "radius").collect()
-    shared = leaders.sparkSession.sparkContext.broadcast([(r.id, r.g, bytes(r.v), r.radius) for r in sample])
+def _audit(leaders: DataFrame, edges: DataFrame, found: DataFrame, theta: float, scratch: Scratch) -> float:
+    """The part that the graph has of the true links of a sample of leaders; 0.0 if too few links were seen to tell.
 
-    def run(batches):
-        asked: dict[int, list] = {}
-        for i, g, v, r in shared.value:
-            asked.setdefault(g, []).append((i, np.frombuffer(v, "<f8"), r))
-        for batch in batches:
-            got: list[tuple[int, int]] = []
-            for i, g, v, r in zip(*(batch.column(n).to_pylist() for n in ("id", "g", "v", "radius")), strict=True):
-                if g in asked:
-                    x = np.frombuffer(v, "<f8")
-                    for j, y, q in asked[g]:
-                        if i != j and math.acos(max(-1.0, min(1.0, float(x @ y)))) <= theta + r + q:
-                            got.append((min(i, j), max(i, j)))
-            yield _arrow("a b", pa.array([a for a, _ in got], pa.int64()), pa.array([b for _, b in got], pa.int64()))
-
-    true = scratch.save(leaders.select("id", "g", "v", "radius").mapInArrow(run, "a long, b long").distinct(), "audit")
-    n = true.count()
+    One half is drawn from all leaders and one from those with a candidate a little beyond reach.
+    """
+    order = (F.xxhash64("id"), "id")
+    near = _reach(edges, leaders.select("id", "radius"), theta + 0.1).where("linked").select(F.col("u").alias("id")).distinct()
+    near = scratch.save(near, "near-leaders")
+    total, size = leaders.count(), AUDIT
+    while True:
+        picked = leaders.select("id").orderBy(*order).limit(size).union(near.orderBy(*order).limit(size)).distinct()
+        true = _compared(leaders.join(picked, "id", "left_semi"), leaders, theta, scratch)
+        n = true.count()
+        if n >= AUDIT_LINKS or size >= min(total, AUDIT_MOST):
+            break
+        size *= 8
+    if n < AUDIT_LINKS and size < total:
+        return 0.0
     return true.join(found, ["a", "b"], "left_semi").count() / n if n else 1.0

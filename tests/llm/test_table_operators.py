@@ -95,6 +95,19 @@ def test_near_dedup_of_a_dense_group(spark):
     assert {r.component_id for r in got} == {0}
 
 
+def test_near_dedup_compares_all_where_the_descent_fails(spark, monkeypatch):
+    # no candidates at all, in any try: the audit is what must notice
+    blocks = embed_dedup._from_blocks
+    monkeypatch.setattr(embed_dedup, "_from_blocks", lambda *a: blocks(*a).where("false"))
+    monkeypatch.setattr(embed_dedup, "_open", lambda edges, radius, theta: radius.where("false").selectExpr("id", "0L n", "0 k"), raising=False)
+    x = np.random.default_rng(5).standard_normal((600, 16)).astype(np.float32)
+    x[1::2] = x[0::2] + 0.28 * np.random.default_rng(6).standard_normal((300, 16)).astype(np.float32)
+    got = embed_dedup.near_duplicates(vectors(spark, [(i, [float(v) for v in x[i]], 1, None, None) for i in range(len(x))]))
+    true = brute_counts(x)
+    assert got.recall >= embed_dedup.RECALL and true.sum() > 400
+    assert {r.vec_id: r.n_links for r in got.vectors.collect()} == dict(enumerate(true.tolist()))
+
+
 def test_near_dedup_of_nothing(spark):
     assert embed_dedup.near_duplicates(vectors(spark, [])).vectors.count() == 0
 

@@ -2,7 +2,7 @@
 
 NN-descent: a graph of nearest neighbours, begun from blocks of vectors that
 lie close under random hyperplanes, is refined by joining the neighbours of
-each vector with one another.  Lists whose entries all are within reach
+each vector with one another.  Lists whose farthest entry is still within reach
 of a link are saturated and are enlarged WIDENINGS times; vectors whose lists
 are still open then are compared with all vectors of their label, in blocks.
 Recall is audited by brute force on a sample of vectors, half of them with near
@@ -299,7 +299,7 @@ def near_duplicates(vectors: DataFrame, *, key: str = "vec_id", vector: str = "e
                 count = edges.agg(F.count("*").alias("n"), F.count_if("fresh").alias("new")).first()
                 if count.new <= 0.02 * count.n:
                     break
-            # lists that are full of links may hide more
+            # lists that end within reach of a link may hide more
             ends = scratch.save(_open(edges, radius, theta), "open")
             full = ends.where("n >= k").select(F.col("id").alias("u"), (2 * F.col("k")).alias("wider"))
             if widening == WIDENINGS or not full.count():
@@ -350,9 +350,14 @@ def _reach(edges: DataFrame, radius: DataFrame, theta: float) -> DataFrame:
 
 
 def _open(edges: DataFrame, radius: DataFrame, theta: float) -> DataFrame:
-    """id, n, k of nodes without a list, or whose list has only entries within reach of a link."""
-    ends = _reach(edges, radius, theta).groupBy("u").agg(F.min("linked").alias("all"), F.count("*").alias("n"), F.max("k").alias("k"))
-    return radius.join(ends.withColumnRenamed("u", "id"), "id", "left").where("n is null or all").select("id", "n", "k")
+    """id, n, k of nodes without a list, or whose list ends within reach of a ball as wide as their own.
+
+    Of two balls that can hold a link, the wider one thus seeks as far as the other.
+    """
+    ends = edges.groupBy("u").agg(F.min("s").alias("low"), F.count("*").alias("n"), F.max("k").alias("k"))
+    out = radius.join(ends.withColumnRenamed("u", "id"), "id", "left")
+    far = F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), "low")))
+    return out.where(F.col("n").isNull() | (far <= F.lit(theta + 0.01) + 2 * F.col("radius"))).select("id", "n", "k")
 
 
 def _packed(rows: DataFrame, count: int) -> DataFrame:

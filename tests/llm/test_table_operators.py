@@ -108,6 +108,13 @@ def test_near_dedup_compares_all_where_the_descent_fails(spark, monkeypatch):
     assert {r.vec_id: r.n_links for r in got.vectors.collect()} == dict(enumerate(true.tolist()))
 
 
+def test_lists_of_wide_balls_stay_open(spark):
+    # the only entry cannot link, but a farther ball as wide as the list's own could
+    edges = spark.createDataFrame([(1, 2, math.cos(0.55), 1), (2, 1, math.cos(0.55), 1)], "u long, v long, s double, k int")
+    radius = spark.createDataFrame([(1, 0.15), (2, 0.0)], "id long, radius double")
+    assert [r.id for r in embed_dedup._open(edges, radius, math.acos(0.93)).collect()] == [1]
+
+
 def test_near_dedup_of_nothing(spark):
     assert embed_dedup.near_duplicates(vectors(spark, [])).vectors.count() == 0
 

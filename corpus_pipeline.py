@@ -6,14 +6,14 @@ last return the columns of ``documents``.
 1. language ID: texts without a recognised language, or recognised with less
    than MIN_LANGUAGE, go.
 2. quality classifier: texts that score under MIN_QUALITY go.
-3. n-gram Jaccard join: of each group of near copies the document with the
-   smallest id stays.
+3. n-gram Jaccard join: of each group of near copies, rows repeated in full
+   included, one row stays, with the smallest id (a null id only if all are).
 4. mixing: sources are brought nearer to one another by up to MAX_REPETITION
    passes; every document is passed at least once, so none is dropped.
 5. packing: token pieces with their sequences and offsets.
 
-Null text and texts without letters go in stage 1.  Rows that repeat an id
-after stage 3 come from further passes of stage 4.  An empty table gives an
+Null text and texts without letters go in stage 1.  After stage 3 rows repeat
+an id where different texts share it, or by further passes of stage 4.  An empty table gives an
 empty result.  SQL cannot express the stages with models and tokenizers; the
 tests hold them against plain versions.
 """
@@ -45,8 +45,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = ngram_join.join(docs).documents.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    # ids can be null or repeated, so each row has a key of its own, written once so that it stays the same
+    keyed = Scratch(spark, "copies").save(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
+    groups = ngram_join.join(keyed, id_col="_row").documents.select(F.col("doc_id").alias("_row"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first")
+    kept = keyed.select("_row", "doc_id").join(groups, "_row").groupBy("component_id").agg(first).select("first._row")
+    return keyed.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

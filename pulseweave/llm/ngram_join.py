@@ -20,7 +20,8 @@ Sets are told apart by 64-bit digests together with their sizes, shingles by
 64-bit hashes.  A null text, or one without words, has an empty set and links
 with nothing.  Texts of fewer words than a shingle have their whole sequence as
 one shingle.  Repeated rows are members of one group like other copies; rows
-that share an id keep a row each.  An empty table gives an empty table.
+that share an id keep a row each.  Rows without an id take part like others; a
+group in which no row has an id has a null component.  An empty table gives an empty table.
 Columns besides id and text play no part.
 """
 
@@ -217,8 +218,8 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", width:
                 node, found, parts, a = [], [], [], 0
                 for i, b in enumerate(ends.tolist()):
                     x, a = shingles[a:b], b
-                    if len(x) and digest(x) == asked[first + i]:
-                        node.append(asked[first + i])
+                    if len(x) and asked[first + i] in (None, own := digest(x)):
+                        node.append(own)
                         found.append(x.view(np.int64))
                         parts.append(np.bincount((x >> np.uint64(61)).astype(np.int64), minlength=8).astype(np.int32))
                 cut = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32))
@@ -231,6 +232,12 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", width:
         wanted = scratch.save(nodes.join(classes, "node").select("node", F.col("rep").alias("doc_id")), "wanted")
         few = wanted.count() <= BROADCAST_IDS
         sets = docs.join(F.broadcast(wanted) if few else wanted, "doc_id").select("doc_id", "text", "node").mapInArrow(to_sets, "node long, shingles array<long>, parts array<int>")
+        if wanted.where("doc_id is null").count():
+            # nodes of rows without ids are found by their sets
+            named = wanted.where("doc_id is null").select("node")
+            blank = docs.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("long").alias("node"))
+            blank = blank.mapInArrow(to_sets, "node long, shingles array<long>, parts array<int>").join(named, "node", "left_semi")
+            sets = sets.union(blank.dropDuplicates(["node"]))
         sets = scratch.save(sets, "sets")
         out = scratch.save(verify(pairs, sets), "links")
         scratch.drop(sets, wanted)

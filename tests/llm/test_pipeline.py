@@ -39,5 +39,15 @@ def test_stages_against_plain_versions(spark, tmp_path):
     assert whole.where(F.col("offset") + F.col("length") > 2048).count() == 0
 
 
+def test_copies_keep_one_row_of_a_group(spark):
+    a, b, c, d = texts_of([f"{x}{y}" for x in EN for y in EN], 4, 21)
+    long = " ".join(EN * 3)
+    rows = [(None, a), (None, b), (1, c), (1, c), (2, long), (3, d), (3, long + " x"), (None, c), (4, None), (None, ""), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in corpus_pipeline.copies_stage(spark, docs, "").collect()]
+    exp = [(None, a), (None, b), (1, c), (2, long), (3, d), (4, None), (None, ""), (4, None)]
+    assert sorted(got, key=str) == sorted(exp, key=str)
+
+
 def test_intermediate_tables_are_shared(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")

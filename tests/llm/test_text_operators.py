@@ -129,6 +129,15 @@ def test_repeated_rows_are_one_group(spark):
     assert sorted((r.doc_id, r.component_id) for r in got) == [(0, 0), (1, 0), (1, 0), (7, 7)]
 
 
+def test_rows_without_ids_link(spark):
+    t = texts_of([f"{a}{b}" for a in EN for b in EN], 1, 5)[0] + " " + " ".join(EN * 2)
+    a, b, c = (" ".join(t.split()[i:]) for i in range(3))
+    got = ngram_join.join(docs(spark, [(5, a), (None, b), (None, b), (9, c), (None, None)]))
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in got.documents.collect()) == [(0, 0), (0, 5), (0, 5), (5, 5), (9, 5)]
+    alone = ngram_join.join(docs(spark, [(None, a), (None, b)]))
+    assert alone.links.count() == 1
+
+
 def test_language_held_out_accuracy_and_und(spark):
     rows = [(i, t, "en") for i, t in enumerate(texts_of(EN, 150, 3))] + [(1000 + i, t, "de") for i, t in enumerate(texts_of(DE, 150, 4))]
     rows += [(5000, None, "en"), (5001, "123 !!", "de"), (5002, "", None)]

@@ -104,17 +104,19 @@ def weights(tokens: DataFrame, *, evenness: float | None = None, max_repetition:
         exponents.append(_exponent(shares, (lambda r: r.most / r.least <= max_repetition) if cover else (lambda r: r.most / r.z * float(budget) <= max_repetition)))
     a = max(exponents, default=1.0)
     z = shares.agg(F.sum(F.pow("p", F.lit(a))).alias("z")).first().z
-    weighted = shares.select("source", F.round(F.pow("p", F.lit(a)) / F.lit(z), 9).alias("weight"))
-    out = out.join(weighted, out["source"].eqNullSafe(weighted["source"]), "left").select(out["*"], F.coalesce("weight", F.lit(0.0)).alias("weight"))
+    exact = F.pow("p", F.lit(a)) / F.lit(z)
+    weighted = shares.select("source", F.round(exact, 9).alias("weight"), exact.alias("exact"))
+    out = out.join(weighted, out["source"].eqNullSafe(weighted["source"]), "left").select(out["*"], F.coalesce("weight", F.lit(0.0)).alias("weight"), F.coalesce("exact", F.lit(0.0)).alias("_exact"))
     if cover:
-        # a source without tokens, or of a weight that rounds to none, asks for no more
-        size = out.where(F.col("weight") > 0).agg(F.max(F.col("n") / F.col("weight")).alias("b")).first().b
+        # a source without tokens asks for no more; small sources have weights that round to none
+        size = out.where(F.col("_exact") > 0).agg(F.max(F.col("n") / F.col("_exact")).alias("b")).first().b
     else:
         size = float(all_tokens) * float(budget)
-    aim = F.col("weight") * F.lit(float(size))
-    return out.withColumn("epochs", F.when(F.col("n") > 0, F.floor(F.round(aim / F.col("n"), 9))).otherwise(1).cast("long")).withColumn(
-        "rest", F.greatest(aim - F.col("epochs") * F.col("n"), F.lit(0.0))
-    )
+    aim = F.col("_exact" if cover else "weight") * F.lit(float(size))
+    passes = F.floor(F.round(aim / F.col("n"), 9))
+    if cover:
+        passes = F.greatest(passes, F.lit(1).cast("long"))
+    return out.withColumn("epochs", F.when(F.col("n") > 0, passes).otherwise(1).cast("long")).withColumn("rest", F.greatest(aim - F.col("epochs") * F.col("n"), F.lit(0.0))).drop("_exact")
 
 
 def schedule(blocks: DataFrame, weighted: DataFrame, seed: int = SEED) -> DataFrame:

@@ -177,3 +177,10 @@ def test_mixture_meets_its_targets(spark):
     cover = mixing.mix(d, max_repetition=2.0, budget="cover").groupBy("doc_id", "text").count().collect()
     assert len(cover) == 1502 and max(x["count"] for x in cover if x.doc_id != 9001) <= 2
     assert mixing.mix(d.where("false"), evenness=0.9).count() == 0
+
+
+def test_cover_passes_the_smallest_source(spark):
+    tokens = spark.createDataFrame([("big", 8_000_000_000), ("tiny", 1), ("small", 20), (None, 0)], "source string, n long")
+    got = {r.source: r for r in mixing.weights(tokens, max_repetition=2.0, budget="cover").collect()}
+    assert all(r.epochs >= 1 for r in got.values())
+    assert all((r.epochs + r.rest / r.n) <= 2.000001 for r in got.values() if r.n)

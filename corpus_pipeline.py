@@ -14,7 +14,8 @@ last return the columns of ``documents``.
 
 Null text and texts without letters go in stage 1.  After stage 3 rows repeat
 an id where different texts share it, or by further passes of stage 4.  An empty table gives an
-empty result.  SQL cannot express the stages with models and tokenizers; the
+empty result.  Without a usable training label a stage has no model to reject
+by: stage 1 then rejects only texts without letters, stage 2 nothing.  SQL cannot express the stages with models and tokenizers; the
 tests hold them against plain versions.
 """
 
@@ -32,6 +33,8 @@ MIN_LANGUAGE, MIN_QUALITY, MAX_REPETITION = 0.5, 0.7, 2.0
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.train(docs.where(~langid.held_out(F.col("doc_id"), 5, 0)))
+    if model is None:
+        return docs.where(langid.has_letter(F.col("text")))
     # under names of their own, so that the outputs do not take the place of input columns
     judged = langid.detect(docs.select(*[F.col(c).alias(f"_in_{c}") for c in docs.columns]), model, text="_in_text")
     kept = judged.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE))
@@ -40,7 +43,10 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").where(~langid.held_out(F.col("doc_id"), 4, 2))
-    scored = quality.score(docs, quality.train(docs, labels), out="_quality")
+    model = quality.train(docs, labels)
+    if model is None:
+        return docs
+    scored = quality.score(docs, model, out="_quality")
     return scored.where(F.col("_quality") >= MIN_QUALITY).drop("_quality")
 
 

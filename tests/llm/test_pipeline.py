@@ -49,5 +49,14 @@ def test_copies_keep_one_row_of_a_group(spark):
     assert sorted(got, key=str) == sorted(exp, key=str)
 
 
+def test_stages_without_labels_keep_clean_documents(spark, tmp_path):
+    texts = texts_of(EN, 6, 3)
+    docs = spark.createDataFrame([*((i, t, None) for i, t in enumerate(texts)), (90, None, None), (91, "12 34", None)], "doc_id long, text string, lang string")
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = corpus_pipeline.language_stage(spark, docs, str(tmp_path))
+    assert sorted(r.doc_id for r in got.collect()) == list(range(6)) and got.columns == docs.columns
+    assert sorted(r.doc_id for r in corpus_pipeline.quality_stage(spark, got, str(tmp_path)).collect()) == list(range(6))
+
+
 def test_intermediate_tables_are_shared(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")

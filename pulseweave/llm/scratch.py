@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a local one only where the setting is absent."""
+    """The folder named in ``spark.checkpoint.dir``.
+
+    Where the setting is absent a local master gets a folder of its own; on a
+    cluster that is an error, since executors could not see it.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="pulseweave-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -22,14 +30,17 @@ def shared_dir(spark: SparkSession) -> str:
 BATCH_ROWS = 1000
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Lowers the session's rows for an Arrow batch, so that batches of long texts take little memory beside the heap.
-
-    The setting is read when a plan runs, so it stays lowered; a session that set less keeps its own.
-    """
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """Lowers the session's rows for an Arrow batch while an operator runs, so that batches of long texts take little memory beside the heap."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    before = spark.conf.get(key)
+    if not 0 < int(before) <= rows:
+        spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 class Scratch:
@@ -42,28 +53,27 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str) -> None:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        self._tables: dict[str, DataFrame] = {}
         self._n = 0
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         self._n += 1
         path = f"{self.root}/{self._n:03d}-{name}"
         df.write.mode("overwrite").parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._scratch_path = path  # noqa: SLF001
+        out = self._tables[path] = self.spark.read.schema(df.schema).parquet(path)
         return out
 
-    def release(self) -> None:
-        """Lets the driver collect what it no longer needs, so that Spark's cleaner deletes the shuffle files of finished steps."""
-        gc.collect()
-        self.spark._jvm.System.gc()  # noqa: SLF001
-
     def drop(self, *tables: DataFrame | None) -> None:
         """Deletes tables that nothing will read any more."""
         jvm = self.spark._jvm  # noqa: SLF001
-        for t in tables:
-            if t is not None and (p := getattr(t, "_scratch_path", None)):
-                path = jvm.org.apache.hadoop.fs.Path(p)
-                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)  # noqa: SLF001
+        for path in [p for p, t in self._tables.items() if any(t is x for x in tables)]:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)  # noqa: SLF001
+            del self._tables[path]
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Deletes all tables but these."""
+        self.drop(*[t for t in self._tables.values() if not any(t is x for x in tables)])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

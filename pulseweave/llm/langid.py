@@ -18,7 +18,7 @@ replaced.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -58,14 +58,15 @@ def _margins(rows, cols, values, n, weights, bias) -> np.ndarray:
     return np.stack([np.bincount(rows, weights=values * weights[cols, c], minlength=n) for c in range(weights.shape[1])], axis=1) + bias
 
 
-def document_frequencies(texts: DataFrame, dims: int, lower: bool = True) -> tuple[np.ndarray, int]:
-    """In how many texts each hashed n-gram occurs, and the number of texts; ``texts`` has one string column."""
+def document_frequencies(texts: DataFrame, dims: int, grams: Callable | None = None) -> tuple[np.ndarray, int]:
+    """In how many texts each of ``dims`` features occurs, and the number of texts; ``texts`` has one string column."""
+    grams = grams or (lambda some: char_counts(some, dims))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(dims, dtype=np.int64), 0
         for batch in batches:
             for a, b, some in text_batches(batch.column(0)):
-                _, cols, _ = char_counts(some, dims, lower=lower)
+                _, cols, _ = grams(some)
                 df += np.bincount(cols, minlength=dims)
                 n += b - a
         at = np.flatnonzero(df)
@@ -118,8 +119,12 @@ def calibrate(margins: np.ndarray, y: np.ndarray) -> float:
 
 def train(rows: DataFrame, *, text: str = "text", lang: str = "lang", dims: int = DIMS, sample: int = SAMPLE) -> LanguageModel | None:
     """A model from rows with text and a non-null language; None if there are none."""
-    small_batches(rows.sparkSession)
-    rows = rows.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where(F.col("text").isNotNull() & F.col("lang").isNotNull())
+    with small_batches(rows.sparkSession):
+        return _train(rows.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")), dims, sample)
+
+
+def _train(rows: DataFrame, dims: int, sample: int) -> LanguageModel | None:
+    rows = rows.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
     df, n = document_frequencies(rows.select("text"), dims)
     if not n:
         return None
@@ -129,17 +134,19 @@ def train(rows: DataFrame, *, text: str = "text", lang: str = "lang", dims: int
     drawn = rows.where(draw < F.lit(int(share * (1 << 24)) + 1)).dropDuplicates(["text", "lang"]).withColumn("k", F.xxhash64("text", F.lit("order"))).limit(sample)
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(k, t, y) for b in batches for k, t, y in zip(*(b.column(c).to_pylist() for c in ("k", "text", "lang")), strict=True)]
-        got.sort()
-        languages = sorted({y for *_, y in got})
+        # texts are let go as soon as their features are there
+        got = []
+        for batch in batches:
+            keys, langs = batch.column("k").to_pylist(), batch.column("lang").to_pylist()
+            for a, _, some in text_batches(batch.column("text")):
+                r, c, v = char_counts(some, dims)
+                w = tf_idf(r, v, idf[c], len(some))
+                ends = np.searchsorted(r, np.arange(len(some) + 1))
+                got += [(keys[a + i], langs[a + i], c[ends[i] : ends[i + 1]].astype(np.int32), w[ends[i] : ends[i + 1]].astype(np.float32)) for i in range(len(some))]
+        got.sort(key=lambda x: x[:2])
+        languages = sorted({y for _, y, *_ in got})
         number = {y: i for i, y in enumerate(languages)}
-        examples = []
-        for a in range(0, len(got), 32):
-            some = [t for _, t, _ in got[a : a + 32]]
-            r, c, v = char_counts(some, dims)
-            w = tf_idf(r, v, idf[c], len(some))
-            ends = np.searchsorted(r, np.arange(len(some) + 1))
-            examples += [(c[ends[i] : ends[i + 1]], w[ends[i] : ends[i + 1]], number[got[a + i][2]]) for i in range(len(some))]
+        examples = [(c, w, number[y]) for _, y, c, w in got]
         held = len(examples) // 5 if len(examples) >= 50 else 0
         weights, bias = fit_ftrl(examples[held:], len(languages), dims)
         margins = np.array([x @ weights[c] + bias for c, x, _ in examples[:held]]).reshape(held, len(languages))

@@ -1,10 +1,9 @@
 """Operator 7: quality classifier.
 
 Nearest-neighbour voting in a latent-semantic space.  Hashed character n-grams
-(case kept) are weighted by TF-IDF with document frequencies over all texts;
-a truncated singular value decomposition of a bounded sample of labelled texts
-gives the space, to which the share of repeated words is added as one more
-direction.  The labelled vectors are broadcast; each text is projected
+(case kept) and n-grams of repeated words are weighted by TF-IDF
+with document frequencies over all texts; a truncated singular value
+decomposition of a bounded sample of labelled texts gives the space.  The labelled vectors are broadcast; each text is projected
 whole, its exact cosines to all labelled vectors are computed in blocks, and
 its nearest neighbours vote with their similarities as weights.
 
@@ -40,15 +39,16 @@ DIMS = 1 << 13
 RANK = 48
 SAMPLE = 4096
 NEIGHBOURS = 31
-#: How much the share of repeated words weighs against the latent vector.
-REPEAT_WEIGHT = 1.5
+#: Repetition n-grams have up to so many words, and so many features.
+REPEAT_ORDER = 8
+REPEATS = 1 << (REPEAT_ORDER + 1)
 
 
 @dataclass
 class NeighbourModel:
     idf: np.ndarray
     space: np.ndarray  # features x rank
-    vectors: np.ndarray  # labelled x (rank + 1), of length 1
+    vectors: np.ndarray  # labelled x rank, of length 1
     labels: np.ndarray
     prior: float
     neighbours: int = NEIGHBOURS
@@ -67,31 +67,46 @@ class NeighbourModel:
         return np.where(total > 0, np.clip(vote, 0.0, 1.0), self.prior)
 
 
-def repeated(texts: list[str]) -> np.ndarray:
-    """The share of a text's words that repeat the word before them."""
-    out = np.zeros(len(texts), dtype=np.float32)
+def grams(texts: list[str], dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, feature, count) of hashed character n-grams, and behind them of repetition n-grams.
+
+    A repetition n-gram says which of up to REPEAT_ORDER consecutive words repeat the word before them.
+    """
+    rows, cols, counts = char_counts(texts, dims, lower=False)
+    out = [(rows, cols, counts)]
     for i, t in enumerate(texts):
         words = t.split()
-        if len(words) > 1:
-            out[i] = sum(map(eq, words, words[1:])) / (len(words) - 1)
-    return out
+        same = np.fromiter(map(eq, words, words[1:]), dtype=np.int64)
+        if not same.any():
+            continue
+        found, code = np.zeros(1 << (REPEAT_ORDER + 1), dtype=np.int64), np.zeros(len(same), dtype=np.int64)
+        for order in range(1, min(REPEAT_ORDER, len(same)) + 1):
+            code = code[: len(same) - order + 1] * 2 + same[order - 1 :]
+            found += np.bincount(code[code > 0] + (1 << order), minlength=len(found))
+        at = np.flatnonzero(found)
+        out.append((np.full(len(at), i), dims + at, found[at]))
+    if len(out) == 1:
+        return out[0]
+    rows, cols, counts = (np.concatenate(x) for x in zip(*out, strict=True))
+    order = np.argsort(rows, kind="stable")
+    return rows[order], cols[order], counts[order]
 
 
 def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
-def with_repeats(z: np.ndarray, texts: list[str]) -> np.ndarray:
-    """Latent vectors and one more direction, which the n-grams' logarithmic counts hardly see."""
-    return unit(np.hstack([unit(z), REPEAT_WEIGHT * repeated(texts)[:, None]]).astype(np.float32))
+def features(texts: list[str], idf: np.ndarray) -> np.ndarray:
+    """TF-IDF weights, a row of length 1 for each text."""
+    rows, cols, counts = grams(texts, len(idf) - REPEATS)
+    out = np.zeros((len(texts), len(idf)), dtype=np.float32)
+    out[rows, cols] = tf_idf(rows, counts, idf[cols], len(texts))
+    return out
 
 
 def project(texts: list[str], idf: np.ndarray, space: np.ndarray) -> np.ndarray:
-    """Vectors of length 1 by which texts are compared; zero where a text is empty."""
-    rows, cols, counts = char_counts(texts, len(idf), lower=False)
-    dense = np.zeros((len(texts), len(idf)), dtype=np.float32)
-    dense[rows, cols] = tf_idf(rows, counts, idf[cols], len(texts))
-    out = with_repeats(dense @ space, texts)
+    """Latent vectors of length 1; zero where a text is empty."""
+    out = unit(features(texts, idf) @ space)
     out[[not t for t in texts]] = 0.0
     return out
 
@@ -108,32 +123,40 @@ def latent_space(x: np.ndarray, rank: int, seed: int = 7) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text: str = "text", label: str = "quality", dims: int = DIMS, rank: int = RANK, sample: int = SAMPLE, neighbours: int = NEIGHBOURS) -> NeighbourModel | None:
     """A model from the texts of ``docs`` and ``labels`` (id and label); None without labelled texts."""
-    small_batches(docs.sparkSession)
-    df, n = document_frequencies(docs.select(F.col(text).alias("text")), dims, lower=False)
+    with small_batches(docs.sparkSession):
+        return _train(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), labels.select(F.col(id_col).alias("id"), F.col(label).alias("label")), dims, rank, sample, neighbours)
+
+
+def _train(docs: DataFrame, labels: DataFrame, dims: int, rank: int, sample: int, neighbours: int) -> NeighbourModel | None:
+    df, n = document_frequencies(docs.select("text"), dims + REPEATS, grams=lambda texts: grams(texts, dims))
     idf = inverse(df, n)
-    marked = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.round(F.avg(label)).cast("int").alias("label"))
+    marked = labels.where(F.col("id").isNotNull() & F.col("label").isNotNull()).groupBy("id").agg(F.round(F.avg("label")).cast("int").alias("label"))
     share = min(1.0, 0.95 * sample / max(1, marked.count()))
     draw = F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 24))
     drawn = F.broadcast(marked.where(draw < F.lit(int(share * (1 << 24)) + 1)).limit(sample))
-    known = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull()).join(drawn, "id").select("text", "label").dropDuplicates(["text", "label"]).limit(sample)
+    known = docs.where(F.col("text").isNotNull()).join(drawn, "id").select("text", "label").dropDuplicates(["text", "label"]).limit(sample)
+    known = known.withColumn("k", F.xxhash64("text"))
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = sorted((t, y) for b in batches for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
-        x = np.zeros((len(got), dims), dtype=np.float32)
-        for a in range(0, len(got), 32):
-            some = [t for t, _ in got[a : a + 32]]
-            r, c, v = char_counts(some, dims, lower=False)
-            x[a + r, c] = tf_idf(r, v, idf[c], len(some))
-        if len(got):
+        # texts are let go as soon as their features are there
+        got, parts = [], []
+        for batch in batches:
+            keys, marks = batch.column("k").to_pylist(), batch.column("label").to_pylist()
+            for a, b, some in text_batches(batch.column("text")):
+                got += zip(keys[a:b], marks[a:b], strict=True)
+                parts.append(features(some, idf))
+        if got:
+            order = sorted(range(len(got)), key=got.__getitem__)
+            x = np.concatenate(parts)[order]
             space = latent_space(x, rank)
-            z = with_repeats(x @ space, [t for t, _ in got])
-            yield pa.RecordBatch.from_arrays([pa.array([space.astype("<f4").tobytes()]), pa.array([z.astype("<f4").tobytes()]), pa.array([[y for _, y in got]], pa.list_(pa.int32())), pa.array([space.shape[1]], pa.int32())], ["space", "vectors", "labels", "rank"])
+            z = unit(x @ space)
+            yield pa.RecordBatch.from_arrays([pa.array([space.astype("<f4").tobytes()]), pa.array([z.astype("<f4").tobytes()]), pa.array([[got[i][1] for i in order]], pa.list_(pa.int32())), pa.array([space.shape[1]], pa.int32())], ["space", "vectors", "labels", "rank"])
 
     got = known.repartition(1).mapInArrow(fit, "space binary, vectors binary, labels array<int>, rank int").first()
     if got is None:
         return None
     y = np.array(got.labels, dtype=np.float64)
-    return NeighbourModel(idf.astype(np.float32), np.frombuffer(got.space, "<f4").reshape(dims, got["rank"]), np.frombuffer(got.vectors, "<f4").reshape(len(y), -1), y, float(y.mean()), neighbours)
+    return NeighbourModel(idf.astype(np.float32), np.frombuffer(got.space, "<f4").reshape(dims + REPEATS, got["rank"]), np.frombuffer(got.vectors, "<f4").reshape(len(y), -1), y, float(y.mean()), neighbours)
 
 
 def score(docs: DataFrame, model: NeighbourModel | None, *, text: str = "text", out: str = "score") -> DataFrame:

@@ -28,10 +28,13 @@ from pyspark.sql import functions as F
 from pulseweave.llm import langid, mixing, ngram_join, packing, quality
 from pulseweave.llm.scratch import Scratch, table
 
+#: Rows that go to Python at a time in this application, so that batches of long texts take little memory beside the heap.
+BATCH_ROWS = 1000
 MIN_LANGUAGE, MIN_QUALITY, MAX_REPETITION = 0.5, 0.7, 2.0
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     model = langid.train(docs.where(~langid.held_out(F.col("doc_id"), 5, 0)))
     if model is None:
         return docs.where(langid.has_letter(F.col("text")))
@@ -42,6 +45,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     labels = table(spark, sf_dir, "labels").where(~langid.held_out(F.col("doc_id"), 4, 2))
     model = quality.train(docs, labels)
     if model is None:

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import hrv, series, spectral
-from ..session import table
+from ..session import new_folder, table
 from ..streaming import streams
 from .adapter import BEATS_SQL, beats, excluded, raw_intervals, rr_series
 from .registry import Registry, tidy
@@ -18,7 +15,7 @@ R = Registry()
 
 @R.add()
 def welch_psd(spark, sf_dir):
-    return spectral.frequency_domain(rr_series(spark, sf_dir), shortest=20.0)
+    return spectral.frequency_domain(rr_series(spark, sf_dir))
 
 
 @R.add()
@@ -70,7 +67,7 @@ def _stream(spark, sf_dir):
 
 
 def _ran(stream, mode="complete"):
-    return streams.run_available(stream, f"t_{uuid.uuid4().hex}", mode)
+    return streams.run_available(stream, new_folder(stream.sparkSession, "stream"), mode)
 
 
 @R.add("SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2")
@@ -117,7 +114,7 @@ def stream_static_join(spark, sf_dir):
 
 @R.add("SELECT user_id, count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY 1")
 def stream_write_new(spark, sf_dir):
-    target = f"{tempfile.gettempdir()}/pulseweave-{uuid.uuid4().hex}" if not spark.conf.get("spark.checkpoint.dir", None) else f"{spark.conf.get('spark.checkpoint.dir')}/new-{uuid.uuid4().hex}"
+    target = new_folder(spark, "new")
     s = _stream(spark, sf_dir).select(F.concat_ws(":", "user_id", "event_type").alias("key"), "user_id")
     streams.each_batch(s, streams.write_new(f"{target}/table", "key"), f"{target}/state")
     return spark.read.parquet(f"{target}/table").groupBy("user_id").agg(F.count("*").alias("n"))

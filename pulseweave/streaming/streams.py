@@ -7,9 +7,12 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
+from ..session import exists
+
 
 def read_folder(spark: SparkSession, folder: str, schema: StructType, glob: str, time: str) -> DataFrame:
     """A file stream; its event time as a timestamp that a watermark accepts (UTC)."""
@@ -53,32 +56,77 @@ def intervals(stream: DataFrame, key: str, time: str) -> DataFrame:
     return stream.groupBy(key).applyInPandasWithState(run, f"{key} long, t_us long, rr_ms double", "last long", "append", GroupStateTimeout.NoTimeout)
 
 
-def run_available(stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """Runs a stream over what is there, and returns its table."""
-    w = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
-    if checkpoint:
-        w = w.option("checkpointLocation", checkpoint)
+def run_available(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """Runs a stream over what is there into a Parquet table under ``folder``, beside its state, and returns that table.
+
+    In complete mode every batch writes a table of its own and the last one counts.
+    """
+    spark = stream.sparkSession
+    if mode == "append":
+        w = stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+        w.start(f"{folder}/table").awaitTermination()
+        return spark.read.schema(stream.schema).parquet(f"{folder}/table")
+    done = [None]
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/table/{batch_id}")
+        done[0] = batch_id
+
+    w = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
     w.start().awaitTermination()
-    return stream.sparkSession.table(name)
+    if done[0] is None:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/table/{done[0]}")
 
 
 def each_batch(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> None:
-    """Runs ``write`` for every batch that is there, once each; with replacing writes a repeated batch changes nothing."""
+    """Runs ``write`` for every batch that is there; a batch that failed is given again under its number."""
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def write_new(target: str, key: str) -> Callable[[DataFrame, int], None]:
-    """Appends rows whose key the Parquet table at ``target`` does not hold yet: de-duplication for all time."""
+    """Adds rows whose key the Parquet table at ``target`` does not hold yet: de-duplication for all time.
 
-    def write(batch: DataFrame, _: int) -> None:
+    A batch is one partition of the table, replaced if the batch is given
+    again, so a repeat changes nothing.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch = batch.dropDuplicates([key])
-        try:
-            known = spark.read.parquet(target).select(key)
-        except Exception as e:  # noqa: BLE001 - the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            known = batch.select(key).limit(0)
-        batch.join(known, key, "left_anti").write.mode("append").parquet(target)
+        rows = batch.dropDuplicates([key])
+        if exists(spark, target):
+            held = spark.read.parquet(target).where(F.col("batch") < batch_id).select(key)
+            rows = rows.join(held, key, "left_anti")
+        rows.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
     return write
+
+
+def replace_keys(target: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
+    """Replaces, for every batch, the partitions of the table at ``target`` that the batch has rows for."""
+
+    def write(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(target)
+
+    return write
+
+
+class Progress(StreamingQueryListener):
+    """Keeps the last progress of each running query: rows of the batch, rows a second, batch number."""
+
+    def __init__(self) -> None:
+        self.last: dict[str, dict] = {}
+
+    def onQueryStarted(self, event) -> None:
+        self.last[str(event.id)] = {"batch": None, "rows": 0, "rows_per_second": 0.0}
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.last[str(p.id)] = {"batch": p.batchId, "rows": p.numInputRows, "rows_per_second": p.processedRowsPerSecond}
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        if str(event.id) in self.last:
+            self.last[str(event.id)]["failed"] = event.exception

@@ -12,15 +12,26 @@ WINDOW_S, RAIL_MV, RAIL_SHARE, CLIP_RUN = 5.0, 2.0, 0.98, 3
 AMPLITUDE_MV, FLAT_MV, SQI_LIMIT, GAP_MEDIANS = 4.0, 0.01, 0.5, 2.0
 
 
-def clipped(samples: DataFrame) -> DataFrame:
-    """Samples (session_id, i, t_s, x) that end a run of three at 98 % of the rail; the rail is the greatest |x| if that is 2 mV or more."""
+def _numbered(samples: DataFrame, width: float) -> DataFrame:
+    """Adds k, the window of a sample (windows begin at the session's first sample; the last one is closed), and _t0, _t1."""
+    w = Window.partitionBy("session_id")
+    d = samples.withColumns({"_t0": F.min("t_s").over(w), "_t1": F.max("t_s").over(w)})
+    return d.withColumn("k", F.least(F.floor((F.col("t_s") - F.col("_t0")) / width), _count(width) - 1).cast("long"))
+
+
+def _count(width: float):
+    return F.greatest(F.lit(1), F.ceil((F.col("_t1") - F.col("_t0")) / width))
+
+
+def clipped(samples: DataFrame, width: float = WINDOW_S) -> DataFrame:
+    """Samples (session_id, i, t_s, x) that end a run of three, inside one window, at 98 % of the rail; the rail is the greatest |x| if that is 2 mV or more."""
     rail = F.max(F.abs("x")).over(Window.partitionBy("session_id"))
     pinned = F.coalesce((F.col("_rail") >= RAIL_MV) & (F.abs("x") >= RAIL_SHARE * F.col("_rail")), F.lit(False))
-    w = by_session("i")
-    d = samples.withColumn("_rail", rail).withColumn("_p", pinned)
+    w = by_session("i", keys=("session_id", "k"))
+    d = _numbered(samples, width).withColumn("_rail", rail).withColumn("_p", pinned)
     run = F.col("_p")
-    for k in range(1, CLIP_RUN):
-        run &= F.coalesce(F.lag("_p", k).over(w), F.lit(False))
+    for n in range(1, CLIP_RUN):
+        run &= F.coalesce(F.lag("_p", n).over(w), F.lit(False))
     return d.withColumn("clip", run).drop("_rail", "_p")
 
 
@@ -32,25 +43,36 @@ def gaps(samples: DataFrame) -> DataFrame:
 
 
 def windows(samples: DataFrame, width: float = WINDOW_S) -> DataFrame:
-    """Quality windows of samples (session_id, i, t_s, x, sqi, wander): k, start_s, sqi_mean, wander_rms_mv, reasons, excluded.
+    """Quality windows of samples (session_id, i, t_s, x, sqi, wander): k, start_s, end_s, n, sqi_mean, wander_rms_mv, reasons, excluded.
 
-    A missing quality index never excludes, and a flat window is not judged by it.
+    Every window from the first sample to the last is there, the last one cut
+    at the last sample; one of under two samples is excluded for that alone,
+    with 0 for index and wander.  A missing quality index never excludes, and a
+    flat window is not judged by it.
     """
-    d = clipped(samples)
-    d = d.withColumn("k", F.floor(F.col("t_s") / width).cast("long"))
-    w = d.groupBy("session_id", "k").agg(
-        F.count("*").alias("n"), F.max(F.col("clip")).alias("_clip"), F.percentile(F.abs("x"), F.lit(0.99)).alias("_p99"), F.stddev_pop("x").alias("_sd"), F.avg("sqi").alias("sqi_mean"), F.sqrt(F.avg(F.col("wander") * F.col("wander"))).alias("wander_rms_mv")
+    d = clipped(samples, width)
+    found = d.groupBy("session_id", "k").agg(
+        F.count("*").alias("_n"), F.max(F.col("clip")).alias("_clip"), F.percentile(F.abs("x"), F.lit(0.99)).alias("_p99"), F.stddev_pop("x").alias("_sd"), F.avg("sqi").alias("_sqi"), F.sqrt(F.avg(F.col("wander") * F.col("wander"))).alias("_wander")
     )
-    g = gaps(samples).withColumn("k", F.explode(F.sequence(F.floor(F.col("start_s") / width), F.floor(F.col("end_s") / width)))).select("session_id", "k", F.lit(True).alias("_gap")).distinct()
-    w = w.join(g, ["session_id", "k"], "left")
-    flat = F.col("_sd") < FLAT_MV
+    ends = samples.groupBy("session_id").agg(F.min("t_s").alias("_t0"), F.max("t_s").alias("_t1"))
+    grid = ends.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), _count(width).cast("long") - 1)))
+    start = F.col("_t0") + F.col("k") * width
+    grid = grid.withColumns({"start_s": start, "end_s": F.least(start + width, F.col("_t1"))})
+    g = gaps(samples).withColumnsRenamed({"start_s": "_s", "end_s": "_e"}).join(ends, "session_id")
+    g = g.withColumn("k", F.explode(F.sequence(F.floor((F.col("_s") - F.col("_t0")) / width), F.floor((F.col("_e") - F.col("_t0")) / width))))
+    at = F.col("_t0") + F.col("k") * width
+    g = g.where((F.col("_s") < F.least(at + width, F.col("_t1"))) & (F.col("_e") > at)).select("session_id", "k", F.lit(True).alias("_gap")).distinct()
+    w = grid.join(found, ["session_id", "k"], "left").join(g, ["session_id", "k"], "left").withColumn("n", F.coalesce("_n", F.lit(0)))
+    empty, flat = F.col("n") < 2, F.col("_sd") < FLAT_MV
     reasons = F.array_compact(
         F.array(
-            F.when(F.col("n") < 2, "too few samples"), F.when(F.col("_gap"), "gap"), F.when(F.col("_clip"), "clipping"), F.when(F.col("_p99") > AMPLITUDE_MV, "amplitude"), F.when(flat, "flat"),
-            F.when(~flat & (F.col("sqi_mean") < SQI_LIMIT), "low quality"),
+            F.when(F.col("_gap"), "gap"), F.when(F.col("_clip"), "clipping"), F.when(F.col("_p99") > AMPLITUDE_MV, "amplitude"), F.when(flat, "flat"),
+            F.when(~flat & (F.col("_sqi") < SQI_LIMIT), "low quality"),
         )
     )
-    return w.select("session_id", "k", (F.col("k") * width).alias("start_s"), ((F.col("k") + 1) * width).alias("end_s"), "n", "sqi_mean", "wander_rms_mv", reasons.alias("reasons")).withColumn("excluded", F.size("reasons") > 0)
+    reasons = F.when(empty, F.array(F.lit("too few samples"))).otherwise(reasons)
+    value = lambda c: F.when(empty, 0.0).otherwise(F.col(c))
+    return w.select("session_id", "k", "start_s", "end_s", "n", value("_sqi").alias("sqi_mean"), value("_wander").alias("wander_rms_mv"), reasons.alias("reasons")).withColumn("excluded", F.size("reasons") > 0)
 
 
 def merge_excluded(windows_: DataFrame) -> DataFrame:
@@ -79,9 +101,12 @@ def mad_threshold(df: DataFrame, value: str, mads: float = 5.0, keys=("session_i
 
 
 def motion_degraded(beats: DataFrame, windows_: DataFrame, width: float = WINDOW_S) -> DataFrame:
-    """Adds motion to beats (session_id, t_s): in an excluded window, of low quality, or of more than three times the session's median wander."""
-    med = windows_.groupBy("session_id").agg(F.percentile("wander_rms_mv", F.lit(0.5)).alias("_med"))
-    w = windows_.join(med, "session_id").select("session_id", "k", (F.col("excluded") | F.coalesce(F.col("sqi_mean") < SQI_LIMIT, F.lit(False)) | F.coalesce(F.col("wander_rms_mv") > 3.0 * F.greatest("_med", F.lit(1e-6)), F.lit(False))).alias("motion"))
-    return beats.withColumn("k", F.floor(F.col("t_s") / width).cast("long")).join(w, ["session_id", "k"], "left").withColumn("motion", F.coalesce("motion", F.lit(False))).drop("k")
-
+    """Adds motion to beats (session_id, t_s): in an excluded window, of low quality, or of more than three times the session's median wander.
 
+    A beat at a window's end is not in it.
+    """
+    med = windows_.groupBy("session_id").agg(F.percentile("wander_rms_mv", F.lit(0.5)).alias("_med"), F.min("start_s").alias("_t0"))
+    w = windows_.join(med, "session_id").select("session_id", "k", "end_s", (F.col("excluded") | F.coalesce(F.col("sqi_mean") < SQI_LIMIT, F.lit(False)) | F.coalesce(F.col("wander_rms_mv") > 3.0 * F.greatest("_med", F.lit(1e-6)), F.lit(False))).alias("motion"))
+    b = beats.join(med.select("session_id", "_t0"), "session_id", "left").withColumn("k", F.floor((F.col("t_s") - F.col("_t0")) / width).cast("long"))
+    hit = F.coalesce(F.col("motion") & (F.col("t_s") < F.col("end_s")), F.lit(False))
+    return b.join(w, ["session_id", "k"], "left").withColumn("motion", hit).drop("k", "end_s", "_t0")

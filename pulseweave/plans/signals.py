@@ -21,21 +21,26 @@ _GAPS = """,
 st AS (SELECT * FROM (SELECT session_id, t_s AS s, lead(t_s) OVER (PARTITION BY session_id ORDER BY i) AS e FROM sa) WHERE e IS NOT NULL),
 md AS (SELECT session_id, quantile_cont(e - s, 0.5) AS m FROM st GROUP BY 1),
 ga AS (SELECT st.session_id, s, e FROM st JOIN md ON md.session_id = st.session_id WHERE e - s > 2 * m)"""
+#: Windows run from a session's first sample to its last in steps of 5 s; the last one is cut and closed.
 _CLIP = """,
-ra AS (SELECT *, max(abs(x)) OVER (PARTITION BY session_id) AS rail FROM sa),
+en AS (SELECT session_id, min(t_s) AS t0, max(t_s) AS t1, greatest(1, CAST(ceil((max(t_s) - min(t_s)) / 5.0::DOUBLE) AS BIGINT)) AS nw FROM sa GROUP BY 1),
+ra AS (SELECT sa.*, least(CAST(floor((t_s - t0) / 5.0::DOUBLE) AS BIGINT), nw - 1) AS k, max(abs(x)) OVER (PARTITION BY sa.session_id) AS rail FROM sa JOIN en ON en.session_id = sa.session_id),
 pi AS (SELECT *, coalesce(rail >= 2.0 AND abs(x) >= 0.98 * rail, false) AS p FROM ra),
-cl AS (SELECT session_id, i, t_s, x, sqi, wander, p AND coalesce(lag(p, 1) OVER w, false) AND coalesce(lag(p, 2) OVER w, false) AS clip FROM pi WINDOW w AS (PARTITION BY session_id ORDER BY i))"""
+cl AS (SELECT session_id, i, k, t_s, x, sqi, wander, p AND coalesce(lag(p, 1) OVER w, false) AND coalesce(lag(p, 2) OVER w, false) AS clip FROM pi WINDOW w AS (PARTITION BY session_id, k ORDER BY i))"""
 _WINDOWS = (
     SAMPLES_SQL
     + _GAPS
     + _CLIP
     + """,
-wa AS (SELECT session_id, CAST(floor(t_s / 5.0) AS BIGINT) AS k, count(*) AS n, bool_or(clip) AS clip, quantile_cont(abs(x), 0.99) AS p99, stddev_pop(x) AS sd, avg(sqi) AS sqi_mean, sqrt(avg(wander * wander)) AS wander_rms_mv FROM cl GROUP BY 1, 2),
-gk AS (SELECT DISTINCT session_id, unnest(generate_series(CAST(floor(s / 5.0) AS BIGINT), CAST(floor(e / 5.0) AS BIGINT))) AS k FROM ga),
+wa AS (SELECT session_id, k, count(*) AS n, bool_or(clip) AS clip, quantile_cont(abs(x), 0.99) AS p99, stddev_pop(x) AS sd, avg(sqi) AS sqi, sqrt(avg(wander * wander)) AS wander FROM cl GROUP BY 1, 2),
+gr AS (SELECT session_id, k, t0 + k * 5.0::DOUBLE AS start_s, least(t0 + k * 5.0::DOUBLE + 5.0::DOUBLE, t1) AS end_s FROM (SELECT *, unnest(generate_series(0, nw - 1)) AS k FROM en)),
+gk AS (SELECT DISTINCT gr.session_id, gr.k FROM gr JOIN ga ON ga.session_id = gr.session_id AND ga.s < gr.end_s AND ga.e > gr.start_s),
 qw AS (
-  SELECT wa.*, list_filter([CASE WHEN n < 2 THEN 'too few samples' END, CASE WHEN gk.k IS NOT NULL THEN 'gap' END, CASE WHEN clip THEN 'clipping' END, CASE WHEN p99 > 4.0 THEN 'amplitude' END,
-           CASE WHEN sd < 0.01 THEN 'flat' END, CASE WHEN NOT sd < 0.01 AND sqi_mean < 0.5 THEN 'low quality' END], lambda r: r IS NOT NULL) AS reasons
-  FROM wa LEFT JOIN gk ON gk.session_id = wa.session_id AND gk.k = wa.k)"""
+  SELECT gr.session_id, gr.k, start_s, end_s, coalesce(n, 0) AS n, CASE WHEN coalesce(n, 0) < 2 THEN 0.0 ELSE sqi END AS sqi_mean, CASE WHEN coalesce(n, 0) < 2 THEN 0.0 ELSE wander END AS wander_rms_mv,
+    CASE WHEN coalesce(n, 0) < 2 THEN ['too few samples'] ELSE
+      list_filter([CASE WHEN gk.k IS NOT NULL THEN 'gap' END, CASE WHEN clip THEN 'clipping' END, CASE WHEN p99 > 4.0 THEN 'amplitude' END,
+           CASE WHEN sd < 0.01 THEN 'flat' END, CASE WHEN NOT sd < 0.01 AND sqi < 0.5 THEN 'low quality' END], lambda r: r IS NOT NULL) END AS reasons
+  FROM gr LEFT JOIN wa ON wa.session_id = gr.session_id AND wa.k = gr.k LEFT JOIN gk ON gk.session_id = gr.session_id AND gk.k = gr.k)"""
 )
 
 
@@ -53,39 +58,40 @@ def clipping_runs(spark, sf_dir):
     return quality.clipped(_samples(spark, sf_dir)).where("clip").select("session_id", "i")
 
 
-@R.add(_WINDOWS + " SELECT session_id, k, n, round(sqi_mean, 6) AS sqi_mean, round(wander_rms_mv, 6) AS wander_rms_mv, array_to_string(reasons, ',') AS reasons, len(reasons) > 0 AS excluded FROM qw")
+@R.add(_WINDOWS + " SELECT session_id, k, round(start_s, 6) AS start_s, round(end_s, 6) AS end_s, n, round(sqi_mean, 6) AS sqi_mean, round(wander_rms_mv, 6) AS wander_rms_mv, array_to_string(reasons, ',') AS reasons, len(reasons) > 0 AS excluded FROM qw")
 def quality_windows(spark, sf_dir):
-    return tidy(quality.windows(_samples(spark, sf_dir)).drop("start_s", "end_s").withColumn("reasons", F.array_join("reasons", ",")))
+    return tidy(quality.windows(_samples(spark, sf_dir)).withColumn("reasons", F.array_join("reasons", ",")))
 
 
 _MERGED = (
     _WINDOWS
     + """,
-ex AS (SELECT session_id, k, k - row_number() OVER (PARTITION BY session_id ORDER BY k) AS g, reasons FROM qw WHERE len(reasons) > 0),
-me AS (SELECT session_id, min(k) * 5.0::DOUBLE AS start_s, (max(k) + 1) * 5.0::DOUBLE AS end_s FROM ex GROUP BY session_id, g)"""
+ex AS (SELECT session_id, k, k - row_number() OVER (PARTITION BY session_id ORDER BY k) AS g, start_s, end_s, reasons FROM qw WHERE len(reasons) > 0),
+me AS (SELECT session_id, min(start_s) AS start_s, max(end_s) AS end_s, string_agg(array_to_string(reasons, ','), ',' ORDER BY k) AS every_reason FROM ex GROUP BY session_id, g)"""
 )
 
 
-@R.add(_MERGED + " SELECT session_id, start_s, end_s FROM me")
+@R.add(_MERGED + " SELECT session_id, round(start_s, 6) AS start_s, round(end_s, 6) AS end_s, array_to_string(list_sort(list_distinct(string_split(every_reason, ','))), ',') AS reasons FROM me")
 def merge_excluded(spark, sf_dir):
-    return tidy(quality.merge_excluded(quality.windows(_samples(spark, sf_dir))).drop("reasons"))
+    found = quality.merge_excluded(quality.windows(_samples(spark, sf_dir)))
+    return tidy(found.withColumn("reasons", F.array_join(F.array_sort("reasons"), ",")))
 
 
 @R.add(
     _MERGED
-    + """, du AS (SELECT session_id, max(t_s) AS d FROM sa GROUP BY 1), to_ AS (SELECT session_id, sum(end_s - start_s) AS x FROM me GROUP BY 1)
+    + """, du AS (SELECT session_id, max(t_s) - min(t_s) AS d FROM sa GROUP BY 1), to_ AS (SELECT session_id, sum(end_s - start_s) AS x FROM me GROUP BY 1)
 SELECT du.session_id, round(d, 6) AS duration_s, round(coalesce(x, 0), 6) AS excluded_s, round(greatest(0, d - coalesce(x, 0)), 6) AS analysed_s FROM du LEFT JOIN to_ ON du.session_id = to_.session_id"""
 )
 def excluded_totals(spark, sf_dir):
     s = _samples(spark, sf_dir)
-    return tidy(quality.totals(quality.merge_excluded(quality.windows(s)), s.groupBy("session_id").agg(F.max("t_s").alias("duration_s"))))
+    return tidy(quality.totals(quality.merge_excluded(quality.windows(s)), s.groupBy("session_id").agg((F.max("t_s") - F.min("t_s")).alias("duration_s"))))
 
 
 @R.add(
     _WINDOWS
     + """, mw AS (SELECT session_id, quantile_cont(wander_rms_mv, 0.5) AS m FROM qw GROUP BY 1),
-mo AS (SELECT qw.session_id, k, len(reasons) > 0 OR coalesce(sqi_mean < 0.5, false) OR coalesce(wander_rms_mv > 3.0 * greatest(m, 1e-6), false) AS motion FROM qw JOIN mw ON mw.session_id = qw.session_id)
-SELECT sa.session_id, i, coalesce(motion, false) AS motion FROM sa LEFT JOIN mo ON mo.session_id = sa.session_id AND mo.k = floor(sa.t_s / 5.0)"""
+mo AS (SELECT qw.session_id, k, start_s, end_s, len(reasons) > 0 OR coalesce(sqi_mean < 0.5, false) OR coalesce(wander_rms_mv > 3.0 * greatest(m, 1e-6), false) AS motion FROM qw JOIN mw ON mw.session_id = qw.session_id)
+SELECT sa.session_id, i, coalesce(motion, false) AS motion FROM sa LEFT JOIN mo ON mo.session_id = sa.session_id AND sa.t_s >= mo.start_s AND sa.t_s < mo.end_s"""
 )
 def motion_degraded(spark, sf_dir):
     s = _samples(spark, sf_dir)

@@ -32,29 +32,35 @@ def groups(beats: DataFrame) -> DataFrame:
     return g.withColumn("kind", F.when(F.col("n_ectopic") >= 3, "run").when(F.col("n_ectopic") == 2, "couplet").otherwise("single"))
 
 
-def local_reference(rr: DataFrame) -> DataFrame:
-    """Adds reference_ms to (session_id, n, rr_ms): the median of up to ten physiological intervals on either side; null with under three."""
-    w = by_session("n")
-    around = F.concat(F.collect_list("rr_ms").over(w.rowsBetween(-10, -1)), F.collect_list("rr_ms").over(w.rowsBetween(1, 10)))
-    ok = F.array_sort(F.filter(around, lambda x: (x >= FLOOR_MS) & (x <= CEILING_MS)))
-    k = F.size("_a")
-    mid = (F.element_at("_a", F.floor((k + 1) / 2).cast("int")) + F.element_at("_a", F.floor((k + 2) / 2).cast("int"))) / 2
-    return rr.withColumn("_a", ok).withColumn("reference_ms", F.when(k >= 3, mid)).drop("_a")
+def local_reference(events: DataFrame, rr: DataFrame, around: int = 10) -> DataFrame:
+    """Adds reference_ms to events (session_id, start_beat, end_beat): the median of the physiological intervals near them, null with under three.
+
+    Near are up to ``around`` intervals before and after those that touch the
+    event.  Interval n of ``rr`` (session_id, n, rr_ms) ends at beat n, so
+    intervals start_beat to end_beat + 1 touch it.  Only intervals near an
+    event are grouped.
+    """
+    first, last = F.col("start_beat"), F.col("end_beat") + 1
+    n = F.explode(F.concat(F.sequence(first - around, first - 1), F.sequence(last + 1, last + around)))
+    e = events.select("session_id", "start_beat", "end_beat").distinct()
+    near = e.withColumn("n", n).join(rr.select("session_id", "n", "rr_ms").where(F.col("rr_ms").between(FLOOR_MS, CEILING_MS)), ["session_id", "n"])
+    ref = near.groupBy("session_id", "start_beat", "end_beat").agg(F.percentile("rr_ms", F.lit(0.5)).alias("reference_ms"), F.count("*").alias("_k"))
+    return events.join(ref.where("_k >= 3").drop("_k"), ["session_id", "start_beat", "end_beat"], "left")
 
 
 def pauses(events: DataFrame, rr: DataFrame) -> DataFrame:
-    """Adds pause_ratio, (RR before + RR after) / (2 * reference), and pause_complete to events; null at edges and outside physiology.
+    """Adds pause_ratio, (RR before + RR after) / (2 * reference), and pause_complete to events.
 
-    The reference is that of the interval into the event's first beat; the
-    interval before a beat has the beat's number.
+    Null at the edges, outside physiology, and where either interval of ``rr``
+    (session_id, n, rr_ms, excluded) overlaps excluded signal.
     """
-    ref = local_reference(rr)
-    before = ref.select("session_id", F.col("n").alias("start_beat"), F.col("rr_ms").alias("_pre"), F.col("reference_ms").alias("_ref"))
-    after = rr.select("session_id", (F.col("n") - 1).alias("end_beat"), F.col("rr_ms").alias("_post"))
-    ok = F.col("_pre").between(FLOOR_MS, CEILING_MS) & F.col("_post").between(FLOOR_MS, CEILING_MS)
-    out = events.join(before, ["session_id", "start_beat"], "left").join(after, ["session_id", "end_beat"], "left")
-    out = out.withColumn("pause_ratio", F.when(ok, (F.col("_pre") + F.col("_post")) / (2 * F.col("_ref"))))
-    return out.withColumn("pause_complete", F.col("pause_ratio") >= FULL_PAUSE).drop("_pre", "_post", "_ref")
+    ok = F.col("rr_ms").between(FLOOR_MS, CEILING_MS) & ~F.coalesce("excluded", F.lit(False))
+    usable = rr.where(ok)
+    before = usable.select("session_id", F.col("n").alias("start_beat"), F.col("rr_ms").alias("_pre"))
+    after = usable.select("session_id", (F.col("n") - 1).alias("end_beat"), F.col("rr_ms").alias("_post"))
+    out = local_reference(events, rr).join(before, ["session_id", "start_beat"], "left").join(after, ["session_id", "end_beat"], "left")
+    out = out.withColumn("pause_ratio", F.when(F.col("reference_ms") > 0, (F.col("_pre") + F.col("_post")) / (2 * F.col("reference_ms"))))
+    return out.withColumn("pause_complete", F.col("pause_ratio") >= FULL_PAUSE).drop("_pre", "_post", "reference_ms")
 
 
 def burden(events: DataFrame, sessions: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import ectopy, hrv, screening, series
-from .adapter import BEATS_SQL, RR_SQL, beats, raw_intervals, rr_series
+from .adapter import BEATS_SQL, RR_SQL, beats, excluded, raw_intervals, rr_series
 from .registry import Registry, tidy
 from .rhythm import _SLIDING, COSEN_SQL
 
@@ -29,13 +29,15 @@ grp AS (
   SELECT session_id, min(beat) AS start_beat, max(beat) AS end_beat, count(*) AS n_ectopic
   FROM (SELECT *, beat - row_number() OVER (PARTITION BY session_id ORDER BY beat) AS g FROM ect) GROUP BY session_id, g),
 kin AS (SELECT *, CASE WHEN n_ectopic >= 3 THEN 'run' WHEN n_ectopic = 2 THEN 'couplet' ELSE 'single' END AS kind FROM grp),
-rl AS (
-  SELECT session_id, n, rr_ms, list_filter(list_concat(coalesce(list(rr_ms) OVER (PARTITION BY session_id ORDER BY n ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), []),
-         coalesce(list(rr_ms) OVER (PARTITION BY session_id ORDER BY n ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING), [])), lambda x: x >= 300 AND x <= 2200) AS a FROM raw),
-ref AS (SELECT session_id, n, rr_ms, CASE WHEN len(a) >= 3 THEN list_median(a) END AS reference_ms FROM rl),
+ref AS (
+  SELECT kin.session_id, start_beat, end_beat, CASE WHEN count(raw.n) >= 3 THEN quantile_cont(raw.rr_ms, 0.5) END AS reference_ms
+  FROM kin LEFT JOIN raw ON raw.session_id = kin.session_id AND raw.rr_ms BETWEEN 300 AND 2200
+    AND (raw.n BETWEEN start_beat - 10 AND start_beat - 1 OR raw.n BETWEEN end_beat + 2 AND end_beat + 11) GROUP BY 1, 2, 3),
+us AS (SELECT session_id, n, rr_ms FROM fated WHERE fate = 'kept'),
 pau AS (
-  SELECT kin.*, CASE WHEN b.rr_ms BETWEEN 300 AND 2200 AND c.rr_ms BETWEEN 300 AND 2200 THEN (b.rr_ms + c.rr_ms) / (2 * b.reference_ms) END AS pause_ratio
-  FROM kin LEFT JOIN ref b ON b.session_id = kin.session_id AND b.n = kin.start_beat LEFT JOIN ref c ON c.session_id = kin.session_id AND c.n = kin.end_beat + 1),
+  SELECT kin.*, reference_ms, CASE WHEN reference_ms > 0 THEN (b.rr_ms + c.rr_ms) / (2 * reference_ms) END AS pause_ratio
+  FROM kin JOIN ref USING (session_id, start_beat, end_beat)
+  LEFT JOIN us b ON b.session_id = kin.session_id AND b.n = kin.start_beat LEFT JOIN us c ON c.session_id = kin.session_id AND c.n = kin.end_beat + 1),
 ses AS (SELECT session_id, max(t_s) AS analysed_s, count(*) AS n_beats FROM beats GROUP BY 1),
 bur AS (
   SELECT ses.session_id, analysed_s, n_beats, CAST(coalesce(sum(n_ectopic), 0) AS BIGINT) AS n, count(*) FILTER (kind = 'single') AS singles, count(*) FILTER (kind = 'couplet') AS couplets,
@@ -56,7 +58,9 @@ def _confirmed(spark, sf_dir):
 
 
 def _events(spark, sf_dir):
-    return ectopy.pauses(ectopy.groups(_confirmed(spark, sf_dir)), raw_intervals(spark, sf_dir))
+    b = beats(spark, sf_dir)
+    rr = series.judged_intervals(b, excluded(b)).withColumn("excluded", F.col("fate") == "excluded")
+    return ectopy.pauses(ectopy.groups(_confirmed(spark, sf_dir)), rr)
 
 
 def _burden(spark, sf_dir):
@@ -83,9 +87,10 @@ def ectopy_burden(spark, sf_dir):
     return tidy(_burden(spark, sf_dir))
 
 
-@R.add(PREM_SQL + " SELECT session_id, n, round(rr_ms, 6) AS rr_ms, round(reference_ms, 6) AS reference_ms FROM ref")
+@R.add(PREM_SQL + " SELECT session_id, start_beat, end_beat, round(reference_ms, 6) AS reference_ms FROM ref")
 def local_reference_rr(spark, sf_dir):
-    return tidy(ectopy.local_reference(raw_intervals(spark, sf_dir)).select("session_id", "n", "rr_ms", "reference_ms"))
+    found = ectopy.local_reference(ectopy.groups(_confirmed(spark, sf_dir)), raw_intervals(spark, sf_dir))
+    return tidy(found.select("session_id", "start_beat", "end_beat", "reference_ms"))
 
 
 @R.add(

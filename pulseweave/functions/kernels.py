@@ -165,16 +165,36 @@ def r_peaks(ecg: np.ndarray, rate: float) -> np.ndarray:
     return np.array(out)
 
 
+def _bounded_line(e: np.ndarray, y: np.ndarray, low: tuple[float, float], high: tuple[float, float]) -> tuple[float, float, float]:
+    """Least squares of y = a + b e with a and b in a box: (loss, a, b)."""
+    n, se, see, sy, sey = len(e), e.sum(), (e * e).sum(), y.sum(), (e * y).sum()
+    found, det = [], n * see - se * se
+    if det > 1e-12 * n * see:
+        b = (n * sey - se * sy) / det
+        found.append(((sy - b * se) / n, b))
+    if not found or not all(lo <= v <= hi for lo, v, hi in zip(low, found[0], high, strict=True)):
+        # the best point of a convex loss outside the box is on an edge
+        found = [(a, min(max((sey - a * se) / see, low[1]), high[1])) for a in (low[0], high[0])]
+        found += [(min(max((sy - b * se) / n, low[0]), high[0]), b) for b in (low[1], high[1])]
+    return min((((y - a - b * e) ** 2).sum(), a, b) for a, b in found)
+
+
+# Bounds of the resting rate and the amplitude (bpm) and of the time constant (s).
+REST_BPM, AMPLITUDE_BPM, TAU_S = (20.0, 220.0), (0.0, 150.0), (5.0, 600.0)
+
+
 def recovery_tau(t: np.ndarray, hr: np.ndarray) -> float | None:
-    """Time constant of hr = a + b exp(-t / tau): a grid of tau between 5 and 600 s with linear least squares for a and b."""
+    """Time constant of hr = a + b exp(-t / tau) within bounds: the best of a grid of tau, refined by golden section."""
     if len(t) < 30 or t[-1] - t[0] < 90:
         return None
-    best = (np.inf, None)
-    for tau in np.geomspace(5, 600, 400):
-        e = np.exp(-(t - t[0]) / tau)
-        m = np.column_stack([np.ones_like(e), e])
-        c, *_ = np.linalg.lstsq(m, hr, rcond=None)
-        loss = ((hr - m @ c) ** 2).sum()
-        if c[1] > 0 and loss < best[0]:
-            best = (loss, float(tau))
-    return best[1]
+
+    def loss(tau: float) -> float:
+        return _bounded_line(np.exp(-(t - t[0]) / tau), hr, (REST_BPM[0], AMPLITUDE_BPM[0]), (REST_BPM[1], AMPLITUDE_BPM[1]))[0]
+
+    grid = np.geomspace(*TAU_S, 120)
+    k = int(np.argmin([loss(x) for x in grid]))
+    a, b, g = grid[max(k - 1, 0)], grid[min(k + 1, len(grid) - 1)], (5**0.5 - 1) / 2
+    for _ in range(60):
+        c, d = b - g * (b - a), a + g * (b - a)
+        a, b = (a, d) if loss(c) < loss(d) else (c, b)
+    return float((a + b) / 2)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,12 +75,12 @@ def _relative():
     return F.when((k >= 3) & (mid > 0), 100.0 * (F.col("rr_ms") - mid) / mid)
 
 
-def rolling_peak(rr: DataFrame, width: float = 30.0, least: int = 5) -> DataFrame:
-    """The highest mean HR of the ``width`` seconds that begin at a beat, and the end of the last such window within 1 bpm of it."""
-    w = Window.partitionBy("session_id").orderBy(F.round(F.col("t_s") * 100000).cast("long")).rangeBetween(0, int(width * 100000) - 1)
-    r = rr.select("session_id", "t_s", (60000.0 / F.avg("rr_ms").over(w)).alias("hr"), F.count("*").over(w).alias("n")).where(F.col("n") >= least)
-    r = r.withColumn("peak", F.max("hr").over(Window.partitionBy("session_id")))
-    return r.groupBy("session_id").agg(F.max("peak").alias("peak_hr_bpm"), F.max(F.when(F.col("hr") >= F.col("peak") - 1.0, F.col("t_s") + width)).alias("peak_end_s"))
+def rolling_peak(rr: DataFrame, width: float = 30.0, least: int = 5, intervals: int = 10) -> DataFrame:
+    """The highest mean HR of the ``width`` seconds that begin at a beat, and the last beat of all such windows within 1 bpm of it; for sessions of at least ``intervals``."""
+    all_, w = Window.partitionBy("session_id"), Window.partitionBy("session_id").orderBy(F.round(F.col("t_s") * 100000).cast("long")).rangeBetween(0, int(width * 100000) - 1)
+    r = rr.select("session_id", (60000.0 / F.avg("rr_ms").over(w)).alias("hr"), F.count("*").over(w).alias("n"), F.max("t_s").over(w).alias("end_s"), F.count("*").over(all_).alias("_all"))
+    r = r.where((F.col("n") >= least) & (F.col("_all") >= intervals)).withColumn("peak", F.max("hr").over(all_))
+    return r.groupBy("session_id").agg(F.max("peak").alias("peak_hr_bpm"), F.max(F.when(F.col("hr") >= F.col("peak") - 1.0, F.col("end_s"))).alias("peak_end_s"))
 
 
 def histogram(rr: DataFrame, bins: int = 40) -> DataFrame:
@@ -105,29 +107,29 @@ def contiguous_entropy_windows(rr: DataFrame, length: int = 30, step: int = 5) -
     return d.select("session_id", (F.col("i") / step).cast("long").alias("k"), F.col("t_s").alias("start_s"), "rr", "has_seam", mean.alias("mean")).withColumn("sd", sd).withColumn("cv", F.col("sd") / F.col("mean"))
 
 
+def _matches(rr: pd.Series, limit: pd.Series) -> pd.DataFrame:
+    """Pairs of values of a window closer than its limit, and those whose successors are so too."""
+    one, two = np.zeros(len(rr), dtype=np.int64), np.zeros(len(rr), dtype=np.int64)
+    lengths = rr.map(len).to_numpy()
+    for n in np.unique(lengths[lengths > 1]):
+        rows, pairs = np.flatnonzero(lengths == n), np.triu_indices(n, 1)
+        for some in np.array_split(rows, -(-len(rows) // 1024)):
+            x = np.stack(rr.iloc[some].to_numpy())
+            near = np.abs(x[:, :, None] - x[:, None, :]) < limit.to_numpy()[some, None, None]
+            one[some] = near[:, pairs[0], pairs[1]].sum(axis=1)
+            both = near[:, :-1, :-1] & near[:, 1:, 1:]
+            at = np.triu_indices(n - 1, 1)
+            two[some] = both[:, at[0], at[1]].sum(axis=1)
+    return pd.DataFrame({"one": one, "two": two})
+
+
 def cosen(windows: DataFrame) -> DataFrame:
-    """Coefficient of sample entropy of each window: SampEn(1, 0.2 sd) + ln(2r) - ln(mean); null without spread or matches."""
+    """Coefficient of sample entropy of each window: SampEn(1, 0.2 sd) + ln(2r) - ln(mean); null without spread or matches.
+
+    The pairs of a window are counted as matrices in Arrow batches.
+    """
     r = 0.2 * F.col("sd")
-    w = windows.withColumn("_r", r)
-    size = F.size("rr")
-
-    def matches(order: int):
-        last = size - (order - 1)  # templates of each length, as many as there are
-        pairs = F.aggregate(
-            F.sequence(F.lit(1), last - 1),
-            F.lit(0),
-            lambda a, i: a
-            + F.size(
-                F.filter(
-                    F.sequence(i + 1, last),
-                    lambda j: (F.abs(F.element_at("rr", j) - F.element_at("rr", i)) < F.col("_r"))
-                    & (F.lit(True) if order == 1 else (F.abs(F.element_at("rr", j + 1) - F.element_at("rr", i + 1)) < F.col("_r"))),
-                )
-            ),
-        )
-        return pairs
-
-    w = w.withColumns({"_b": matches(1), "_a": matches(2)})
-    ok = (F.col("sd") > 0) & (F.col("_a") > 0) & (F.col("_b") > 0)
-    value = -F.log(F.col("_a") / F.col("_b")) + F.log(2 * F.col("_r")) - F.log("mean")
-    return w.withColumn("cosen", F.when(ok, value)).drop("_r", "_a", "_b")
+    w = windows.withColumn("_m", F.pandas_udf(_matches, "one long, two long")("rr", r))
+    ok = (F.col("sd") > 0) & (F.col("_m.two") > 0) & (F.col("_m.one") > 0)
+    value = -F.log(F.col("_m.two") / F.col("_m.one")) + F.log(2 * r) - F.log("mean")
+    return w.withColumn("cosen", F.when(ok, value)).drop("_m")

@@ -35,11 +35,12 @@ def frequency_domain(rr: DataFrame, shortest: float = SHORTEST_RUN_S) -> DataFra
         for t, r in _runs(d, shortest):
             at = np.arange(t[0], t[-1], 1 / RATE)
             x = K.spline(t, r, at)
-            even.append(x - x.mean())
+            even.append((t[-1] - t[0], x - x.mean()))
         if even:
-            segment = min(SEGMENT, *(len(x) for x in even))
-            spectra = [K.welch(x, RATE, segment) for x in even]
-            f, weight = spectra[0][0], np.array([len(x) for x in even], float)
+            # one segment length for all runs, so that their spectra share frequencies
+            segment = min(SEGMENT, int(min(s for s, _ in even) * RATE))
+            spectra = [K.welch(x, RATE, segment) for _, x in even]
+            f, weight = spectra[0][0], np.array([s for s, _ in even])
             p = (np.stack([q for _, q in spectra]) * weight[:, None]).sum(axis=0) / weight.sum()
             power = {k: K.band(f, p, *b) for k, b in BANDS.items()}
             inside = (f >= BANDS["lf"][0]) & (f < BANDS["lf"][1])

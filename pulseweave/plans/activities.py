@@ -57,9 +57,9 @@ def hr_zones(spark, sf_dir):
 @R.add(
     RR_SQL
     + """,
-q AS (SELECT session_id, t_s, 60000.0 / avg(rr_ms) OVER w AS hr, count(*) OVER w AS n FROM (SELECT *, CAST(round(t_s * 100000) AS BIGINT) AS c FROM rr) WINDOW w AS (PARTITION BY session_id ORDER BY c RANGE BETWEEN CURRENT ROW AND 2999999 FOLLOWING)),
-p AS (SELECT *, max(hr) OVER (PARTITION BY session_id) AS peak FROM q WHERE n >= 5),
-e AS (SELECT session_id, max(peak) AS peak, max(CASE WHEN hr >= peak - 1.0 THEN t_s + 30.0 END) AS pe FROM p GROUP BY 1)
+q AS (SELECT session_id, max(t_s) OVER w AS we, 60000.0 / avg(rr_ms) OVER w AS hr, count(*) OVER w AS n, count(*) OVER (PARTITION BY session_id) AS m FROM (SELECT *, CAST(round(t_s * 100000) AS BIGINT) AS c FROM rr) WINDOW w AS (PARTITION BY session_id ORDER BY c RANGE BETWEEN CURRENT ROW AND 2999999 FOLLOWING)),
+p AS (SELECT *, max(hr) OVER (PARTITION BY session_id) AS peak FROM q WHERE n >= 5 AND m >= 10),
+e AS (SELECT session_id, max(peak) AS peak, max(CASE WHEN hr >= peak - 1.0 THEN we END) AS pe FROM p GROUP BY 1)
 SELECT rr.session_id, round(CASE WHEN count(*) FILTER (t_s >= pe + 50 AND t_s < pe + 70) >= 3 THEN max(peak) - 60000.0 / avg(rr_ms) FILTER (t_s >= pe + 50 AND t_s < pe + 70) END, 6) AS hrr60,
   round(CASE WHEN count(*) FILTER (t_s >= pe + 110 AND t_s < pe + 130) >= 3 THEN max(peak) - 60000.0 / avg(rr_ms) FILTER (t_s >= pe + 110 AND t_s < pe + 130) END, 6) AS hrr120
 FROM rr JOIN e ON e.session_id = rr.session_id GROUP BY 1"""

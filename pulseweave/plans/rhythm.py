@@ -145,11 +145,11 @@ def lowest_sustained_60_10(spark, sf_dir):
     RR_SQL
     + """,
 q AS (
-  SELECT session_id, t_s, 60000.0 / avg(rr_ms) OVER w AS hr, count(*) OVER w AS n
+  SELECT session_id, max(t_s) OVER w AS e, 60000.0 / avg(rr_ms) OVER w AS hr, count(*) OVER w AS n, count(*) OVER (PARTITION BY session_id) AS m
   FROM (SELECT *, CAST(round(t_s * 100000) AS BIGINT) AS c FROM rr)
   WINDOW w AS (PARTITION BY session_id ORDER BY c RANGE BETWEEN CURRENT ROW AND 2999999 FOLLOWING)),
-p AS (SELECT *, max(hr) OVER (PARTITION BY session_id) AS peak FROM q WHERE n >= 5)
-SELECT session_id, round(max(peak), 6) AS peak_hr_bpm, round(max(CASE WHEN hr >= peak - 1.0 THEN t_s + 30.0 END), 6) AS peak_end_s FROM p GROUP BY 1"""
+p AS (SELECT *, max(hr) OVER (PARTITION BY session_id) AS peak FROM q WHERE n >= 5 AND m >= 10)
+SELECT session_id, round(max(peak), 6) AS peak_hr_bpm, round(max(CASE WHEN hr >= peak - 1.0 THEN e END), 6) AS peak_end_s FROM p GROUP BY 1"""
 )
 def rolling_peak_30(spark, sf_dir):
     return tidy(hrv.rolling_peak(rr_series(spark, sf_dir)))

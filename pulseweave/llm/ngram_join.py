@@ -58,7 +58,7 @@ from .textgrams import mix64, shingle_sets
 #: Similarity of at least NUMERATOR / DENOMINATOR.
 NUMERATOR, DENOMINATOR = 4, 5
 WIDTH = 5
-SKETCH_BITS, SKETCH_BLOCKS = 21, 16
+SKETCH_BITS, SKETCH_BLOCKS = 20, 16
 #: Lists of up to this many nodes are compared pair by pair; longer ones have so many pivots.
 SHORT, PIVOTS = 8, 4
 #: A block has about so many nodes and shingles.
@@ -414,6 +414,7 @@ def _join(docs: DataFrame, scratch: Scratch, width: int) -> Joined:
     posts = prefixes(sets, rank)
     heads = scratch.save(posts.groupBy("token").agg(F.count("*").alias("size")).where("size > 1"), "heads")
     lists = scratch.save(posts.join(heads, "token"), "lists")
+    scratch.drop(heads)
 
     # step 1: short lists pair by pair, long ones against their pivots
     short, long = lists.where(F.col("size") <= SHORT), lists.where(F.col("size") > SHORT)
@@ -427,7 +428,10 @@ def _join(docs: DataFrame, scratch: Scratch, width: int) -> Joined:
     asked = scratch.save(_ordered(found).distinct(), "pairs")
     near = scratch.save(suffix_filter(asked, sets.select("node", "n", "signature")), "near")
     wanted = scratch.save(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
-    links = scratch.save(verify(near, of(wanted, "sets")), "links")
+    some = of(wanted, "sets")
+    links = scratch.save(verify(near, some), "links")
+    scratch.drop(some)
+    scratch.drop(asked, near)
     labels = connected(links, scratch)
 
     # step 2: long lists of several labels, in blocks

@@ -2,45 +2,39 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import BinaryType
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``.
-
-    Where the setting is absent a local master gets a folder of its own; on a
-    cluster that is an error, since executors could not see it.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="pulseweave-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
+from pulseweave.session import shared_dir
 
 #: Rows that go to Python at a time; texts of a few kB make batches of a few MB.
 BATCH_ROWS = 1000
+#: A row group of a table with binary columns.
+GROUP_BYTES = 16 << 20
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
-    """Lowers the session's rows for an Arrow batch while an operator runs, so that batches of long texts take little memory beside the heap."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    if not 0 < int(before) <= rows:
-        spark.conf.set(key, str(rows))
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Settings that hold for a block, and are as before behind it."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS):
+    """Fewer rows for an Arrow batch, and for one of Parquet's reader, while an operator runs, so that batches of long texts take little memory beside the heap."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    return settings(spark, {key: str(min(now, rows) if now > 0 else rows), "spark.sql.parquet.columnarReaderBatchSize": str(rows)})
 
 
 class Scratch:
@@ -57,9 +51,18 @@ class Scratch:
         self._n = 0
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
+        """Writes a table and reads it back; the shuffle files of the step go with it.
+
+        Binary columns are written in small groups and without a dictionary, which keeps a writer's memory low.
+        """
         self._n += 1
         path = f"{self.root}/{self._n:03d}-{name}"
-        df.write.mode("overwrite").parquet(path)
+        with settings(self.spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
+            writer = df.write.mode("overwrite")
+            for f in df.schema.fields:
+                if isinstance(f.dataType, BinaryType):
+                    writer = writer.option(f"parquet.enable.dictionary#{f.name}", "false").option("parquet.block.size", str(GROUP_BYTES))
+            writer.parquet(path)
         out = self._tables[path] = self.spark.read.schema(df.schema).parquet(path)
         return out
 

@@ -4,6 +4,11 @@ Bounded-space online best-fit: a fixed number of open bins, found through a
 bitset keyed by free space.  A piece goes to the bin with the least free space
 that holds it; when all bins are open, the fullest closes first.
 
+Pieces of a partition arrive in runs of about RUN pieces drawn by hash, in
+falling order of length within a run, so that long pieces open bins that the
+short ones behind them fill; a run makes more part-filled bins than may be
+open, so the fullest of earlier runs close.
+
 Documents become token ids and one closing id 0.  Only documents longer than
 the capacity are cut, into whole capacities behind a first piece that may be
 shorter.  Tokenizing is one Arrow pass over the texts; only lengths and check
@@ -33,7 +38,8 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 
 CAPACITY = 2048
-OPEN_BINS = 1 << 16
+OPEN_BINS = 4096
+RUN = 6000
 PIECES_A_PARTITION = 200_000
 END = (0).to_bytes(4, "little")
 #: The split rule that the tokenizer file names (its byte-level pre-tokenizer).
@@ -65,11 +71,22 @@ class ByteEncoder:
         special = {t.content for t in self.library.get_added_tokens_decoder().values()}
         ranks = {bytes(byte_of[c] for c in token): i for token, i in vocabulary.items() if token not in special}
         self.special = tuple(special)
+        # another split rule in the file means that only the library knows it
+        self.known = self._split_rule(path) == PATTERN
         self.core = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
+    @staticmethod
+    def _split_rule(path: str) -> str | None:
+        """The pattern that a file's pre-tokenizer splits by; None if it is of another kind."""
+        with open(path, encoding="utf-8") as f:
+            config = json.load(f)
+        before = config.get("pre_tokenizer") or {}
+        plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+        return PATTERN if plain and not config.get("normalizer") else None
+
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids of a text."""
-        if _PLAIN.match(text) and not any(s in text for s in self.special):
+        if self.known and _PLAIN.match(text) and not any(s in text for s in self.special):
             ids = self.core(text)
         else:
             ids = self.library.encode(text, add_special_tokens=False).ids
@@ -151,7 +168,7 @@ class OpenBins:
         return bin_, offset
 
 
-def pack(pieces: DataFrame, *, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, partitions: int = 1) -> DataFrame:
+def pack(pieces: DataFrame, *, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, partitions: int = 1, runs: int = 1) -> DataFrame:
     """Adds sequence_id and offset to rows with doc_id, piece and length (at most the capacity)."""
     from pyspark import TaskContext
 
@@ -162,7 +179,8 @@ def pack(pieces: DataFrame, *, capacity: int = CAPACITY, open_bins: int = OPEN_B
             new = [pa.array([base + b for b, _ in got], pa.int64()), pa.array([o for _, o in got], pa.int64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, "sequence_id", "offset"])
 
-    spread = pieces.repartition(partitions, "doc_id", "piece").sortWithinPartitions(F.desc("length"), "doc_id", "piece")
+    run = F.pmod(F.xxhash64("doc_id", "piece", F.lit(1)), F.lit(max(1, runs)))
+    spread = pieces.repartition(partitions, "doc_id", "piece").sortWithinPartitions(run, F.desc("length"), "doc_id", "piece")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
     return spread.mapInArrow(placed, schema)
 
@@ -171,4 +189,6 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_i
     """Tokenizes, then packs in partitions of about PIECES_A_PARTITION pieces; each partition leaves few bins part-filled."""
     scratch = Scratch(docs.sparkSession, "packing")
     pieces = scratch.save(tokenize(docs, tokenizer_path, id_col=id_col, text=text, capacity=capacity), "pieces")
-    return pack(pieces, capacity=capacity, open_bins=open_bins, partitions=1 + pieces.count() // PIECES_A_PARTITION)
+    n = pieces.count()
+    partitions = 1 + n // PIECES_A_PARTITION
+    return pack(pieces, capacity=capacity, open_bins=open_bins, partitions=partitions, runs=1 + n // partitions // RUN)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 #: Lengths remembered by a worker, by tokenizer file; cleared when full, which changes no result.
 MEMORY = 400_000
-BATCH_BYTES = 1 << 18
+BATCH_BYTES, SLICE_BYTES = 1 << 18, 4 << 20
 _SPACE = re.compile(r"[ \t\n\r\v\f]+")
 _lengths: dict[str, dict[str, int]] = {}
 _library: dict[str, object] = {}
@@ -43,15 +43,21 @@ def _tokenizer(path: str):
     return _library[path]
 
 
+def _size(text: str) -> int:
+    """Bytes of a text."""
+    return len(text) if text.isascii() else len(text.encode("utf-8", "surrogatepass"))
+
+
 def _encode_lengths(path: str, chunks: list[str]) -> list[int]:
-    """Lengths by the library, in batches of at most BATCH_BYTES characters (or one chunk)."""
+    """Lengths by the library, in batches of at most BATCH_BYTES bytes (or one chunk)."""
     tokenizer, out, batch, held = _tokenizer(path), [], [], 0
     for c in chunks:
-        if batch and held + len(c) > BATCH_BYTES:
+        size = _size(c)
+        if batch and held + size > BATCH_BYTES:
             out += map(len, tokenizer.encode_batch_fast(batch, add_special_tokens=False))
             batch, held = [], 0
         batch.append(c)
-        held += len(c)
+        held += size
     if batch:
         out += map(len, tokenizer.encode_batch_fast(batch, add_special_tokens=False))
     return out
@@ -100,8 +106,8 @@ def token_counter(path: str):
             texts, out, at = batch.tolist(), [], 0
             while at < len(texts):  # slices of about equal bytes bound what is held as chunks
                 end, held = at, 0
-                while end < len(texts) and (held == 0 or held < 4 << 20):
-                    held += len(texts[end] or "")
+                while end < len(texts) and (held == 0 or held < SLICE_BYTES):
+                    held += _size(texts[end] or "")
                     end += 1
                 out += count_texts(path, texts[at:end])
                 at = end

@@ -8,14 +8,18 @@ candidate bounds what the rest can add (Cauchy-Schwarz); candidates whose best
 case is under the k-th best worst case are compacted away.
 
 Queries are blocks too, so neither side is ever held whole: a task scores one
-block of queries against one block of candidates and returns at most k rows
-for each query, which a window merges.
+block of queries against one block of candidates, carries a query's k-th best
+score on to the next block as a bar, and returns at most k rows
+for each query and block, which a window merges.  Query blocks are broadcast
+while they take up to BROADCAST_BYTES; beyond that both sides are dealt over a
+grid of groups of blocks and joined on its cells.
 
 Vectors are scaled to integers, floor(scale * x) with x as double, so scores
 are exact.  Null vectors and vectors with null or non-finite components take
 no part; nor do those whose length differs from the query's.  A query is not
 its own candidate; rows that repeat its id are its own too.  Ties go to the
-smaller id.  Repeated candidate rows count once.  Without queries or
+smaller id.  Repeated candidate rows (same id and vector) count once, and so
+do repeated query ids, by their least vector.  Without queries or
 candidates the result is empty.
 """
 
@@ -34,6 +38,9 @@ SCALE = 1024
 QUERY_BLOCK = 512
 CANDIDATE_BLOCK = 4096
 DIMENSION_BLOCK = 16
+#: Query blocks are broadcast up to this size; a group of the grid has so many bytes of queries or so many candidate blocks.
+BROADCAST_BYTES = 32 << 20
+GROUP_BLOCKS = 64
 #: Sums below this are exact as doubles.
 EXACT = float(1 << 53)
 #: Components beyond this count as this; scores are cut to what a long holds.
@@ -72,10 +79,12 @@ def _blocks(rows: DataFrame, size: int, tag: str, scale: int) -> DataFrame:
     return rows.mapInArrow(pack, f"{tag}_ids binary, {tag}_m binary, {tag}_d int")
 
 
-def search_block(queries: np.ndarray, candidates: np.ndarray, k: int, own: np.ndarray, ids: np.ndarray, step: int = DIMENSION_BLOCK) -> list[tuple[int, np.ndarray, np.ndarray]]:
+def search_block(queries: np.ndarray, candidates: np.ndarray, k: int, own: np.ndarray, ids: np.ndarray, step: int = DIMENSION_BLOCK, bars: dict[int, np.ndarray] | None = None) -> list[tuple[int, np.ndarray, np.ndarray]]:
     """For each query (a column of ``queries``), the k best (score, id) among the columns of ``candidates``.
 
-    Both are dimensions x vectors.  ``own`` has the queries' ids.  Returns (query, ids, scores), scores falling, then ids rising.
+    Both are dimensions x vectors.  ``own`` has the queries' ids.  ``bars`` keeps
+    the k best scores of each query over several calls; candidates that must
+    stay under the k-th are let go.  Returns (query, ids, scores), scores falling, then ids rising.
     """
     d = len(candidates)
     top = float(np.abs(queries).max(initial=0)) * float(np.abs(candidates).max(initial=0)) * max(d, 1)
@@ -93,6 +102,8 @@ def search_block(queries: np.ndarray, candidates: np.ndarray, k: int, own: np.nd
     for j in range(q.shape[1]):
         left = np.flatnonzero(ids != own[j])
         partial = first[j, left]
+        seen = bars.get(int(own[j])) if bars is not None and exact else None
+        floor = seen[0] if seen is not None and len(seen) == k else -np.inf
         for b, a in enumerate(cuts):
             if b:
                 partial = partial + q[a : a + step, j] @ c[a : a + step, left]
@@ -101,11 +112,17 @@ def search_block(queries: np.ndarray, candidates: np.ndarray, k: int, own: np.nd
                 slack = slack + 1e-9 * np.abs(partial.astype(np.float64))
             if len(left) > k:
                 worst = (partial - slack).astype(np.float64)
-                bar = np.partition(worst, len(worst) - k)[len(worst) - k]
+                bar = max(floor, np.partition(worst, len(worst) - k)[len(worst) - k])
+            else:
+                bar = floor
+            if bar > -np.inf:
                 keep = (partial + slack).astype(np.float64) >= bar
                 left, partial = left[keep], partial[keep]
         best = np.lexsort((ids[left], -partial.astype(np.float64)))[:k] if exact else np.array(sorted(range(len(left)), key=lambda i: (-partial[i], ids[left[i]]))[:k], dtype=int)
         out.append((int(own[j]), ids[left[best]], partial[best]))
+        if bars is not None and exact:
+            scores = np.sort(np.concatenate([seen if seen is not None else np.empty(0), partial[best].astype(np.float64)]))
+            bars[int(own[j])] = scores[-k:]
     return out
 
 
@@ -117,12 +134,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, *, key: str = "ve
         return df.where(F.col(key).isNotNull() & usable(F.col(vector))).select(F.col(key).cast("long").alias("id"), v.alias("v"))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bars: dict[int, np.ndarray] = {}
         for batch in batches:
             for r in batch.to_pylist():
                 if r["c_d"] != r["q_d"]:
                     continue
                 own, ids, d = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["c_ids"], np.int64), r["c_d"]
-                found = search_block(np.frombuffer(r["q_m"], np.int64).reshape(d, len(own)), np.frombuffer(r["c_m"], np.int64).reshape(d, len(ids)), k, own, ids)
+                found = search_block(np.frombuffer(r["q_m"], np.int64).reshape(d, len(own)), np.frombuffer(r["c_m"], np.int64).reshape(d, len(ids)), k, own, ids, bars=bars)
                 q = np.concatenate([np.full(len(i), o) for o, i, _ in found] or [np.empty(0, np.int64)])
                 i = np.concatenate([i for _, i, _ in found] or [np.empty(0, np.int64)])
                 s = [max(-(1 << 63), min((1 << 63) - 1, int(x))) for _, _, s in found for x in s]
@@ -130,9 +148,18 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, *, key: str = "ve
 
     scratch = Scratch(vectors.sparkSession, "topk")
     asked = scratch.save(rows(queries).groupBy("id").agg(F.min("v").alias("v")), "queries")
-    q = scratch.save(_blocks(asked.coalesce(1 + asked.count() // query_block), query_block, "q", scale), "query-blocks")
-    c = scratch.save(_blocks(rows(vectors), candidate_block, "c", scale), "candidate-blocks")
-    pairs = c.crossJoin(q)  # a stated set of queries against all rows, block by block
+    n = asked.count()
+    q = scratch.save(_blocks(asked.coalesce(1 + n // query_block), query_block, "q", scale), "query-blocks")
+    c = scratch.save(_blocks(rows(vectors).dropDuplicates(["id", "v"]), candidate_block, "c", scale), "candidate-blocks")
+    size = q.agg(F.coalesce(F.sum(F.octet_length("q_m")), F.lit(0))).first()[0]
+    # a stated set of queries against all rows, block by block
+    if size <= BROADCAST_BYTES:
+        pairs = c.crossJoin(F.broadcast(q))
+    else:
+        across, down = 1 + size // BROADCAST_BYTES, 1 + c.count() // GROUP_BLOCKS
+        queries_ = q.withColumns({"_x": F.pmod(F.xxhash64("q_ids"), F.lit(across)), "_y": F.explode(F.sequence(F.lit(0), F.lit(down - 1)))})
+        candidates = c.withColumns({"_y": F.pmod(F.xxhash64("c_ids"), F.lit(down)), "_x": F.explode(F.sequence(F.lit(0), F.lit(across - 1)))})
+        pairs = candidates.join(queries_, ["_x", "_y"]).drop("_x", "_y")
     best = pairs.mapInArrow(scored, "query_id long, vec_id long, score long").distinct()
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

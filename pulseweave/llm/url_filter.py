@@ -11,9 +11,10 @@ rare a token is, is counted over the URLs.  A rule without a literal token is
 kept under the empty token, which every URL has.
 
 Where several rules fit, the longest (host and path together) wins, and of
-equally long ones the first by text, then ``allow``.  URLs that no rule fits
-get the method's own verdict: block if a token of the URL is one of
-``blocked_tokens``, else allow.
+equally long ones the first by text, then ``allow``.  The method's own verdict
+comes from rules of the same index: a word rule blocks URLs that have its word
+between other characters than a-z and 0-9, is fetched by that word, and gives
+way to every rule of the caller.  What no rule fits is allowed.
 
 Null URLs and URLs without ``://`` have empty host and path, and no rule with
 a host fits them.  Repeated rows are judged each on its own.
@@ -23,13 +24,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scratch import Scratch
+
 #: The rule index is broadcast up to this many rules, and shuffled on its tokens beyond.
 BROADCAST_RULES = 50_000
 RULE_SCHEMA = "host string, path string, verdict string"
-#: Tokens that give an unmatched URL away as unwanted.
+#: Words of the method's own rules.
 BLOCKED_TOKENS = ("adult", "casino", "porn", "xxx", "viagra")
 
 _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -57,14 +60,21 @@ def rule_tokens(host: Column, path: Column) -> Column:
 
 
 def url_tokens(host: Column, path: Column) -> Column:
-    """Tokens of a URL, and the empty token."""
+    """Tokens of a URL: labels of the host, parts of the path, words (w:word) of both, and the empty token."""
     labels = F.transform(F.split(host, r"\."), lambda x: F.concat(F.lit("h:"), x))
     parts = F.transform(F.split(path, "/"), lambda x: F.concat(F.lit("p:"), x))
-    return F.array_distinct(F.concat(F.array(F.lit("")), labels, parts))
+    words = F.transform(F.regexp_extract_all(ascii_lower(F.concat_ws("/", host, path)), F.lit("[a-z0-9]+"), 0), lambda x: F.concat(F.lit("w:"), x))
+    return F.array_distinct(F.concat(F.array(F.lit("")), labels, parts, words))
+
+
+def word_rules(spark: SparkSession, words: Sequence[str]) -> DataFrame:
+    """The method's own rules in the form of index_rules."""
+    rows = [(None, "block", rf"(?<![a-z0-9])\Q{w}\E(?![a-z0-9])", f"w:{w}", True) for w in dict.fromkeys(words)]
+    return spark.createDataFrame(rows, "rule string, verdict string, regex string, token string, own boolean")
 
 
 def index_rules(rules: DataFrame, urls: DataFrame) -> DataFrame:
-    """rule, verdict, regex and token: each rule under the token that the fewest URLs have."""
+    """rule, verdict, regex, token, own: each rule under the token that the fewest URLs have."""
     quoted = lambda c: F.concat(F.lit(r"\Q"), F.replace(F.col(c), F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
     compiled = F.concat(
         F.lit(r"\A"),
@@ -80,8 +90,7 @@ def index_rules(rules: DataFrame, urls: DataFrame) -> DataFrame:
     wanted = rules.select("token").distinct()
     seen = urls.select(F.explode("url_tokens").alias("token")).join(_small(wanted), "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
     ranked = rules.join(seen, "token", "left").groupBy("host", "path", "verdict", "rule", "regex").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("least"))
-    rows = ranked.select("rule", "verdict", "regex", F.col("least.token").alias("token"))
-    return rows
+    return ranked.select("rule", "verdict", "regex", F.col("least.token").alias("token"), F.lit(False).alias("own"))
 
 
 def _small(rules: DataFrame) -> DataFrame:
@@ -90,34 +99,19 @@ def _small(rules: DataFrame) -> DataFrame:
 
 
 def judge(pages: DataFrame, rules: DataFrame | Sequence[tuple[str, str, str]], *, key: str = "page_id", url: str = "url", blocked_tokens: Sequence[str] = BLOCKED_TOKENS) -> DataFrame:
-    """One row for each row of ``pages``: key, host, path, rule (null if none fits) and verdict."""
+    """One row for each row of ``pages``: key, host, path, rule (null if none of the caller's fits) and verdict."""
     spark = pages.sparkSession
     if not isinstance(rules, DataFrame):
         rules = spark.createDataFrame(list(rules), RULE_SCHEMA)
-    rows = pages.select(F.col(key).alias("key"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path")).withColumn("url_tokens", url_tokens(F.col("host"), F.col("path")))
-    index = index_rules(rules, rows)
+    rows = pages.select(F.col(key).alias("key"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     # the same host and path get the same answer, so candidates are found once for each
-    by_token = index.groupBy("token").agg(F.collect_list(F.struct("rule", "verdict", "regex")).alias("candidates"))
-    if rules.count() <= BROADCAST_RULES:
-        lookup = by_token.agg(F.map_from_entries(F.collect_list(F.struct("token", "candidates"))).alias("index"))
-        tried = rows.crossJoin(F.broadcast(lookup)).withColumn(
-            "candidates", F.flatten(F.filter(F.transform("url_tokens", lambda t: F.element_at("index", t)), lambda x: x.isNotNull()))
-        )
-        tried = tried.withColumn("best", _best(F.col("candidates"), F.concat("host", "path"))).drop("index", "candidates")
-    else:
-        sites = rows.select("host", "path", "url_tokens").distinct()
-        found = sites.select("host", "path", F.explode("url_tokens").alias("token")).join(index, "token")
-        found = found.where(F.expr("concat(host, path) rlike regex")).groupBy("host", "path").agg(F.min(_order(F.col("rule"), F.col("verdict"))).alias("best"))
-        tried = rows.join(found, ["host", "path"], "left")
-    words = F.regexp_extract_all(ascii_lower(F.concat_ws("/", "host", "path")), F.lit("[a-z0-9]+"), 0)
-    method = F.when(F.arrays_overlap(words, F.array(*map(F.lit, blocked_tokens))) if blocked_tokens else F.lit(False), "block").otherwise("allow")
-    return tried.select(F.col("key").alias(key), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", method).alias("verdict"))
-
-
-def _order(rule: Column, verdict: Column) -> Column:
-    return F.struct((-F.length(rule)).alias("size"), rule.alias("rule"), verdict.alias("verdict"))
-
-
-def _best(candidates: Column, address: Column) -> Column:
-    fitting = F.filter(candidates, lambda c: F.rlike(address, c["regex"]))
-    return F.array_min(F.transform(fitting, lambda c: _order(c["rule"], c["verdict"])))
+    sites = rows.select("host", "path").distinct().withColumn("url_tokens", url_tokens(F.col("host"), F.col("path")))
+    scratch = Scratch(spark, "url-rules")
+    index = scratch.save(index_rules(rules, sites).unionByName(word_rules(spark, blocked_tokens)), "index")
+    found = sites.select("host", "path", F.explode("url_tokens").alias("token")).join(_small(index), "token")
+    address = F.when(F.col("own"), ascii_lower(F.concat_ws("/", "host", "path"))).otherwise(F.concat("host", "path"))
+    found = found.where(F.rlike(address, F.col("regex")))
+    best = F.min(F.struct("own", (-F.length("rule")).alias("size"), "rule", "verdict")).alias("best")
+    found = scratch.save(found.groupBy("host", "path").agg(best), "found")
+    tried = rows.join(found, ["host", "path"], "left")
+    return tried.select(F.col("key").alias(key), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit("allow")).alias("verdict"))

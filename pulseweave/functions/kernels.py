@@ -44,22 +44,52 @@ def butterworth(order: int, cut, rate: float, kind: str) -> np.ndarray:
     return out
 
 
-def _filter(sos: np.ndarray, x: np.ndarray, scale: float) -> np.ndarray:
+def _sections(sos: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The sections one by one, from rest."""
     for b0, b1, b2, _, a1, a2 in sos:
-        # steady state for a constant input begins the section
-        dc = (b0 + b1 + b2) / (1 + a1 + a2)
-        z2 = (b2 - a2 * dc) * scale
-        z1 = (b1 - a1 * dc) * scale + z2
-        y = np.empty(len(x))
+        y, z1, z2 = np.empty(len(x)), 0.0, 0.0
         for i, v in enumerate(x.tolist()):
             o = b0 * v + z1
             z1 = b1 * v - a1 * o + z2
             z2 = b2 * v - a2 * o
             y[i] = o
-        x, scale = y, scale * dc
+        x = y
     return x
 
 
+_responses: dict[bytes, np.ndarray] = {}
+
+
+def _response(sos: np.ndarray) -> np.ndarray:
+    """The impulse response, as far as it is above rounding."""
+    key = sos.tobytes()
+    if key not in _responses:
+        n = 1024
+        while True:
+            h = _sections(sos, np.concatenate([[1.0], np.zeros(n - 1)]))
+            if n >= 1 << 20 or np.abs(h[-n // 4 :]).max() < 1e-14 * np.abs(h).max():
+                break
+            n *= 2
+        _responses[key] = h
+    return _responses[key]
+
+
+def _convolved(x: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The first len(x) values of x * h, by transforms of blocks."""
+    size = 1 << (4 * len(h) - 1).bit_length()
+    step, spectrum = size - len(h) + 1, np.fft.rfft(h, size)
+    out = np.zeros(len(x) + size)
+    for a in range(0, len(x), step):
+        out[a : a + size] += np.fft.irfft(np.fft.rfft(x[a : a + step], size) * spectrum, size)
+    return out[: len(x)]
+
+
+def _filter(sos: np.ndarray, x: np.ndarray, before: float) -> np.ndarray:
+    """The filter's output if the signal was ``before`` at all times before."""
+    gain = float(np.prod([(b0 + b1 + b2) / (1 + a1 + a2) for b0, b1, b2, _, a1, a2 in sos]))
+    return _convolved(x - before, _response(sos)) + gain * before
+
+
 def zero_phase(sos: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Forward and backward filtering with odd extension."""
     ntaps = 2 * len(sos) + 1 - min(int((sos[:, 2] == 0).sum()), int((sos[:, 5] == 0).sum()))
@@ -125,33 +155,42 @@ def sample_entropy(x: np.ndarray, m: int = 2, r: float = 0.2) -> float | None:
 
 
 def dfa(x: np.ndarray, scales=range(4, 17)) -> float | None:
-    """Short-term scaling exponent of detrended fluctuations."""
-    profile = np.cumsum(x - x.mean())
-    found = []
+    """Short-term scaling exponent of detrended fluctuations, over segments that overlap by half."""
+    profile, found = np.cumsum(x - x.mean()), []
     for s in scales:
-        n = len(profile) // s
-        if n < 1:
+        if len(profile) < s:
             continue
-        seg, t = profile[: n * s].reshape(n, s), np.arange(s)
+        seg, t = np.lib.stride_tricks.sliding_window_view(profile, s)[:: s // 2], np.arange(s)
         c = np.polyfit(t, seg.T, 1)
-        found.append((s, np.sqrt(((seg - (np.outer(c[0], t) + c[1][:, None])) ** 2).mean(axis=1)).mean()))
+        found.append((s, np.sqrt(((seg - (np.outer(c[0], t) + c[1][:, None])) ** 2).mean())))
     found = [(s, f) for s, f in found if f > 0]
     return float(np.polyfit(np.log2([s for s, _ in found]), np.log2([f for _, f in found]), 1)[0]) if len(found) > 2 else None
 
 
-def r_peaks(ecg: np.ndarray, rate: float) -> np.ndarray:
-    """Sample numbers of R peaks: steep stretches of the high-passed signal, the highest sample in each, 0.3 s apart."""
-    if len(ecg) < rate:
+def clean_ecg(ecg: np.ndarray, rate: float, powerline: float = 50.0) -> np.ndarray:
+    """High-passed at 0.5 Hz; from 100 Hz on also averaged over a period of the power line, forward and backward."""
+    x = zero_phase(butterworth(5, 0.5, rate, "high"), ecg)
+    n = int(rate / powerline)
+    if rate < 100 or n < 2 or len(x) <= 3 * n:
+        return x
+    ones, pad = np.ones(n) / n, 3 * n
+    e = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]])
+    once = np.convolve(e, ones)[: len(e)]
+    return np.convolve(once[::-1], ones)[: len(e)][::-1][pad:-pad]
+
+
+def r_peaks(clean: np.ndarray, rate: float) -> np.ndarray:
+    """Sample numbers of R peaks of a cleaned signal: steep stretches, the highest sample in each, 0.3 s apart."""
+    if len(clean) < rate:
         return np.empty(0, int)
-    x = zero_phase(butterworth(2, 0.5, rate, "high"), ecg)
-    g = np.abs(np.gradient(x))
+    g = np.abs(np.gradient(clean))
 
     def smooth(v: np.ndarray, seconds: float) -> np.ndarray:
-        ones = np.ones(max(1, int(seconds * rate)))
+        ones = np.ones(max(1, int(round(seconds * rate))))
         return np.convolve(v, ones, mode="same") / np.convolve(np.ones(len(v)), ones, mode="same")
 
-    near, wide = smooth(g, 0.1), smooth(smooth(g, 0.1), 0.75)
-    steep = near > 1.5 * wide
+    near = smooth(g, 0.1)
+    steep = near > 1.5 * smooth(near, 0.75)
     edge = np.diff(np.concatenate([[0], steep.astype(int), [0]]))
     begins, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(begins):
@@ -159,12 +198,51 @@ def r_peaks(ecg: np.ndarray, rate: float) -> np.ndarray:
     least, out = 0.4 * np.mean(ends - begins), []
     for a, b in zip(begins, ends, strict=True):
         if b - a >= least:
-            k = a + int(np.argmax(x[a:b]))
+            k = a + int(np.argmax(clean[a:b]))
             if not out or k - out[-1] > 0.3 * rate:
                 out.append(k)
     return np.array(out)
 
 
+def beat_likeness(clean: np.ndarray, peaks: np.ndarray, rate: float) -> np.ndarray:
+    """An index from 0 to 1 for every sample: how near the beats around it are to the mean beat.
+
+    Beats are cut around their peaks by the mean rate, standardised sample by
+    sample and averaged; 1 less the distance from 0, brought to 0..1, is a
+    beat's index, between beats a line.  NaN without two whole beats.
+    """
+    if len(peaks) < 3:
+        return np.full(len(clean), np.nan)
+    period = float(np.mean(np.diff(peaks)))
+    a, b = int(0.35 * period), int(0.65 * period)
+    whole = (peaks - a >= 0) & (peaks + b <= len(clean))
+    if whole.sum() < 2:
+        return np.full(len(clean), np.nan)
+    beats = clean[peaks[whole][:, None] + np.arange(-a, b)]
+    spread = beats.std(axis=0, ddof=1)
+    far = np.abs(((beats - beats.mean(axis=0)) / np.where(spread > 0, spread, 1.0)).mean(axis=1))
+    index = np.zeros(len(peaks))
+    index[whole] = 1.0 - (far - far.min()) / max(far.max() - far.min(), 1e-12)
+    return np.interp(np.arange(len(clean)), peaks, index)
+
+
+def signal_index(clean: np.ndarray, peaks: np.ndarray, rate: float, chunk_s: float = 300.0) -> np.ndarray:
+    """The greater of the index against the whole recording's mean beat and against that of chunks of five minutes.
+
+    A tail under half a chunk goes with the last one; up to one and a half chunks there is one.
+    """
+    whole, chunk, n = beat_likeness(clean, peaks, rate), int(chunk_s * rate), len(clean)
+    if n <= chunk + chunk // 2:
+        return whole
+    local, start = np.full(n, np.nan), 0
+    while start < n:
+        end = n if n - start - chunk < chunk // 2 else start + chunk
+        here = peaks[(peaks >= start) & (peaks < end)] - start
+        local[start:end] = beat_likeness(clean[start:end], here, rate)
+        start = end
+    return np.fmax(whole, local)
+
+
 def _bounded_line(e: np.ndarray, y: np.ndarray, low: tuple[float, float], high: tuple[float, float]) -> tuple[float, float, float]:
     """Least squares of y = a + b e with a and b in a box: (loss, a, b)."""
     n, se, see, sy, sey = len(e), e.sum(), (e * e).sum(), y.sum(), (e * y).sum()
@@ -198,3 +276,79 @@ def recovery_tau(t: np.ndarray, hr: np.ndarray) -> float | None:
         c, d = b - g * (b - a), a + g * (b - a)
         a, b = (a, d) if loss(c) < loss(d) else (c, b)
     return float((a + b) / 2)
+
+
+# Fixed values of the published method: slope and offset of the ectopic border, quartile deviations, beats of the windows.
+BORDER_SLOPE, BORDER_OFFSET, DEVIATIONS, WIDE, NARROW = 0.13, 0.17, 5.2, 91, 11
+
+
+def _rolling(x: np.ndarray, width: int, shares: tuple[float, ...]) -> list[np.ndarray]:
+    """Quantiles over centred windows, cut at the ends."""
+    half = width // 2
+    padded = np.concatenate([np.full(half, np.nan), x, np.full(half, np.nan)])
+    return list(np.nanquantile(np.lib.stride_tricks.sliding_window_view(padded, width), shares, axis=1))
+
+
+def _scale(x: np.ndarray) -> np.ndarray:
+    low, high = _rolling(np.abs(x), WIDE, (0.25, 0.75))
+    return DEVIATIONS * (high - low) / 2
+
+
+def artifacts(peaks: np.ndarray) -> dict[str, np.ndarray]:
+    """Numbers of beats that are ectopic, missed, extra, or longshort, after Lipponen and Tarvainen (2019); ``peaks`` in any unit of time."""
+    found: dict[str, list[int]] = {"ectopic": [], "missed": [], "extra": [], "longshort": []}
+    if len(peaks) >= 5:
+        rr = np.diff(peaks, prepend=peaks[0]).astype(float)
+        rr[0] = rr[1:].mean()
+        d = np.diff(rr, prepend=rr[0])
+        d[0] = d[1:].mean()
+        (middle,) = _rolling(rr, NARROW, (0.5,))
+        m = rr - middle
+        m[m < 0] *= 2
+        limit = _scale(m)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            d, m = d / _scale(d), m / limit
+        sign, e = np.sign(d), np.pad(d, 2, "reflect")
+        beside = sign * np.maximum(sign * e[1:-3], sign * e[3:-1])  # the neighbour that goes furthest the same way
+        ahead = np.where(d >= 0, np.minimum(e[3:-1], e[4:]), np.maximum(e[3:-1], e[4:]))
+        i = 0
+        while i < len(rr) - 2:
+            if not abs(d[i]) > 1:
+                i += 1
+            elif sign[i] * beside[i] < -BORDER_SLOPE * abs(d[i]) - BORDER_OFFSET:
+                found["ectopic"].append(i)
+                i += 1
+            else:
+                for j in (i, i + 1) if abs(d[i + 1]) < abs(d[i + 2]) else (i,):
+                    long, short = d[j] > 1 and ahead[j] < -1, d[j] < -1 and ahead[j] > 1
+                    if short and abs(rr[j] + rr[j + 1] - middle[j]) < limit[j]:
+                        found["extra"].append(j)
+                    elif long and abs(rr[j] / 2 - middle[j]) < limit[j]:
+                        found["missed"].append(j)
+                    elif long or short or abs(m[j]) > 3:
+                        found["longshort"].append(j)
+                    i += 1
+    return {k: np.unique(v).astype(int) for k, v in found.items()}
+
+
+def corrected_peaks(peaks: np.ndarray, most: int = 50) -> np.ndarray:
+    """Beats after correction, repeated while it leaves fewer artifacts: extra beats go, missed ones are put in the middle, others move there."""
+    now = artifacts(peaks)
+    left = sum(map(len, now.values()))
+    for _ in range(most):
+        if not left:
+            break
+        x = peaks.astype(float)
+        move = np.concatenate([now["ectopic"], now["longshort"]])
+        move = np.unique(move[(move > 1) & (move < len(x) - 1)])
+        middle = (x[move - 1] + x[move + 1]) / 2
+        missed = now["missed"][now["missed"] > 0]
+        new = (x[missed - 1] + x[missed]) / 2
+        x[move] = middle
+        after = np.unique(np.concatenate([np.delete(x, now["extra"]), new]))
+        later = artifacts(after)
+        count = sum(map(len, later.values()))
+        if count >= left:
+            break
+        peaks, now, left = after, later, count
+    return peaks

@@ -113,7 +113,7 @@ def detect_peaks(samples: DataFrame, rate: float) -> DataFrame:
     def run(d: pd.DataFrame) -> pd.DataFrame:
         d = d.sort_values("i")
         try:
-            p = K.r_peaks(d["x"].to_numpy(float), rate)
+            p = K.r_peaks(K.clean_ecg(d["x"].to_numpy(float), rate), rate)
             status = "ok" if len(p) >= 10 else "too few peaks"
         except (ValueError, ArithmeticError) as e:
             p, status = np.empty(0, int), f"failed: {e}"[:200]

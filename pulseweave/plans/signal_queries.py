@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import hrv, series, spectral
+from ..operators import hrv, recording, series, spectral
 from ..session import new_folder, table
 from ..streaming import streams
 from .adapter import BEATS_SQL, beats, excluded, raw_intervals, rr_series
@@ -128,3 +128,25 @@ WHERE EXISTS (SELECT 1 FROM seg WHERE seg.session_id = raw.session_id AND raw.st
 def excluded_recovered(spark, sf_dir):
     b = beats(spark, sf_dir)
     return tidy(series.overlap_join(series.intervals(b), excluded(b), "left_semi").select("session_id", "n", "rr_ms"))
+
+
+def _recordings(spark, sf_dir):
+    """A made-up recording of 150 s for each nation, of its own rate and swing."""
+    k = F.col("n_nationkey")
+    n = table(spark, sf_dir, "nation").select(k.cast("long").alias("session_id"), (700.0 + 12 * k).alias("rr_ms"), (15.0 + k % 7).alias("swing_ms"), (F.lit(0.08) + 0.01 * (k % 5)).alias("swing_hz"))
+    return recording.synthetic(n.repartition(n.sparkSession.sparkContext.defaultParallelism, "session_id"), 130.0, 150.0)
+
+
+@R.add()
+def recording_variability(spark, sf_dir):
+    return recording.variability(recording.process(_recordings(spark, sf_dir), 130.0))
+
+
+@R.add()
+def recording_quality(spark, sf_dir):
+    return recording.process(_recordings(spark, sf_dir), 130.0).windows
+
+
+@R.add()
+def beat_correction(spark, sf_dir):
+    return recording.correction_summary(recording.correction(beats(spark, sf_dir)).where("kind = 'raw'"))

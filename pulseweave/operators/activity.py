@@ -112,3 +112,25 @@ def orthostatic_step(per_minute: DataFrame, rise: float = 8.0) -> DataFrame:
     return d.groupBy("session_id").agg(F.max(F.struct("step_bpm", (-F.col("window")).alias("w"))).alias("m")).select("session_id", F.col("m.step_bpm").alias("step_bpm"), (-F.col("m.w")).alias("window"))
 
 
+
+
+def reactivation_slope(per_minute: DataFrame, least: int = 3) -> DataFrame:
+    """ms a minute by which RMSSD by minute (session_id, window, rmssd_ms) rises; null under ``least`` minutes."""
+    return per_minute.groupBy("session_id").agg(F.when(F.count("*") >= least, F.regr_slope("rmssd_ms", "window")).alias("slope_ms_per_min"))
+
+
+def excluded_fraction(totals: DataFrame) -> DataFrame:
+    """Adds excluded_fraction to excluded_s and analysed_s; 0 without any time."""
+    t = F.col("excluded_s") + F.col("analysed_s")
+    return totals.withColumn("excluded_fraction", F.when(t > 0, F.col("excluded_s") / t).otherwise(0.0))
+
+
+# What a profile's figures must be read with care for.
+CAUTIONS = {"cycling": ("frequency",), "recovery": ("time", "frequency"), "running": ("frequency",), "sleep": ("frequency", "nonlinear"), "standing": ("time", "frequency"), "walking": ("frequency",)}
+
+
+def cautions(sessions: DataFrame) -> DataFrame:
+    """Adds cautions to sessions (profile_key, paced): those of the profile, and frequency where breathing is paced."""
+    own = F.create_map(*[x for k, v in CAUTIONS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    none = F.array().cast("array<string>")
+    return sessions.withColumn("cautions", F.array_sort(F.array_union(F.coalesce(F.try_element_at(own, F.col("profile_key")), none), F.when(F.col("paced"), F.array(F.lit("frequency"))).otherwise(none))))

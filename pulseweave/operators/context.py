@@ -114,3 +114,31 @@ def places(df: DataFrame, order: list[Column], folder: str) -> DataFrame:
     # one row for each part
     before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     return rows.join(F.broadcast(before), "_part").withColumn("place", F.col("_row") + F.col("_before") + 1).drop("_part", "_row", "_before")
+
+
+def outside_ranges(df: DataFrame, ranges: Sequence[tuple[str, float, float]], ordered: Sequence[tuple[str, str]] = ()) -> DataFrame:
+    """Adds violations, an array: columns outside of their range (null is allowed), and pairs of which the first is not under the second."""
+    found = [F.when(~F.col(c).between(lo, hi), F.lit(c)) for c, lo, hi in ranges] + [F.when(F.col(a) >= F.col(b), F.lit(f"{a}>={b}")) for a, b in ordered]
+    return df.withColumn("violations", F.array_compact(F.array(*found)))
+
+
+def rates_by_tag(rates: DataFrame, tags: DataFrame) -> DataFrame:
+    """tag, tagged, untagged: the rates (session_id, rate) of sessions with and without each tag in use (session_id, tag), sorted.
+
+    The vocabulary of tags is small; sessions are repeated for its tags.
+    """
+    used = tags.select("tag").distinct()
+    marked = tags.distinct().withColumn("_has", F.lit(True))
+    every = rates.crossJoin(F.broadcast(used)).join(marked, ["session_id", "tag"], "left")
+    pick = lambda has: F.array_sort(F.collect_list(F.when(F.col("_has").isNotNull() == has, F.col("rate"))))
+    return every.groupBy("tag").agg(pick(True).alias("tagged"), pick(False).alias("untagged"))
+
+
+def close(a: Column, b: Column, relative: float = 1e-9, absolute: float = 0.0) -> Column:
+    """Whether two numbers are within a share of the greater or an absolute distance."""
+    return F.abs(a - b) <= F.greatest(F.lit(relative) * F.greatest(F.abs(a), F.abs(b)), F.lit(absolute))
+
+
+def clock(start: Column, elapsed_s: Column) -> Column:
+    """The time that lies so many seconds behind ``start``."""
+    return start + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), elapsed_s.cast("decimal(18,6)"))

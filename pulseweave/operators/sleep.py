@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -198,3 +198,47 @@ def thirds(hypnogram: DataFrame) -> DataFrame:
     n = F.count("*").over(Window.partitionBy("session_id"))
     i = F.row_number().over(by_session("epoch")) - 1
     return hypnogram.withColumn("third", F.floor(i * 3 / n).cast("long")).groupBy("session_id", "third", "stage").agg(F.count("*").alias("n"))
+
+
+# What the columns of a three-stage classifier (undefined, NREM, REM, wake) mean in wake_rem_nrem_3.
+CLASSIFIER_CODES = (UNSCORED, 1, 2, 0)
+
+
+def from_probabilities(scored: DataFrame, grid: DataFrame, codes: Sequence[int] = CLASSIFIER_CODES) -> DataFrame:
+    """Epochs of ``grid`` (session_id, epoch) with the stage of the greatest of ``p`` (the first on ties); epochs that were not scored are unscored, and those beyond the grid go."""
+    best = F.array_position("p", F.array_max("p"))
+    s = scored.select("session_id", "epoch", F.try_element_at(F.array(*map(F.lit, codes)), best.cast("int")).alias("stage"))
+    return grid.join(s, ["session_id", "epoch"], "left").select("session_id", "epoch", F.coalesce("stage", F.lit(UNSCORED)).alias("stage"))
+
+
+def from_codes(scored: DataFrame, grid: DataFrame, n_codes: int = 5) -> DataFrame:
+    """Epochs of ``grid`` with codes of an outside engine as they are; others than 0 to n_codes - 1 are unscored. Adds status: count mismatch where an engine scored other than the grid's epochs."""
+    s = scored.select("session_id", "epoch", F.when(F.col("stage").between(0, n_codes - 1), F.col("stage")).otherwise(UNSCORED).alias("stage"))
+    n = scored.groupBy("session_id").agg(F.count("*").alias("_n"))
+    m = grid.groupBy("session_id").agg(F.count("*").alias("_m")).join(n, "session_id", "left")
+    m = m.select("session_id", F.when(F.col("_n") == F.col("_m"), "ok").otherwise("count mismatch").alias("status"))
+    return grid.join(s, ["session_id", "epoch"], "left").withColumn("stage", F.coalesce("stage", F.lit(UNSCORED))).join(m, "session_id")
+
+
+def run_engines(features: DataFrame, engines: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """Hypnograms (session_id, epoch, stage) of all engines, one below the other, with engine; an engine that cannot be planned gives one row with its error as status."""
+    out = None
+    for name, engine in engines.items():
+        try:
+            h = engine(features).select("session_id", "epoch", F.col("stage").cast("int").alias("stage"), F.lit("ok").alias("status"))
+        except Exception as e:  # noqa: BLE001 - an engine's failure is an outcome of its own
+            h = features.sparkSession.createDataFrame([(None, None, None, f"failed: {e}"[:200])], "session_id long, epoch long, stage int, status string")
+        h = h.withColumn("engine", F.lit(name))
+        out = h if out is None else out.unionByName(h)
+    return out
+
+
+# Healthy ranges (metric, low, high) of a night's summary.
+NORMS = (("efficiency_pct", 85.0, 100.0), ("latency_min", 0.0, 30.0), ("waso_min", 0.0, 40.0), ("rem_latency_min", 60.0, 120.0))
+
+
+def plausibility(summary: DataFrame, norms: Sequence[tuple[str, float, float]] = NORMS) -> DataFrame:
+    """session_id, metric, value, low, high, verdict (within range, below range, above range) of the metrics that a summary has values for."""
+    rows = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"), F.lit(a).alias("low"), F.lit(b).alias("high")) for m, a, b in norms]))
+    verdict = F.when(F.col("value") < F.col("low"), "below range").when(F.col("value") > F.col("high"), "above range").otherwise("within range")
+    return summary.select("session_id", rows.alias("r")).select("session_id", "r.*").where("value IS NOT NULL").withColumn("verdict", verdict)

@@ -53,8 +53,10 @@ def ectopy(burden: DataFrame, bigeminy: DataFrame) -> DataFrame:
 
 
 def flag(df: DataFrame, kind: str, severity: str, description: Column, evidence: Column, threshold: Column) -> DataFrame:
-    """One row a flag; every flag carries the disclaimer."""
-    return df.select("session_id", F.lit(kind).alias("kind"), F.lit(severity).alias("severity"), description.alias("description"), F.to_json(evidence).alias("evidence"), F.to_json(threshold).alias("threshold"), F.lit(DISCLAIMER).alias("disclaimer"))
+    """One row a flag; every flag carries the disclaimer, and a description with a banned phrase is an error."""
+    stop = F.raise_error(F.concat(F.lit("banned phrase in a description: "), description)).cast("string")
+    checked = F.when(F.size(banned(description)) > 0, stop).otherwise(description)
+    return df.select("session_id", F.lit(kind).alias("kind"), F.lit(severity).alias("severity"), checked.alias("description"), F.to_json(evidence).alias("evidence"), F.to_json(threshold).alias("threshold"), F.lit(DISCLAIMER).alias("disclaimer"))
 
 
 def banned(text: Column) -> Column:

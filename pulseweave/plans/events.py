@@ -136,9 +136,9 @@ def flag_sustained_high(spark, sf_dir):
     return screening.sustained(hrv.sustained_hr(rr_series(spark, sf_dir)), "sustained_high_hr", 80.0)
 
 
-@R.add(_SLIDING.format(width="45.0", step="5.0") + _SPANS.format(op="<", limit=60, agg="min", kind="sustained_low_hr"))
+@R.add(_SLIDING.format(width="45.0", step="5.0") + _SPANS.format(op="<", limit=80, agg="min", kind="sustained_low_hr"))
 def flag_sustained_low(spark, sf_dir):
-    return screening.sustained(hrv.sustained_hr(rr_series(spark, sf_dir)), "sustained_low_hr", screening.BRADY_BPM)
+    return screening.sustained(hrv.sustained_hr(rr_series(spark, sf_dir)), "sustained_low_hr", 80.0)
 
 
 @R.add(
@@ -182,24 +182,49 @@ def flag_irregularity(spark, sf_dir):
     return screening.irregularity(hrv.cosen(hrv.contiguous_entropy_windows(rr_series(spark, sf_dir))))
 
 
-@R.add(
-    "SELECT session_id, kind, severity, description, disclaimer FROM ("
-    + "SELECT session_id, 'irregularity' AS kind, 'review' AS severity, 'Longest stretch of irregular windows: ' || longest_run AS description, '"
-    + screening.DISCLAIMER
-    + "' AS disclaimer FROM ("
-    + _IRREGULAR
-    + ") UNION ALL SELECT session_id, kind, 'info', 'Least sustained rate: ' || printf('%.1f', worst_bpm) || ' bpm', '"
-    + screening.DISCLAIMER
-    + "' FROM ("
-    + _SLIDING.format(width="45.0", step="5.0")
-    + _SPANS.format(op="<", limit=60, agg="min", kind="sustained_low_hr")
-    + "))"
+_RATE_FLAG = """SELECT session_id, kind, 'review' AS severity, '{title} sustained rate: ' || printf('%.1f', worst_bpm) || ' bpm in ' || n_windows || ' windows' AS description,
+  '{{"worst_bpm":' || printf('%.1f', worst_bpm) || ',"n_windows":' || n_windows || ',"spans":"' || spans || '"}}' AS evidence, '{{"bpm":{limit}.0,"window_s":45.0}}' AS threshold FROM ({rows})"""
+_ECTOPY_FLAG = (
+    PREM_SQL
+    + """,
+c AS (SELECT session_id, beat, coalesce(beat - lag(beat) OVER (PARTITION BY session_id ORDER BY beat) <> 2, true) AS brk FROM ect),
+d AS (SELECT *, sum(CASE WHEN brk THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY beat ROWS UNBOUNDED PRECEDING) AS g FROM c),
+l AS (SELECT session_id, max(m) AS m FROM (SELECT session_id, count(*) AS m FROM d GROUP BY session_id, g HAVING count(*) >= 3) GROUP BY 1),
+fi AS (SELECT session_id, array_to_string((list(beat ORDER BY beat))[1:100], ',') AS beats FROM ect GROUP BY 1)
+SELECT bur.session_id, 'ectopy' AS kind, 'review' AS severity, 'Confirmed ectopic beats: ' || n || ' of ' || n_beats AS description,
+  '{"n_confirmed":' || n || ',"n_beats":' || n_beats || ',"longest_bigeminy":' || coalesce(m, 0) || ',"beats":"' || coalesce(beats, '') || '"}' AS evidence, '{"pct":1.0,"bigeminy_beats":3}' AS threshold
+FROM bur LEFT JOIN l ON l.session_id = bur.session_id LEFT JOIN fi ON fi.session_id = bur.session_id WHERE 100.0 * n / n_beats > 1.0 OR m >= 3"""
+)
+_FLAGS = " UNION ALL ".join(
+    f"SELECT * FROM ({x})"
+    for x in (
+        _RATE_FLAG.format(title="Highest", limit=80, rows=_SLIDING.format(width="45.0", step="5.0") + _SPANS.format(op=">", limit=80, agg="max", kind="sustained_high_hr")),
+        _RATE_FLAG.format(title="Least", limit=80, rows=_SLIDING.format(width="45.0", step="5.0") + _SPANS.format(op="<", limit=80, agg="min", kind="sustained_low_hr")),
+        _ECTOPY_FLAG,
+        """SELECT session_id, 'irregularity' AS kind, 'review' AS severity, 'Longest stretch of irregular windows: ' || longest_run AS description,
+  '{"longest_run":' || longest_run || ',"n_runs":' || n_runs || '}' AS evidence, '{"cosen":-1.0,"cv":0.1,"windows":3}' AS threshold FROM (""" + _IRREGULAR + ")",
+    )
 )
+
+
+@R.add(f"SELECT *, '{screening.DISCLAIMER}' AS disclaimer FROM ({_FLAGS})")
 def all_flags(spark, sf_dir):
-    a, b = flag_irregularity(spark, sf_dir), flag_sustained_low(spark, sf_dir)
-    one = screening.flag(a, "irregularity", "review", F.concat(F.lit("Longest stretch of irregular windows: "), F.col("longest_run")), F.struct("longest_run", "n_runs"), F.struct(F.lit(screening.COSEN_LIMIT).alias("cosen")))
-    two = screening.flag(b, "sustained_low_hr", "info", F.concat(F.lit("Least sustained rate: "), F.format_string("%.1f", F.col("worst_bpm")), F.lit(" bpm")), F.struct("worst_bpm", "n_windows", "spans"), F.struct(F.lit(60.0).alias("bpm")))
-    return one.unionByName(two).where(F.size(screening.banned(F.col("description"))) == 0).drop("evidence", "threshold")
+    def rate(df, title, limit):
+        text = F.concat(F.lit(f"{title} sustained rate: "), F.format_string("%.1f", "worst_bpm"), F.lit(" bpm in "), F.col("n_windows").cast("string"), F.lit(" windows"))
+        kind = "sustained_high_hr" if title == "Highest" else "sustained_low_hr"
+        return screening.flag(df, kind, "review", text, F.struct("worst_bpm", "n_windows", "spans"), F.struct(F.lit(limit).alias("bpm"), F.lit(45.0).alias("window_s")))
+
+    confirmed = _confirmed(spark, sf_dir)
+    first = confirmed.groupBy("session_id").agg(F.array_join(F.slice(F.array_sort(F.collect_list("beat")), 1, 100).cast("array<string>"), ",").alias("beats"))
+    e = screening.ectopy(_burden(spark, sf_dir), ectopy.patterns(confirmed, 2)).join(first, "session_id", "left").withColumn("beats", F.coalesce("beats", F.lit("")))
+    e = e.join(beats(spark, sf_dir).groupBy("session_id").agg(F.count("*").alias("n_beats")), "session_id")
+    ectopic = screening.flag(
+        e, "ectopy", "review", F.concat(F.lit("Confirmed ectopic beats: "), F.col("n").cast("string"), F.lit(" of "), F.col("n_beats").cast("string")), F.struct(F.col("n").alias("n_confirmed"), "n_beats", "longest_bigeminy", "beats"),
+        F.struct(F.lit(screening.ECTOPY_PCT).alias("pct"), F.lit(screening.BIGEMINY_BEATS).alias("bigeminy_beats")),
+    )
+    limits = F.struct(F.lit(screening.COSEN_LIMIT).alias("cosen"), F.lit(screening.CV_LIMIT).alias("cv"), F.lit(screening.IRREGULAR_WINDOWS).alias("windows"))
+    irregular = screening.flag(flag_irregularity(spark, sf_dir), "irregularity", "review", F.concat(F.lit("Longest stretch of irregular windows: "), F.col("longest_run")), F.struct("longest_run", "n_runs"), limits)
+    return rate(flag_sustained_high(spark, sf_dir), "Highest", 80.0).unionByName(rate(flag_sustained_low(spark, sf_dir), "Least", 80.0)).unionByName(ectopic).unionByName(irregular)
 
 
 @R.add("SELECT doc_id, " + " + ".join(f"CAST(contains(lower(text), '{p}') AS INTEGER)" for p in screening.BANNED_PHRASES) + " AS n_banned FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)")

@@ -55,12 +55,19 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # ids can be null or repeated, so each row has a key of its own, written once so that it stays the same
-    keyed = Scratch(spark, "copies").save(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
-    groups = ngram_join.join(keyed, id_col="_row").documents.select(F.col("doc_id").alias("_row"), "component_id")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first")
-    kept = keyed.select("_row", "doc_id").join(groups, "_row").groupBy("component_id").agg(first).select("first._row")
-    return keyed.join(kept, "_row", "left_semi").select(*docs.columns)
+    # ids can be null or repeated, so a row goes by a hash of all that it holds; rows repeated in full share it
+    cols, key = docs.columns, "_row"
+    while key in cols:
+        key += "_"
+    keyed = docs.withColumn(key, F.xxhash64(*cols, *[F.col(c).isNull() for c in cols]))
+    groups = ngram_join.join(keyed.select(key, "text"), id_col=key).documents
+    groups = groups.groupBy(F.col("doc_id").alias(key)).agg(F.min("component_id").alias("component"), F.count("*").alias("times"), F.max("n_shingles").alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(key).alias("row"), "times", "n")).alias("first")
+    kept = groups.join(keyed.select(key, "doc_id").distinct(), key).groupBy("component").agg(first).select(F.col("first.row").alias(key), "first.times", "first.n")
+    kept = Scratch(spark, "copies").save(kept, "kept")
+    once = (F.col("times") == 1) | (F.col("n") == 0)  # texts without words are in no group
+    one = keyed.join(kept.where(once), key, "left_semi").select(*cols)
+    return one.union(keyed.join(kept.where(~once), key, "left_semi").select(*cols).dropDuplicates())
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

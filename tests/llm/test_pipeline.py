@@ -3,7 +3,6 @@ import random
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pulseweave.llm.scratch import shared_dir
 
 from .test_text_operators import DE, EN, brute_components, texts_of
 
@@ -56,7 +55,3 @@ def test_stages_without_labels_keep_clean_documents(spark, tmp_path):
     got = corpus_pipeline.language_stage(spark, docs, str(tmp_path))
     assert sorted(r.doc_id for r in got.collect()) == list(range(6)) and got.columns == docs.columns
     assert sorted(r.doc_id for r in corpus_pipeline.quality_stage(spark, got, str(tmp_path)).collect()) == list(range(6))
-
-
-def test_intermediate_tables_are_shared(spark):
-    assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")

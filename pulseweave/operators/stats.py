@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .context import vocabulary
+
 # Least exposure of a session (s), sessions an arm, events, sessions for an association, sessions a level.
 MIN_ANALYSED_S, MIN_ARM, MIN_EVENTS, MIN_ENV, MIN_LEVEL = 600.0, 5, 10, 12, 3
 # Built-in exposure tags.
@@ -30,10 +32,9 @@ def judged(sessions: DataFrame) -> DataFrame:
 def arms(observations: DataFrame, tags: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Every observation for every tag used, with exposed.  ``tags`` has session_id, tag; observations keep their columns.
 
-    The tags used are a small dimension (at most those of the vocabulary and a person's own).
+    The tags used are a small dimension (at most those of the vocabulary and a person's own), which is checked.
     """
-    used = tags.select(*keys, "tag").distinct()
-    pairs = observations.join(used, list(keys)) if keys else observations.crossJoin(F.broadcast(used))
+    pairs = observations.join(tags.select(*keys, "tag").distinct(), list(keys)) if keys else observations.crossJoin(vocabulary(tags))
     return pairs.join(tags.select("session_id", "tag", F.lit(True).alias("_t")).distinct(), ["session_id", "tag"], "left").withColumn("exposed", F.coalesce("_t", F.lit(False))).drop("_t")
 
 

@@ -49,9 +49,10 @@ def semi_ids(spark, sf_dir):
     return table(spark, sf_dir, "orders").join(l, "o_orderkey", "left_semi").select("o_orderkey", "o_totalprice")
 
 
-@R.add("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@R.add("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_custkey % 3 <> 0)")
 def anti_missing(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    """Orders of every third customer do not count, so that some are missing."""
+    o = table(spark, sf_dir, "orders").where("o_custkey % 3 <> 0").select(F.col("o_custkey").alias("c_custkey"))
     return context.missing(table(spark, sf_dir, "customer"), o, ["c_custkey"]).select("c_custkey")
 
 
@@ -112,9 +113,11 @@ def union_distinct(spark, sf_dir):
     return table(spark, sf_dir, "events").where("event_type = 'signup'").select("user_id").union(table(spark, sf_dir, "customer").where("c_acctbal < 0").select("c_custkey")).distinct()
 
 
-@R.add("SELECT CAST(ts AS DATE) AS date FROM events INTERSECT SELECT CAST(o_orderdate AS DATE) FROM orders")
+@R.add("SELECT CAST(ts AS DATE) AS date FROM events INTERSECT SELECT CAST(o_orderdate + INTERVAL 9000 DAY AS DATE) FROM orders WHERE o_orderkey % 2 = 0")
 def intersect_dates(spark, sf_dir):
-    return table(spark, sf_dir, "events").select(F.to_date("ts").alias("date")).intersect(table(spark, sf_dir, "orders").select(F.to_date("o_orderdate")))
+    """Orders are taken 9,000 days later, so that some of their days are days of events."""
+    o = table(spark, sf_dir, "orders").where("o_orderkey % 2 = 0").select(F.date_add(F.to_date("o_orderdate"), 9000))
+    return table(spark, sf_dir, "events").select(F.to_date("ts").alias("date")).intersect(o)
 
 
 @R.add(f"WITH {_TAGS} SELECT CAST(tag_id AS BIGINT) AS tag_id, slug FROM tg WHERE tag_id NOT IN (SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) % 18 FROM events WHERE user_id = 3)")
@@ -129,95 +132,6 @@ def nulls_last_sort(spark, sf_dir):
     return context.places(c, [F.desc_nulls_last("b"), F.asc("c_custkey")], new_folder(spark, "places")).select("c_custkey", "place")
 
 
-@R.add("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
-def semi_ids(spark, sf_dir):
-    l = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
-    return table(spark, sf_dir, "orders").join(l, "o_orderkey", "left_semi").select("o_orderkey", "o_totalprice")
-
-
-@R.add("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
-def anti_missing(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return context.missing(table(spark, sf_dir, "customer"), o, ["c_custkey"]).select("c_custkey")
-
-
-@R.add("SELECT d.doc_id, coalesce(quality, -1) AS quality FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
-def left_default(spark, sf_dir):
-    d, l = table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").select("doc_id", "quality")
-    return d.join(l, "doc_id", "left").select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"))
-
-
-_NIGHTS = """a AS (SELECT user_id AS person_id, CAST(ts AS DATE) AS date, count(*) AS sleep_n FROM events WHERE event_type = 'view' GROUP BY 1, 2),
-b AS (SELECT user_id AS person_id, CAST(ts AS DATE) AS date, max(value) AS recharge FROM events WHERE event_type = 'purchase' GROUP BY 1, 2),
-c AS (SELECT user_id AS person_id, CAST(ts AS DATE) AS date, min(value) AS low_hr FROM events WHERE event_type = 'error' GROUP BY 1, 2)"""
-
-
-def _sources(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("person_id"), F.to_date("ts").alias("date"), "event_type", "value")
-    by = lambda t, a: e.where(F.col("event_type") == t).groupBy("person_id", "date").agg(a)
-    return by("view", F.count("*").alias("sleep_n")), by("purchase", F.max("value").alias("recharge")), by("error", F.min("value").alias("low_hr"))
-
-
-@R.add(f"WITH {_NIGHTS} SELECT person_id, date, sleep_n, recharge, low_hr FROM a FULL JOIN b USING (person_id, date) FULL JOIN c USING (person_id, date)")
-def outer_sources(spark, sf_dir):
-    return context.merge_nights(*_sources(spark, sf_dir))
-
-
-@R.add(f"WITH {_NIGHTS} SELECT event_id, sleep_n FROM events LEFT JOIN a ON a.person_id = user_id AND a.date = CAST(ts AS DATE) WHERE event_type = 'signup'")
-def night_before(spark, sf_dir):
-    s = table(spark, sf_dir, "events").where("event_type = 'signup'").select("event_id", F.col("user_id").alias("person_id"), F.col("ts").alias("recorded_at"))
-    return context.night_before(s, _sources(spark, sf_dir)[0]).select("event_id", "sleep_n")
-
-
-@R.add(f"WITH {_NIGHTS} SELECT person_id, date, round(CASE WHEN coalesce(sleep_n, recharge, low_hr) IS NULL THEN NULL ELSE coalesce(sleep_n, 0) + coalesce(recharge, 0) + coalesce(low_hr, 0) END, 6) AS total, coalesce(recharge, low_hr) IS NOT NULL AS has_recharge FROM a FULL JOIN b USING (person_id, date) FULL JOIN c USING (person_id, date)")
-def any_not_null(spark, sf_dir):
-    n = context.merge_nights(*_sources(spark, sf_dir))
-    return tidy(n.select("person_id", "date", context.total_sleep(F.col("sleep_n"), F.col("recharge"), F.col("low_hr")).alias("total"), context.any_present(F.col("recharge"), F.col("low_hr")).alias("has_recharge")))
-
-
-@R.add(
-    """WITH o AS (SELECT doc_id, quality AS v, toxic AS w FROM labels WHERE doc_id % 2 = 0), i AS (SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN toxic END AS v, CASE WHEN doc_id % 9 > 3 THEN quality END AS w FROM labels WHERE doc_id % 5 <> 0),
-j AS (SELECT doc_id, o.v AS ov, o.w AS ow, i.v AS nv, i.w AS nw, o.doc_id IS NOT NULL AS old, coalesce(i.v, i.w) IS NOT NULL AS new FROM o FULL JOIN i USING (doc_id))
-SELECT doc_id, CASE WHEN new THEN coalesce(nv, ov) ELSE ov END AS v, CASE WHEN new THEN coalesce(nw, ow) ELSE ow END AS w,
-  CASE WHEN new AND NOT old THEN 'created' WHEN new AND (coalesce(nv, ov) IS DISTINCT FROM ov OR coalesce(nw, ow) IS DISTINCT FROM ow) THEN 'updated' WHEN new THEN 'unchanged' WHEN old THEN 'kept' ELSE 'empty' END AS status FROM j"""
-)
-def upsert_counts(spark, sf_dir):
-    l = table(spark, sf_dir, "labels")
-    old = l.where("doc_id % 2 = 0").select("doc_id", F.col("quality").alias("v"), F.col("toxic").alias("w"))
-    new = l.where("doc_id % 5 <> 0").select("doc_id", F.when(F.col("doc_id") % 3 != 0, F.col("toxic")).alias("v"), F.when(F.col("doc_id") % 9 > 3, F.col("quality")).alias("w"))
-    return context.upsert(old, new, ["doc_id"], ["v", "w"])
-
-
-@R.add("SELECT sha256(text) AS sha256, min(doc_id) AS doc_id, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY 1")
-def dedup_sha256(spark, sf_dir):
-    return context.first_seen(table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "text"), F.col("text"), ["doc_id"])
-
-
-@R.add("SELECT user_id FROM events WHERE event_type = 'signup' UNION SELECT c_custkey FROM customer WHERE c_acctbal < 0")
-def union_distinct(spark, sf_dir):
-    return table(spark, sf_dir, "events").where("event_type = 'signup'").select("user_id").union(table(spark, sf_dir, "customer").where("c_acctbal < 0").select("c_custkey")).distinct()
-
-
-@R.add("SELECT CAST(ts AS DATE) AS date FROM events INTERSECT SELECT CAST(o_orderdate AS DATE) FROM orders")
-def intersect_dates(spark, sf_dir):
-    return table(spark, sf_dir, "events").select(F.to_date("ts").alias("date")).intersect(table(spark, sf_dir, "orders").select(F.to_date("o_orderdate")))
-
-
-@R.add(f"WITH {_TAGS} SELECT CAST(tag_id AS BIGINT) AS tag_id, slug FROM tg WHERE tag_id NOT IN (SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) % 18 FROM events WHERE user_id = 3)")
-def except_seed(spark, sf_dir):
-    there = table(spark, sf_dir, "events").where("user_id = 3").select((F.get_json_object("props", "$.k").cast("long") % 18).alias("tag_id"))
-    return context.missing(_tags(spark), there, ["tag_id"])
-
-
-@R.add("SELECT c_custkey, row_number() OVER (ORDER BY CASE WHEN c_acctbal > 0 THEN c_acctbal END DESC NULLS LAST, c_custkey) AS place FROM customer ORDER BY CASE WHEN c_acctbal > 0 THEN c_acctbal END DESC NULLS LAST, c_custkey LIMIT 20")
-def nulls_last_sort(spark, sf_dir):
-    from pyspark.sql import Window
-
-    b = F.when(F.col("c_acctbal") > 0, F.col("c_acctbal"))
-    top = table(spark, sf_dir, "customer").select("c_custkey", b.alias("b")).orderBy(F.desc_nulls_last("b"), "c_custkey").limit(20)
-    return top.select("c_custkey", F.row_number().over(Window.orderBy(F.desc_nulls_last("b"), "c_custkey")).cast("long").alias("place"))
-
-
 @R.add("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
 def topk(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(20)

@@ -15,7 +15,7 @@ R = Registry()
 
 @R.add()
 def welch_psd(spark, sf_dir):
-    return spectral.frequency_domain(rr_series(spark, sf_dir))
+    return spectral.frequency_domain(recording.process(_recordings(spark, sf_dir), 130.0).rr)
 
 
 @R.add()
@@ -25,7 +25,7 @@ def sampen_dfa(spark, sf_dir):
 
 @R.add()
 def band_power_epochs(spark, sf_dir):
-    return spectral.band_power_epochs(rr_series(spark, sf_dir), 0.04, 0.15)
+    return spectral.band_power_epochs(recording.process(_recordings(spark, sf_dir), 130.0).rr, 0.04, 0.15)
 
 
 @R.add()

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
+from ..session import written
 from . import hrv, quality, series, spectral
 
 # Cut-offs in Hz, share of corrected beats beyond which a session has reduced confidence.
@@ -99,13 +100,13 @@ def correction_summary(classified: DataFrame) -> DataFrame:
 
 
 def process(samples: DataFrame, rate: float) -> Recording:
-    """The tables of recordings (session_id, i, t_s, x)."""
-    d = conditioned(samples, rate)
+    """The tables of recordings (session_id, i, t_s, x).  Filtered samples and corrected beats are written once, for all that reads them."""
+    d = written(conditioned(samples, rate), "conditioned")
     windows = quality.windows(d)
     segments = quality.merge_excluded(windows)
     order = series.by_session("i")
     beats = d.where("peak").select("session_id", (F.row_number().over(order) - 1).cast("long").alias("beat"), "t_s")
-    both = correction(beats)
+    both = written(correction(beats), "beats")
     corrected = both.where("kind = 'corrected'").select("session_id", "beat", "t_s")
     return Recording(windows, segments, beats, corrected, series.build_rr(corrected, segments), correction_summary(both.where("kind = 'raw'")))
 

@@ -67,7 +67,10 @@ def copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     kept = Scratch(spark, "copies").save(kept, "kept")
     once = (F.col("times") == 1) | (F.col("n") == 0)  # texts without words are in no group
     one = keyed.join(kept.where(once), key, "left_semi").select(*cols)
-    return one.union(keyed.join(kept.where(~once), key, "left_semi").select(*cols).dropDuplicates())
+    more = kept.where(~once).select(key)
+    if more.count() * 16 <= ngram_join.BROADCAST_BYTES:  # few rows repeat in full as a rule; else the texts are shuffled once more
+        more = F.broadcast(more)
+    return one.union(keyed.join(more, key, "left_semi").select(*cols).dropDuplicates())
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embed_dedup, langid, mixing, ngram_join, packing, quality, token_counts, topk, url_filter
+from . import bpe, chat, embed_dedup, langid, lexical, mixing, ngram_join, packing, quality, repair, token_counts, topk, url_filter
 from .scratch import Scratch, table
 
 #: The rules that the URL query judges by: host, path, verdict.
@@ -64,6 +64,42 @@ def op10_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate(table(spark, sf_dir, "conversations"))
 
 
+def damaged(conversations: DataFrame) -> tuple[DataFrame, Column]:
+    """Rows damaged by the remainder of a checksum of their conversation and turn, and how often each stands there."""
+    space = F.lit(" ")
+    key = F.concat(F.coalesce(F.col("conv_id").cast("string"), space), F.lit(":"), F.coalesce(F.col("turn").cast("string"), space))
+    code, role, text = F.crc32(key.cast("binary")) % 20, F.coalesce("role", space), F.coalesce("text", space)
+    rows = conversations.select(
+        "conv_id",
+        "turn",
+        F.when(code == 4, "user").otherwise(role).alias("role"),
+        F.when(code == 1, "").when(code == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
+        code.alias("code"),
+    )
+    return rows.where(F.col("code") != 0), F.when(F.col("code") == 3, 2).otherwise(1)
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    rows, copies = damaged(conversations)
+    fixed = repair.repair(rows, copies=copies)
+    out, audits = conversations.select("conv_id").distinct(), repair.digests(fixed.segments).withColumnRenamed("conv", "_conv")
+    out = out.join(fixed.conversations, out["conv_id"].eqNullSafe(fixed.conversations["conv"]), "left").drop("conv")
+    out = out.join(audits, out["conv_id"].eqNullSafe(audits["_conv"]), "left")
+    numbers = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    ids = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
+    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(bpe.joined(F.col("ids")), 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 50)
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_language_id": op2_language_id,
@@ -75,6 +111,9 @@ QUERIES = {
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_exact_top_k": op9_exact_top_k,
     "op10_chat_perspectives": op10_chat_perspectives,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_bpe": op12_bpe,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 _MIX_SQL = rf"""
@@ -143,9 +182,63 @@ k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 10
 """
 
+_REPAIR_SQL = r"""
+WITH RECURSIVE o AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k
+  FROM conversations),
+c AS (
+  SELECT *, xor(list_reduce(
+    list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(8 * length(k)), lambda i: CAST((ord(k[i // 8 + 1]) >> CAST(i % 8 AS INTEGER)) & 1 AS BIGINT))),
+    lambda c, b: xor(c >> 1, xor(c & 1, b) * 3988292384)), 4294967295) % 20 AS code
+  FROM o),
+d AS (
+  SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role,
+         CASE code WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN code = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM c WHERE code <> 0),
+m AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) > 1 AS again,
+         NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') AS cut, left(role, 1) AS r
+  FROM d),
+f AS (
+  SELECT *, blank OR again AS gone, lag(r) OVER (PARTITION BY conv_id ORDER BY i) || r AS pair FROM m),
+n AS (
+  SELECT conv_id, count(*) AS n, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps, count(*) FILTER (blank) AS blank,
+         count(*) FILTER (again AND NOT blank) AS duplicate, count(*) FILTER (cut AND NOT gone) AS truncated, count(*) FILTER (i > 1 AND pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM f GROUP BY 1),
+walk(conv_id, i, s, best) AS (
+  SELECT conv_id, CAST(0 AS BIGINT), 0, {'c': CAST(0 AS BIGINT), 'a': '', 'o': ''} FROM n
+  UNION ALL
+  SELECT conv_id, i + 1, s2, min({'c': c + c2, 'a': a || a2, 'o': o || o2}) FROM (
+    SELECT x.conv_id, x.i, x.c, x.a, x.o, unnest([
+        {'s2': x.s, 'c2': 4, 'a2': 'D', 'o2': ''},
+        {'s2': CASE WHEN gone THEN -1 WHEN r = 's' AND x.s = 0 THEN 1 WHEN r = 'u' AND x.s IN (0, 1, 3) THEN 2 WHEN r = 'a' AND x.s = 2 THEN 3 ELSE -1 END,
+         'c2': CASE WHEN cut THEN 3 ELSE 0 END, 'a2': 'K', 'o2': chr(10) || role || ':' || text},
+        {'s2': CASE WHEN gone THEN -1 WHEN x.s = 2 THEN 3 ELSE 2 END, 'c2': CASE WHEN cut THEN 6 ELSE 3 END, 'a2': 'R',
+         'o2': chr(10) || CASE WHEN x.s = 2 THEN 'assistant:' ELSE 'user:' END || text}], recursive := true)
+    FROM (
+      SELECT conv_id, i, s, best.c AS c, best.a AS a, best.o AS o FROM walk
+      UNION ALL
+      SELECT conv_id, i, CASE WHEN s = 2 THEN 3 ELSE 2 END, best.c + 3, best.a || 'I', best.o || chr(10) || CASE WHEN s = 2 THEN 'assistant:' ELSE 'user:' END FROM walk
+      UNION ALL
+      SELECT conv_id, i, 3, best.c + 6, best.a || 'II', best.o || chr(10) || 'user:' || chr(10) || 'assistant:' FROM walk WHERE s < 2) x
+    JOIN f ON f.conv_id IS NOT DISTINCT FROM x.conv_id AND f.i = x.i + 1)
+  WHERE s2 >= 0 GROUP BY 1, 2, 3),
+e AS (
+  SELECT walk.conv_id, min({'c': best.c + CASE s WHEN 1 THEN 6 WHEN 2 THEN 3 ELSE 0 END, 'a': best.a || CASE s WHEN 1 THEN 'II' WHEN 2 THEN 'I' ELSE '' END,
+    'o': best.o || CASE s WHEN 1 THEN chr(10) || 'user:' || chr(10) || 'assistant:' WHEN 2 THEN chr(10) || 'assistant:' ELSE '' END}) AS best
+  FROM walk JOIN n ON n.conv_id IS NOT DISTINCT FROM walk.conv_id AND n.n = walk.i GROUP BY 1)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(best.c, 0) AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(substr(best.o, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM a.conv_id
+"""
+
 ORACLE_SQL = {
     "op1_mix_sources": _MIX_SQL,
     "op6_url_filters": _URL_SQL,
     "op9_exact_top_k": _TOP_SQL,
     "op10_chat_perspectives": chat.ORACLE_SQL,
+    "op11_conversation_repair": _REPAIR_SQL,
+    "op13_ranked_search": lexical.oracle_sql(50),
 }

@@ -15,7 +15,7 @@ def test_same_rows(spark, name):
     import duckdb
 
     c = duckdb.connect()
-    for t in ("documents", "pages", "embeddings", "conversations"):
+    for t in ("documents", "pages", "embeddings", "conversations", "benchmark"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = queries.QUERIES[name](spark, SF)
     cur = c.execute(queries.ORACLE_SQL[name])

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import small_batches
+from .scratch import free, small_batches
 from .textgrams import char_counts, text_batches, tf_idf
 
 DIMS = 1 << 14
@@ -180,8 +180,9 @@ def detect(docs: DataFrame, model: LanguageModel | None, *, text: str = "text")
             best = p.argmax(axis=1) if len(p) else np.empty(0, int)
             yield pd.DataFrame({"lang_pred": np.array(m.languages, dtype=object)[best], "score": p[np.arange(len(p)), best]})
 
-    out = docs.withColumns({"_p": predict(F.col(text)), "_known": has_letter(F.col(text))})
-    return out.withColumns({"lang_pred": F.when(F.col("_known"), F.col("_p.lang_pred")).otherwise(UNKNOWN), "score": F.when(F.col("_known"), F.col("_p.score")).otherwise(0.0)}).drop("_p", "_known")
+    found, known = free(docs.columns, "_p", "_known")
+    out = docs.withColumns({found: predict(F.col(text)), known: has_letter(F.col(text))})
+    return out.withColumns({"lang_pred": F.when(F.col(known), F.col(found)["lang_pred"]).otherwise(UNKNOWN), "score": F.when(F.col(known), F.col(found)["score"]).otherwise(0.0)}).drop(found, known)
 
 
 def held_out(id_: Column, parts: int, part: int) -> Column:

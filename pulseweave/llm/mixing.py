@@ -28,7 +28,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, free
 
 BLOCKS = 256
 SEED = 42
@@ -143,20 +143,24 @@ def mix(
     blocks: int = BLOCKS,
     seed: int = SEED,
 ) -> DataFrame:
-    """The mixture: rows of ``docs``, once for each pass that takes their block, with mix_block, mix_epoch, mix_rank and mix_weight."""
+    """The mixture: rows of ``docs``, once for each pass that takes their block, with mix_block, mix_epoch, mix_rank and mix_weight, which take the place of columns of these names."""
     scratch = Scratch(docs.sparkSession, "mixing")
     measure = words(F.col(text)) if n_tokens is None else F.coalesce(F.col(n_tokens), F.lit(0)).cast("long")
     sized = docs.select(F.col(source).alias("source"), block_of(F.col(id_col), blocks, seed).alias("block"), measure.alias("n"))
     table = scratch.save(sized.groupBy("source", "block").agg(F.sum("n").alias("block_tokens")), "blocks")
     tokens = scratch.save(table.groupBy("source").agg(F.sum("block_tokens").alias("n")), "sources")
     weighted = weights(tokens, evenness=evenness, max_repetition=max_repetition, budget=budget)
+    if max_repetition is None and (most := weighted.agg(F.max("epochs")).first()[0] or 0) > MOST_PASSES:
+        raise ValueError(f"a source would be passed {most} times: give max_repetition")
     plan = scratch.save(schedule(table, weighted, seed), "schedule")
-    chosen = plan.select(F.struct("source", "block").alias("_at"), F.struct("epoch", "block_rank", "weight").alias("_mix"))
-    keyed = docs.withColumn("_at", F.struct(F.col(source).alias("source"), block_of(F.col(id_col), blocks, seed).alias("block")))
-    out = keyed.join(chosen, keyed["_at"].eqNullSafe(chosen["_at"])).withColumns(
-        {"mix_block": keyed["_at"]["block"], "mix_epoch": F.col("_mix.epoch"), "mix_rank": F.col("_mix.block_rank"), "mix_weight": F.col("_mix.weight")}
-    )
-    return out.select(*[c for c in docs.columns if not c.startswith("mix_") or c not in _NEW], *_NEW)
+    at, mixed = free(docs.columns, "_at", "_mix")
+    chosen = plan.select(F.struct("source", "block").alias(at), F.struct("epoch", "block_rank", "weight").alias(mixed))
+    keyed = docs.withColumn(at, F.struct(F.col(source).alias("source"), block_of(F.col(id_col), blocks, seed).alias("block")))
+    out = keyed.join(chosen, keyed[at].eqNullSafe(chosen[at]))
+    new = dict(zip(_NEW, (keyed[at]["block"], F.col(mixed)["epoch"], F.col(mixed)["block_rank"], F.col(mixed)["weight"]), strict=True))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in _NEW], *[c.alias(n) for n, c in new.items()])
 
 
+#: Without a limit on repetition no source is passed more often.
+MOST_PASSES = 4096
 _NEW = ("mix_block", "mix_epoch", "mix_rank", "mix_weight")

@@ -37,6 +37,15 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS):
     return settings(spark, {key: str(min(now, rows) if now > 0 else rows), "spark.sql.parquet.columnarReaderBatchSize": str(rows)})
 
 
+def free(columns: list[str], *names: str) -> list[str]:
+    """Names that no column has, in upper case or lower."""
+    taken = {c.lower() for c in columns}
+    tail = ""
+    while any((n + tail).lower() in taken for n in names):
+        tail += "_"
+    return [n + tail for n in names]
+
+
 class Scratch:
     """Cuts lineage by writing Parquet to the shared folder and reading it back.
 

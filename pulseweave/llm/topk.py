@@ -18,9 +18,9 @@ Vectors are scaled to integers, floor(scale * x) with x as double, so scores
 are exact.  Null vectors and vectors with null or non-finite components take
 no part; nor do those whose length differs from the query's.  A query is not
 its own candidate; rows that repeat its id are its own too.  Ties go to the
-smaller id.  Repeated candidate rows (same id and vector) count once, and so
-do repeated query ids, by their least vector.  Without queries or
-candidates the result is empty.
+smaller id.  Every candidate row counts, repeated ones too; a repeated query id
+counts once, by its least vector.  Columns besides id and vector play no part.
+Without queries or candidates the result is empty.
 """
 
 from __future__ import annotations
@@ -150,7 +150,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, *, key: str = "ve
     asked = scratch.save(rows(queries).groupBy("id").agg(F.min("v").alias("v")), "queries")
     n = asked.count()
     q = scratch.save(_blocks(asked.coalesce(1 + n // query_block), query_block, "q", scale), "query-blocks")
-    c = scratch.save(_blocks(rows(vectors).dropDuplicates(["id", "v"]), candidate_block, "c", scale), "candidate-blocks")
+    c = scratch.save(_blocks(rows(vectors), candidate_block, "c", scale), "candidate-blocks")
     size = q.agg(F.coalesce(F.sum(F.octet_length("q_m")), F.lit(0))).first()[0]
     # a stated set of queries against all rows, block by block
     if size <= BROADCAST_BYTES:
@@ -160,6 +160,6 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, *, key: str = "ve
         queries_ = q.withColumns({"_x": F.pmod(F.xxhash64("q_ids"), F.lit(across)), "_y": F.explode(F.sequence(F.lit(0), F.lit(down - 1)))})
         candidates = c.withColumns({"_y": F.pmod(F.xxhash64("c_ids"), F.lit(down)), "_x": F.explode(F.sequence(F.lit(0), F.lit(across - 1)))})
         pairs = candidates.join(queries_, ["_x", "_y"]).drop("_x", "_y")
-    best = pairs.mapInArrow(scored, "query_id long, vec_id long, score long").distinct()
+    best = pairs.mapInArrow(scored, "query_id long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

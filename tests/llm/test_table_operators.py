@@ -184,3 +184,15 @@ def test_cover_passes_the_smallest_source(spark):
     got = {r.source: r for r in mixing.weights(tokens, max_repetition=2.0, budget="cover").collect()}
     assert all(r.epochs >= 1 for r in got.values())
     assert all((r.epochs + r.rest / r.n) <= 2.000001 for r in got.values() if r.n)
+
+
+def test_mixing_with_clashing_columns_and_without_a_limit(spark):
+    from pulseweave.llm import mixing
+
+    rows = [(i, "a b c", f"s{i % 3}", i, i, i, i) for i in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, _at int, _MIX int, block int, epoch int")
+    got = mixing.mix(d, max_repetition=2.0)
+    assert all(r._at == r._MIX == r.block == r.epoch == r.doc_id for r in got.collect()) and got.columns[-4:] == list(mixing._NEW)
+    tiny = spark.createDataFrame([(0, "a", "t", ), *((i, "b " * 20000, "big") for i in range(1, 5))], "doc_id long, text string, source string")
+    with pytest.raises(ValueError, match="max_repetition"):
+        mixing.mix(tiny, evenness=1.0)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulseweave.llm import langid, mixing, ngram_join, packing, quality
-from pulseweave.llm.scratch import Scratch, table
+from pulseweave.llm.scratch import Scratch, free, table
 
 #: Rows that go to Python at a time in this application, so that batches of long texts take little memory beside the heap.
 BATCH_ROWS = 1000
@@ -50,15 +50,13 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     model = quality.train(docs, labels)
     if model is None:
         return docs
-    scored = quality.score(docs, model, out="_quality")
-    return scored.where(F.col("_quality") >= MIN_QUALITY).drop("_quality")
+    (mark,) = free(docs.columns, "_quality")
+    return quality.score(docs, model, out=mark).where(F.col(mark) >= MIN_QUALITY).drop(mark)
 
 
 def copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # ids can be null or repeated, so a row goes by a hash of all that it holds; rows repeated in full share it
-    cols, key = docs.columns, "_row"
-    while key in cols:
-        key += "_"
+    cols, (key,) = docs.columns, free(docs.columns, "_row")
     keyed = docs.withColumn(key, F.xxhash64(*cols, *[F.col(c).isNull() for c in cols]))
     groups = ngram_join.join(keyed.select(key, "text"), id_col=key).documents
     groups = groups.groupBy(F.col("doc_id").alias(key)).agg(F.min("component_id").alias("component"), F.count("*").alias("times"), F.max("n_shingles").alias("n"))
@@ -74,7 +72,9 @@ def copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs, max_repetition=MAX_REPETITION, budget="cover").select(*docs.columns)
+    # under names of their own, so that the mixture's columns do not take the place of input columns
+    mixed = mixing.mix(docs.select(*[F.col(c).alias(f"_in_{c}") for c in docs.columns]), id_col="_in_doc_id", source="_in_source", text="_in_text", max_repetition=MAX_REPETITION, budget="cover")
+    return mixed.select(*[F.col(f"_in_{c}").alias(c) for c in docs.columns])
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

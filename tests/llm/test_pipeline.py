@@ -55,3 +55,20 @@ def test_stages_without_labels_keep_clean_documents(spark, tmp_path):
     got = corpus_pipeline.language_stage(spark, docs, str(tmp_path))
     assert sorted(r.doc_id for r in got.collect()) == list(range(6)) and got.columns == docs.columns
     assert sorted(r.doc_id for r in corpus_pipeline.quality_stage(spark, got, str(tmp_path)).collect()) == list(range(6))
+
+
+def test_clashing_columns_and_empty_tables(spark, tmp_path):
+    texts = texts_of([f"{a}{b}" for a in EN for b in EN], 40, 31)
+    extra = ["_p", "_known", "_quality", "_at", "_mix", "mix_rank", "_row", "lang_pred", "score", "component_id"]
+    schema = "doc_id long, text string, lang string, source string, " + ", ".join(f"{c} string" for c in extra)
+    docs = spark.createDataFrame([(i, t, "en", f"s{i % 2}", *(f"{c}{i}" for c in extra)) for i, t in enumerate(texts)], schema)
+    spark.createDataFrame([(i, 1) for i in range(40)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns == docs.columns
+        rows = got.collect()
+        assert {r.doc_id for r in rows} == set(range(40)), name
+        assert all(r[c] == f"{c}{r.doc_id}" for r in rows for c in extra), name
+    empty = docs.where("doc_id < 0")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0

@@ -28,7 +28,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,15 +36,17 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from tokenizers import Tokenizer
 
+from .textgrams import slices
 from .token_counts import _chunks
 
 SHORT = 96
 #: Chunks, and words, that a worker remembers.
-MEMORY = 400_000
+MEMORY = 300_000
 #: Characters of text that are held as chunks at a time.
-SLICE = 2 << 20
+SLICE = 1 << 20
 _NONE = np.int32(0x7FFFFFFF)
 _END = np.int32(-1).tobytes()
 _tables: dict[str, Vocabulary] = {}
@@ -77,7 +79,7 @@ class Vocabulary:
         rest = [b for b in range(256) if b not in plain]
         sign = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
         self.byte = {c: b for b, c in sign.items()}
-        self.library = Tokenizer.from_file(path)  # its tables of characters serve where Python's are older
+        self.path = path
         end = model["end_of_word_suffix"] or ""
         self.inner = np.array([vocab[sign[b]] for b in range(256)], dtype=np.int64)
         self.last = np.array([vocab[sign[b] + end] for b in range(256)], dtype=np.int64)
@@ -91,6 +93,11 @@ class Vocabulary:
         self.chunk_ids: dict[str, bytes] = {}
         self.word_ids: dict[str, bytes] = {}
 
+    @cached_property
+    def library(self) -> Tokenizer:
+        """Its tables of characters serve where Python's are older."""
+        return Tokenizer.from_file(self.path)
+
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left << 32 | right
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
@@ -298,47 +305,59 @@ def encode_texts(v: Vocabulary, texts: list[str | None]) -> list[bytes]:
     return out
 
 
-def encoder(path: str):
-    """An Arrow column function: text to its ids, array<int>."""
+def _slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of about ``most`` bytes or elements of a column (or one row), so that little of a batch is held as objects."""
+    values = batch.column(column)
+    sizes = pc.fill_null(pc.binary_length(values) if pa.types.is_string(values.type) else pc.list_value_length(values), 0).to_numpy(zero_copy_only=False)
+    for a, b in slices(sizes.astype(np.int64), most, len(batch)):
+        yield batch.slice(a, b - a)
 
-    @F.arrow_udf("array<int>")
-    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        v = vocabulary(path)
-        for batch in batches:
-            ids = encode_texts(v, batch.to_pylist())
-            ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
-            yield pa.ListArray.from_arrays(pa.array(ends), pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(ids))]))
 
-    return encode
+def _with(df: DataFrame, out: str, kind: str) -> tuple[StructType, list[str]]:
+    kept = [f for f in df.schema.fields if f.name.lower() != out.lower()]
+    return StructType([*kept, *StructType.fromDDL(f"x {kind}").fields]), [f.name for f in kept]
 
 
-def decoder(path: str):
-    """An Arrow column function: ids to the text that the library decodes them to, special tokens included."""
+def encode(docs: DataFrame, tokenizer_path: str, *, text: str = "text", out: str = "ids") -> DataFrame:
+    """``docs`` with the ids of every whole text, array<int>."""
+    schema, kept = _with(docs, out, "array<int>")
+    schema.fields[-1].name = schema.names[-1] = out
 
-    @F.arrow_udf("string")
-    def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        v = vocabulary(path)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = vocabulary(tokenizer_path)
         for batch in batches:
-            flat, sizes = batch.flatten(), pc.fill_null(pc.list_value_length(batch), 0).to_numpy(zero_copy_only=False)
-            ids = pc.fill_null(flat, -1).to_numpy(zero_copy_only=False).astype(np.int64)
-            at = np.minimum(np.searchsorted(v.known_ids, ids), len(v.known_ids) - 1)
-            known = v.known_ids[at] == ids
-            owner = np.repeat(np.arange(len(sizes)), sizes)[known]
-            ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(sizes)))]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), v.texts.take(pa.array(at[known])))
-            yield pc.if_else(pc.is_valid(batch), pc.binary_join(lists, " "), None)
+            for some in _slices(batch, text, SLICE):
+                ids = encode_texts(v, some.column(text).to_pylist())
+                ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(ids))]))
+                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in kept), lists], [*kept, out])
 
-    return decode
+    return docs.mapInArrow(run, schema)
 
 
-def encode(docs: DataFrame, tokenizer_path: str, *, text: str = "text", out: str = "ids") -> DataFrame:
-    """``docs`` with the ids of every whole text."""
-    return docs.withColumn(out, encoder(tokenizer_path)(F.col(text)))
+def decode(rows: DataFrame, tokenizer_path: str, *, ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """``rows`` with the text that the library decodes every row's ids to, special tokens included."""
+    schema, kept = _with(rows, out, "string")
+    schema.fields[-1].name = schema.names[-1] = out
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = vocabulary(tokenizer_path)
+        for batch in batches:
+            for some in _slices(batch, ids, SLICE // 4):
+                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in kept), decode_lists(v, some.column(ids))], [*kept, out])
 
-def decode(rows: DataFrame, tokenizer_path: str, *, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """``rows`` with the text of every row's ids."""
-    return rows.withColumn(out, decoder(tokenizer_path)(F.col(ids)))
+    return rows.mapInArrow(run, schema)
+
+
+def decode_lists(v: Vocabulary, lists: pa.Array) -> pa.Array:
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    ids = pc.fill_null(lists.flatten(), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    at = np.minimum(np.searchsorted(v.known_ids, ids), len(v.known_ids) - 1)
+    known = v.known_ids[at] == ids
+    owner = np.repeat(np.arange(len(sizes)), sizes)[known]
+    ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(sizes)))]).astype(np.int32)
+    texts = pa.ListArray.from_arrays(pa.array(ends), v.texts.take(pa.array(at[known])))
+    return pc.if_else(pc.is_valid(lists), pc.binary_join(texts, " "), None)
 
 
 def joined(ids: Column) -> Column:

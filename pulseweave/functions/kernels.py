@@ -142,16 +142,27 @@ def band(f: np.ndarray, p: np.ndarray, low: float, high: float) -> float:
     return float(np.trapezoid(p[k], f[k])) if k.sum() > 1 else 0.0
 
 
-def sample_entropy(x: np.ndarray, m: int = 2, r: float = 0.2) -> float | None:
-    """-ln(A / B) with Chebyshev distance under r sd; null without matches."""
+def sample_entropy(x: np.ndarray, m: int = 2, r: float = 0.2, block: int = 256) -> float | None:
+    """-ln(A / B) with Chebyshev distance under r sd; null without matches.
+
+    Templates are sorted by their first value, so those near a block of them are one range.
+    """
     tol, n = r * x.std(ddof=1), len(x)
     if n < m + 2 or tol <= 0:
         return None
-    count = []
-    for length in (m, m + 1):
-        t = np.lib.stride_tricks.sliding_window_view(x, length)[: n - m]
-        count.append(sum(int((np.abs(t[i + 1 :] - t[i]).max(axis=1) <= tol).sum()) for i in range(len(t) - 1)))
-    return float(-np.log(count[1] / count[0])) if count[0] and count[1] else None
+    t = np.lib.stride_tricks.sliding_window_view(x, m + 1)[: n - m]
+    t = t[np.argsort(t[:, 0], kind="stable")]
+    short = long = 0
+    for a in range(0, len(t), block):
+        here = t[a : a + block]
+        near = t[a : np.searchsorted(t[:, 0], here[-1, 0] + tol, side="right")]
+        hit = np.abs(here[:, None, 0] - near[None, :, 0]) <= tol
+        for k in range(1, m):
+            hit &= np.abs(here[:, None, k] - near[None, :, k]) <= tol
+        hit = np.triu(hit, 1)  # each pair once
+        short += int(hit.sum())
+        long += int((hit & (np.abs(here[:, None, m] - near[None, :, m]) <= tol)).sum())
+    return float(-np.log(long / short)) if short and long else None
 
 
 def dfa(x: np.ndarray, scales=range(4, 17)) -> float | None:
@@ -204,6 +215,78 @@ def r_peaks(clean: np.ndarray, rate: float) -> np.ndarray:
     return np.array(out)
 
 
+# Fixed values of the published method: band in Hz, averaging and refractory time in s, share of a new level, search-back
+# beyond so many mean intervals.
+QRS_HZ, AVERAGE_S, REFRACTORY_S, LEVEL, SEARCH_BACK = (5.0, 15.0), 0.15, 0.2, 0.125, 1.66
+
+
+def adaptive_r_peaks(ecg: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
+    """The band-passed signal and its R peaks, after Pan and Tompkins (1985).
+
+    The energy of the slope is averaged; its maxima are beats or noise by a
+    threshold between two running levels.  Where no beat comes for long, the
+    greatest maximum over half the threshold is one.
+    """
+    if len(ecg) < 2 * rate:
+        return ecg, np.empty(0, int)
+    band = zero_phase(butterworth(2, (QRS_HZ[0], min(QRS_HZ[1], 0.45 * rate)), rate, "band"), ecg)
+    ones = np.ones(max(1, int(round(AVERAGE_S * rate))))
+    energy = np.convolve(np.gradient(band) ** 2, ones / len(ones), mode="same")
+    top = np.flatnonzero((energy[1:-1] > energy[:-2]) & (energy[1:-1] >= energy[2:])) + 1
+    maxima: list[int] = []
+    for k in top.tolist():
+        if maxima and k - maxima[-1] < REFRACTORY_S * rate:
+            if energy[k] > energy[maxima[-1]]:
+                maxima[-1] = k
+        else:
+            maxima.append(k)
+    signal, noise = 0.5 * energy[: int(2 * rate)].max(), 0.5 * energy[: int(2 * rate)].mean()
+    beats: list[int] = []
+    passed: list[int] = []  # maxima since the last beat that were taken for noise
+    for k in maxima:
+        level, recent = noise + 0.25 * (signal - noise), np.diff(beats[-9:])
+        if len(recent) and passed and k - beats[-1] > SEARCH_BACK * recent.mean():
+            best = max(passed, key=energy.__getitem__)
+            if energy[best] > 0.5 * level:
+                beats.append(best)
+                signal = 2 * LEVEL * energy[best] + (1 - 2 * LEVEL) * signal
+                passed = [p for p in passed if p > best]
+        if energy[k] > level:
+            beats.append(k)
+            signal = LEVEL * energy[k] + (1 - LEVEL) * signal
+            passed = []
+        else:
+            passed.append(k)
+            noise = LEVEL * energy[k] + (1 - LEVEL) * noise
+    half = max(1, int(0.1 * rate))
+    return band, np.unique([max(0, k - half) + int(np.argmax(band[max(0, k - half) : k + half + 1])) for k in beats]).astype(int)
+
+
+def _slope_detector(ecg: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
+    clean = clean_ecg(ecg, rate)
+    return clean, r_peaks(clean, rate)
+
+
+#: Detectors in the order in which they are tried.
+DETECTORS = {"slope": _slope_detector, "adaptive": adaptive_r_peaks}
+LEAST_PEAKS = 10
+
+
+def detect(ecg: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray, str | None, str | None]:
+    """Cleaned signal, R peaks, the detector that found them (None: none did) and why those before it did not."""
+    failed = []
+    for name, run in DETECTORS.items():
+        try:
+            clean, peaks = run(ecg, rate)
+        except (ValueError, ArithmeticError, IndexError, np.linalg.LinAlgError) as e:
+            failed.append(f"{name}: {e}"[:200])
+            continue
+        if len(peaks) >= LEAST_PEAKS:
+            return clean, peaks, name, "; ".join(failed) or None
+        failed.append(f"{name}: only {len(peaks)} peaks")
+    return ecg, np.empty(0, int), None, "; ".join(failed)
+
+
 def beat_likeness(clean: np.ndarray, peaks: np.ndarray, rate: float) -> np.ndarray:
     """An index from 0 to 1 for every sample: how near the beats around it are to the mean beat.
 

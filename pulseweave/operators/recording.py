@@ -23,20 +23,23 @@ WANDER_HZ, GRAVITY_HZ, MOVEMENT_HZ, REDUCED_PCT = 0.7, 0.25, (0.25, 3.0), 5.0
 
 
 def conditioned(samples: DataFrame, rate: float) -> DataFrame:
-    """Samples (session_id, i, t_s, x in mV) with wander (low-passed), sqi (likeness to the mean beat, null where there is none) and peak (an R peak)."""
+    """Samples (session_id, i, t_s, x in mV) with the cleaned signal, wander (low-passed), sqi (likeness to the mean beat, null where there is none), peak (an R peak), and the recording's detector and why others failed.
+
+    The first detector that finds ten peaks is taken; ``engine`` is null where none does.
+    """
 
     def run(d: pd.DataFrame) -> pd.DataFrame:
         d = d.sort_values("i")
         x = d["x"].to_numpy(float)
-        clean = K.clean_ecg(x, rate) if len(x) > 1 else x
-        peaks = K.r_peaks(clean, rate)
+        clean, peaks, engine, reason = K.detect(x, rate)
         sqi = K.signal_index(clean, peaks, rate)
         at = np.zeros(len(x), dtype=bool)
         at[peaks] = True
         wander = K.zero_phase(K.butterworth(2, WANDER_HZ, rate, "low"), x) if len(x) > 1 else np.zeros(len(x))
-        return d.assign(wander=wander, sqi=pd.Series(sqi, index=d.index).where(~np.isnan(sqi), None), peak=at)
+        return d.assign(clean=clean, wander=wander, sqi=pd.Series(sqi, index=d.index).where(~np.isnan(sqi), None), peak=at, engine=engine, reason=reason)
 
-    return samples.select("session_id", "i", "t_s", "x").groupBy("session_id").applyInPandas(run, "session_id long, i long, t_s double, x double, wander double, sqi double, peak boolean")
+    cols = "session_id long, i long, t_s double, x double"
+    return samples.select("session_id", "i", "t_s", "x").groupBy("session_id").applyInPandas(run, f"{cols}, clean double, wander double, sqi double, peak boolean, engine string, reason string")
 
 
 def gravity(axes: DataFrame, rate: float) -> DataFrame:
@@ -63,7 +66,7 @@ def movement_epochs(axes: DataFrame, rate: float, epoch_s: float = 30.0, offset_
 
 @dataclass
 class Recording:
-    """windows and segments of quality, raw beats, corrected beats, intervals (rr), and a row for each session: correction."""
+    """windows and segments of quality, raw beats (with amplitude), corrected beats, intervals (rr), and a row for each session: correction, detection."""
 
     windows: DataFrame
     segments: DataFrame
@@ -71,6 +74,7 @@ class Recording:
     corrected: DataFrame
     rr: DataFrame
     correction: DataFrame
+    detection: DataFrame
 
 
 def correction(beats: DataFrame) -> DataFrame:
@@ -105,35 +109,20 @@ def process(samples: DataFrame, rate: float) -> Recording:
     windows = quality.windows(d)
     segments = quality.merge_excluded(windows)
     order = series.by_session("i")
-    beats = d.where("peak").select("session_id", (F.row_number().over(order) - 1).cast("long").alias("beat"), "t_s")
+    beats = d.where("peak").select("session_id", (F.row_number().over(order) - 1).cast("long").alias("beat"), "t_s", F.col("clean").alias("amplitude"))
     both = written(correction(beats), "beats")
     corrected = both.where("kind = 'corrected'").select("session_id", "beat", "t_s")
-    return Recording(windows, segments, beats, corrected, series.build_rr(corrected, segments), correction_summary(both.where("kind = 'raw'")))
+    return Recording(windows, segments, beats, corrected, series.build_rr(corrected, segments), correction_summary(both.where("kind = 'raw'")), detection(d))
+
+
+def detection(conditioned_: DataFrame) -> DataFrame:
+    """session_id, status (ok, fallback or failed), engine, reason, n_peaks: which detector served a recording, and why not an earlier one."""
+    status = F.when(F.col("engine").isNull(), "failed").when(F.col("reason").isNotNull(), "fallback").otherwise("ok")
+    found = conditioned_.groupBy("session_id").agg(F.max("engine").alias("engine"), F.max("reason").alias("reason"), F.count_if("peak").alias("n_peaks"))
+    return found.select("session_id", status.alias("status"), "engine", "reason", "n_peaks")
 
 
 def variability(r: Recording) -> DataFrame:
     """A row for each session with intervals: time, frequency and nonlinear metrics, correction and reduced confidence."""
     out = hrv.time_domain(r.rr).join(spectral.frequency_domain(r.rr), "session_id", "left").join(spectral.nonlinear(r.rr), "session_id", "left")
     return out.join(r.correction.select("session_id", "pct_corrected", "reduced_confidence"), "session_id", "left")
-
-
-def synthetic(sessions: DataFrame, rate: float, seconds: float) -> DataFrame:
-    """Samples (session_id, i, t_s, x) of made-up recordings, one for each row of ``sessions`` (session_id, rr_ms, swing_ms, swing_hz).
-
-    Intervals swing around their mean; a beat is a sum of five bell curves.  No
-    randomness, so a recording is the same wherever it is computed.
-    """
-    n = F.sequence(F.lit(0), F.ceil(F.lit(seconds) * 1000 / (F.col("rr_ms") - F.col("swing_ms"))).cast("int"))
-    swing = F.col("swing_ms") * F.sin(2 * np.pi * F.col("swing_hz") * F.col("k") * F.col("rr_ms") / 1000)
-    w = series.by_session("k").rowsBetween(Window.unboundedPreceding, 0)
-    beats = sessions.withColumn("k", F.explode(n)).select("session_id", "k", (F.lit(0.5) + F.sum((F.col("rr_ms") + swing) / 1000).over(w)).alias("at")).where(F.col("at") < seconds)
-    grid = sessions.select("session_id", F.explode(F.sequence(F.lit(0), F.lit(int(seconds * rate) - 1))).alias("i")).withColumn("t_s", F.col("i") / rate)
-    near = beats.withColumn("i", F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col("at") - 0.4) * rate).cast("int")), F.floor((F.col("at") + 0.5) * rate).cast("int"))))
-    u = F.col("i") / rate - F.col("at")
-    wave = sum(a * F.exp(-0.5 * ((u - c) / s) * ((u - c) / s)) for c, a, s in WAVES)
-    x = near.groupBy("session_id", "i").agg(F.sum(wave).alias("x"))
-    return grid.join(x, ["session_id", "i"], "left").select("session_id", F.col("i").cast("long").alias("i"), "t_s", F.coalesce("x", F.lit(0.0)).alias("x"))
-
-
-# Place in s, height in mV and width in s of the waves P, Q, R, S, T.
-WAVES = ((-0.170, 0.08, 0.030), (-0.030, -0.08, 0.012), (0.000, 0.60, 0.012), (0.035, -0.15, 0.012), (0.250, 0.22, 0.060))

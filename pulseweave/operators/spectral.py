@@ -1,4 +1,4 @@
-"""Spectra, entropy, scaling, respiration, peaks and artifact classes: one session (bounded to a recording) in one grouped function.
+"""Spectra, entropy, scaling, peaks and artifact classes: one session (bounded to a recording) in one grouped function.
 
 A session that cannot be computed gives a row with a status, not an exception.
 """
@@ -80,48 +80,17 @@ def band_power_epochs(rr: DataFrame, low: float, high: float, epoch_s: float = 3
     return rr.groupBy("session_id").applyInPandas(run, "session_id long, epoch long, power double")
 
 
-def respiration(rr: DataFrame, window: float = 60.0, step: float = 30.0) -> DataFrame:
-    """Breaths a minute from the interval series: the dominant frequency (0.06 to 0.9 Hz) of 60 s windows with a mean rate of up to 110 bpm; median and 5th/95th percentile of five windows or more; paced if three neighbours lie in 4.5 to 7.5."""
-
-    def run(d: pd.DataFrame) -> pd.DataFrame:
-        d = d.sort_values("n")
-        t, hr = d["t_s"].to_numpy(), 60000.0 / d["rr_ms"].to_numpy()
-        found = []
-        if len(t) >= 4 and t[-1] - t[0] >= window:
-            grid = np.arange(t[0], t[-1], 1 / RATE)
-            x = K.zero_phase(K.butterworth(2, (0.066, 1.0), RATE, "band"), np.interp(grid, t, hr))
-            for a in np.arange(t[0], t[-1] - window + 1e-9, step):
-                k, inside = (grid >= a) & (grid < a + window), (t >= a) & (t < a + window)
-                if inside.sum() >= 10 and hr[inside].mean() <= 110 and k.sum() >= 120:
-                    f, p = K.welch(x[k], RATE, int(k.sum()))
-                    ok = (f >= 0.06) & (f <= 0.9)
-                    found.append((a, 60.0 * float(f[ok][p[ok].argmax()])))
-        v = np.array([b for _, b in found])
-        slow, longest, here = (v >= 4.5) & (v <= 7.5), 0, 0
-        for s in slow:
-            here = here + 1 if s else 0
-            longest = max(longest, here)
-        ok = len(v) >= 5
-        return pd.DataFrame([{"session_id": d["session_id"].iloc[0], "n_windows": len(v), "median_brpm": float(np.median(v)) if ok else None, "p5_brpm": float(np.percentile(v, 5)) if ok else None, "p95_brpm": float(np.percentile(v, 95)) if ok else None, "paced": bool(ok and longest >= 3)}])
-
-    return rr.groupBy("session_id").applyInPandas(run, "session_id long, n_windows long, median_brpm double, p5_brpm double, p95_brpm double, paced boolean")
-
-
 def detect_peaks(samples: DataFrame, rate: float) -> DataFrame:
-    """session_id, beat, sample, t_s, status: R peaks of samples (session_id, i, t_s, x); fewer than ten are an outcome of their own."""
+    """session_id, beat, sample, t_s, engine, status, reason: R peaks of samples (session_id, i, t_s, x) by the first detector that finds ten; where none does, one row tells why."""
 
     def run(d: pd.DataFrame) -> pd.DataFrame:
         d = d.sort_values("i")
-        try:
-            p = K.r_peaks(K.clean_ecg(d["x"].to_numpy(float), rate), rate)
-            status = "ok" if len(p) >= 10 else "too few peaks"
-        except (ValueError, ArithmeticError) as e:
-            p, status = np.empty(0, int), f"failed: {e}"[:200]
-        if status != "ok":
-            return pd.DataFrame([{"session_id": d["session_id"].iloc[0], "beat": None, "sample": None, "t_s": None, "status": status}])
-        return pd.DataFrame({"session_id": d["session_id"].iloc[0], "beat": np.arange(len(p)), "sample": p, "t_s": d["t_s"].to_numpy()[p], "status": status})
-
-    return samples.groupBy("session_id").applyInPandas(run, "session_id long, beat long, sample long, t_s double, status string")
+        _, p, engine, reason = K.detect(d["x"].to_numpy(float), rate)
+        if engine is None:
+            return pd.DataFrame([{"session_id": d["session_id"].iloc[0], "beat": None, "sample": None, "t_s": None, "engine": None, "status": "too few peaks", "reason": reason}])
+        return pd.DataFrame({"session_id": d["session_id"].iloc[0], "beat": np.arange(len(p)), "sample": p, "t_s": d["t_s"].to_numpy()[p], "engine": engine, "status": "ok" if reason is None else "fallback", "reason": reason})
+
+    return samples.groupBy("session_id").applyInPandas(run, "session_id long, beat long, sample long, t_s double, engine string, status string, reason string")
 
 
 def artifact_classes(rr_all: DataFrame) -> DataFrame:

@@ -46,6 +46,20 @@ def raw_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals(beats(spark, sf_dir)).select("session_id", "n", F.col("end_s").alias("t_s"), "rr_ms")
 
 
+#: Samples a second of a stand-in trace.
+TRACE_HZ = 40.0
+
+
+def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples (session_id, i, t_s, x) of the beats: each is a triangle of 120 ms, the higher the greater its event's value."""
+    b = beats(spark, sf_dir).select("session_id", "t_s", (0.6 + F.coalesce("value", F.lit(0.0)) / 1000.0).alias("a"))
+    first, last = F.ceil((F.col("t_s") - 0.06) * TRACE_HZ), F.floor((F.col("t_s") + 0.06) * TRACE_HZ)
+    near = b.withColumn("i", F.explode(F.sequence(F.greatest(F.lit(0).cast("long"), first), last)))
+    x = near.groupBy("session_id", "i").agg(F.max(F.col("a") * (1 - F.abs(F.col("i") / TRACE_HZ - F.col("t_s")) / 0.06)).alias("x"))
+    grid = b.groupBy("session_id").agg(F.ceil((F.max("t_s") + 0.5) * TRACE_HZ).alias("n")).select("session_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n"))).alias("i"))
+    return grid.join(x, ["session_id", "i"], "left").select("session_id", "i", (F.col("i") / TRACE_HZ).alias("t_s"), F.coalesce("x", F.lit(0.0)).alias("x"))
+
+
 BEATS_SQL = """
 WITH ev AS (
   SELECT CAST(floor(user_id / 10) AS BIGINT) AS session_id, ts, event_id, event_type, value,

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import hrv, recording, series, spectral
+from ..operators import hrv, recording, respiration as breathing, series, spectral
 from ..session import new_folder, table
 from ..streaming import streams
-from .adapter import BEATS_SQL, beats, excluded, raw_intervals, rr_series
+from .adapter import BEATS_SQL, RR_SQL, TRACE_HZ, beats, excluded, raw_intervals, rr_series, traces
 from .registry import Registry, tidy
 
 R = Registry()
@@ -15,7 +15,7 @@ R = Registry()
 
 @R.add()
 def welch_psd(spark, sf_dir):
-    return spectral.frequency_domain(recording.process(_recordings(spark, sf_dir), 130.0).rr)
+    return spectral.frequency_domain(rr_series(spark, sf_dir))
 
 
 @R.add()
@@ -25,12 +25,60 @@ def sampen_dfa(spark, sf_dir):
 
 @R.add()
 def band_power_epochs(spark, sf_dir):
-    return spectral.band_power_epochs(recording.process(_recordings(spark, sf_dir), 130.0).rr, 0.04, 0.15)
+    return spectral.band_power_epochs(rr_series(spark, sf_dir), 0.04, 0.15)
+
+
+def _amplitudes(spark, sf_dir):
+    return beats(spark, sf_dir).select("session_id", "t_s", (F.col("value") / 400.0).alias("amplitude")).where("amplitude IS NOT NULL")
 
 
 @R.add()
 def respiration(spark, sf_dir):
-    return spectral.respiration(rr_series(spark, sf_dir))
+    return breathing.respiration(rr_series(spark, sf_dir), _amplitudes(spark, sf_dir), excluded(beats(spark, sf_dir)))
+
+
+#: Windows of a minute each half minute, with made estimates of both channels from counts and numbers of their intervals.
+_BREATHS = RR_SQL + """,
+bw AS (SELECT *, min(t_s) OVER (PARTITION BY session_id) AS t0, max(t_s) OVER (PARTITION BY session_id) AS t1 FROM rr),
+bk AS (SELECT *, unnest(generate_series(greatest(0, CAST(floor((t_s - t0 - 60.0) / 30.0) AS BIGINT) + 1), CAST(floor((t_s - t0) / 30.0) AS BIGINT))) AS k FROM bw),
+bi AS (
+  SELECT session_id, k, t0 + k * 30.0::DOUBLE AS start_s, t0 + k * 30.0::DOUBLE + 60.0::DOUBLE AS end_s, avg(60000.0::DOUBLE / rr_ms) AS hr_bpm,
+         CASE WHEN count(*) % 13 > 0 THEN 5 + (count(*) % 9) * 0.5::DOUBLE END AS rate_brpm, 5 + (count(*) % 9) * 0.5::DOUBLE + (max(n) % 11 - 5) AS amplitude_brpm
+  FROM bk WHERE t0 + k * 30.0::DOUBLE <= t1 - 30.0 GROUP BY session_id, k, t0),
+bo AS (SELECT bi.session_id, k, sum(greatest(0.0, least(bi.end_s, seg.end_s) - greatest(bi.start_s, seg.start_s))) AS o FROM bi JOIN seg ON seg.session_id = bi.session_id AND seg.start_s < bi.end_s AND seg.end_s > bi.start_s GROUP BY 1, 2),
+bg AS (
+  SELECT bi.*, coalesce(o, 0.0) / 60.0 AS excluded_fraction, CASE WHEN coalesce(o, 0.0) / 60.0 > 0.25 THEN 'excluded signal' WHEN hr_bpm > 110 THEN 'heart rate' WHEN rate_brpm IS NULL THEN 'no frequency'
+         WHEN abs(rate_brpm - amplitude_brpm) > 4 THEN 'channels differ' END AS gate
+  FROM bi LEFT JOIN bo ON bo.session_id = bi.session_id AND bo.k = bi.k),
+bx AS (SELECT *, CASE WHEN gate IS NULL THEN (rate_brpm + amplitude_brpm) / 2 END AS brpm FROM bg)"""
+
+
+def _breaths(spark, sf_dir):
+    n = F.count("*") % 9 * 0.5 + 5
+    w = series.sliding(rr_series(spark, sf_dir), 60.0, 30.0).groupBy("session_id", F.col("window").alias("k"), F.col("window_start_s").alias("start_s"))
+    w = w.agg(F.avg(60000.0 / F.col("rr_ms")).alias("hr_bpm"), F.when(F.count("*") % 13 > 0, n).alias("rate_brpm"), (n + F.max("n") % 11 - 5).alias("amplitude_brpm"))
+    return breathing.gated(w.withColumn("end_s", F.col("start_s") + 60.0), excluded(beats(spark, sf_dir)))
+
+
+@R.add(_BREATHS + " SELECT session_id, k, round(excluded_fraction, 6) AS excluded_fraction, gate, round(brpm, 6) AS brpm FROM bx")
+def respiration_gates(spark, sf_dir):
+    return tidy(_breaths(spark, sf_dir).select("session_id", "k", "excluded_fraction", "gate", "brpm"))
+
+
+@R.add(
+    _BREATHS
+    + """,
+bu AS (SELECT *, brpm BETWEEN 4.5 AND 7.5 AS slow, row_number() OVER (PARTITION BY session_id ORDER BY start_s) AS r FROM bx WHERE gate IS NULL),
+br AS (SELECT session_id, r - row_number() OVER (PARTITION BY session_id ORDER BY r) AS run, r, brpm FROM bu WHERE slow),
+bl AS (SELECT session_id, run, count(*) AS c, min(r) AS f, quantile_cont(brpm, 0.5) AS rate FROM br GROUP BY 1, 2 HAVING count(*) >= 3),
+bp AS (SELECT session_id, rate FROM bl QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY c DESC, f) = 1),
+bs AS (SELECT session_id, count(*) AS n_windows, count(*) FILTER (gate IS NULL) AS n_used, quantile_cont(brpm, 0.5) AS m, quantile_cont(brpm, 0.05) AS lo, quantile_cont(brpm, 0.95) AS hi FROM bx GROUP BY 1)
+SELECT bs.session_id, n_windows, n_used, CASE WHEN n_used >= 5 THEN round(m, 6) END AS median_brpm, CASE WHEN n_used >= 5 THEN round(lo, 6) END AS p5_brpm, CASE WHEN n_used >= 5 THEN round(hi, 6) END AS p95_brpm,
+       n_used >= 5 AND rate IS NOT NULL AS paced, CASE WHEN n_used >= 5 THEN round(rate, 6) END AS paced_brpm
+FROM bs LEFT JOIN bp ON bp.session_id = bs.session_id"""
+)
+def respiration_fusion(spark, sf_dir):
+    return tidy(breathing.summary(_breaths(spark, sf_dir)))
 
 
 @R.add()
@@ -130,21 +178,19 @@ def excluded_recovered(spark, sf_dir):
     return tidy(series.overlap_join(series.intervals(b), excluded(b), "left_semi").select("session_id", "n", "rr_ms"))
 
 
-def _recordings(spark, sf_dir):
-    """A made-up recording of 150 s for each nation, of its own rate and swing."""
-    k = F.col("n_nationkey")
-    n = table(spark, sf_dir, "nation").select(k.cast("long").alias("session_id"), (700.0 + 12 * k).alias("rr_ms"), (15.0 + k % 7).alias("swing_ms"), (F.lit(0.08) + 0.01 * (k % 5)).alias("swing_hz"))
-    return recording.synthetic(n.repartition(n.sparkSession.sparkContext.defaultParallelism, "session_id"), 130.0, 150.0)
-
-
 @R.add()
 def recording_variability(spark, sf_dir):
-    return recording.variability(recording.process(_recordings(spark, sf_dir), 130.0))
+    return recording.variability(recording.process(traces(spark, sf_dir), TRACE_HZ))
 
 
 @R.add()
 def recording_quality(spark, sf_dir):
-    return recording.process(_recordings(spark, sf_dir), 130.0).windows
+    return recording.process(traces(spark, sf_dir), TRACE_HZ).windows
+
+
+@R.add()
+def detector_chain(spark, sf_dir):
+    return recording.detection(recording.conditioned(traces(spark, sf_dir), TRACE_HZ))
 
 
 @R.add()

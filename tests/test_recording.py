@@ -10,6 +10,8 @@ from pulseweave.functions import kernels as K
 from pulseweave.operators import quality, recording, series, spectral
 
 RATE = 130.03
+# Fixed values of the fixture: place in s, height in mV and width in s of the waves P, Q, R, S, T.
+WAVES = ((-0.170, 0.08, 0.030), (-0.030, -0.08, 0.012), (0.000, 0.60, 0.012), (0.035, -0.15, 0.012), (0.250, 0.22, 0.060))
 
 
 @pytest.fixture(scope="module")
@@ -24,7 +26,7 @@ def known():
     t, x = np.arange(n) / RATE, np.random.default_rng(43).normal(0, 0.01, n)
     for b in at:
         a, e = max(0, int((b - 0.4) * RATE)), min(n, int((b + 0.5) * RATE))
-        x[a:e] += sum(h * np.exp(-0.5 * ((t[a:e] - b - c) / w) ** 2) for c, h, w in recording.WAVES)
+        x[a:e] += sum(h * np.exp(-0.5 * ((t[a:e] - b - c) / w) ** 2) for c, h, w in WAVES)
     return t, np.round(x, 4), at
 
 
@@ -112,3 +114,43 @@ def test_correction_of_known_artifacts():
     missed = np.delete(t, 140)
     assert len(K.artifacts(missed)["missed"]) == 1 and len(K.corrected_peaks(missed)) == 200
     assert not sum(map(len, K.artifacts(t[:3]).values()))
+
+
+def test_the_second_detector_serves_where_the_first_finds_too_few(spark, known):
+    t, x, at = known
+    t, x = t[: int(120 * RATE)], x[: int(120 * RATE)]
+    at = at[(at > 1) & (at < 119)]
+    hum = x + 1.2 * np.sin(2 * np.pi * 29.0 * t)  # as steep as the beats all the time
+    assert len(K.r_peaks(K.clean_ecg(hum, RATE), RATE)) < 10
+    _, peaks, engine, reason = K.detect(hum, RATE)
+    assert engine == "adaptive" and reason.startswith("slope: only")
+    found = peaks / RATE
+    assert all(np.abs(found - b).min() < 0.03 for b in at) and abs(len(found) - len(at)) <= 4
+    # both agree on a clean recording; a long pause is searched again
+    _, clean, engine, reason = K.detect(x, RATE)
+    assert engine == "slope" and reason is None
+    band, second = K.adaptive_r_peaks(x, RATE)
+    assert all(np.abs(second / RATE - b).min() < 0.03 for b in at) and len(band) == len(x)
+    low = x.copy()
+    k = int(at[60] * RATE)
+    low[k - 20 : k + 20] *= 0.62
+    assert np.abs(K.adaptive_r_peaks(low, RATE)[1] / RATE - at[60]).min() < 0.03
+    df = frame(spark, t, hum).union(frame(spark, t, x, 2)).union(frame(spark, t[:400], x[:400], 3)).union(frame(spark, t, 0 * x, 4))
+    got = {r.session_id: r for r in recording.detection(recording.conditioned(df, RATE)).collect()}
+    assert [got[k].status for k in (1, 2, 3, 4)] == ["fallback", "ok", "failed", "failed"]
+    assert [got[k].engine for k in (1, 2, 3, 4)] == ["adaptive", "slope", None, None] and "adaptive: only" in got[3].reason and got[4].n_peaks == 0
+    r = recording.process(df, RATE)
+    assert {b.session_id for b in r.beats.select("session_id").distinct().collect()} == {1, 2}
+
+
+def test_sample_entropy_by_blocks():
+    g = np.random.default_rng(6)
+    for n in (300, 700):
+        x = np.round(g.standard_normal(n), 1)
+        tol, pairs = 0.2 * x.std(ddof=1), [0, 0]
+        for i in range(n - 2):
+            for j in range(i):
+                d = np.abs(x[i : i + 3] - x[j : j + 3])
+                pairs[0] += d[:2].max() <= tol
+                pairs[1] += d.max() <= tol
+        assert abs(K.sample_entropy(x, block=64) + math.log(pairs[1] / pairs[0])) < 1e-12

@@ -122,27 +122,13 @@ def outside_ranges(df: DataFrame, ranges: Sequence[tuple[str, float, float]], or
     return df.withColumn("violations", F.array_compact(F.array(*found)))
 
 
-#: The tags in use are repeated for every session, so there must be few.
-MOST_TAGS = 10_000
-
-
-def vocabulary(tags: DataFrame) -> DataFrame:
-    """The tags in use, to be broadcast; more than MOST_TAGS are an error."""
-    used = tags.select("tag").distinct()
-    if used.limit(MOST_TAGS + 1).count() > MOST_TAGS:
-        raise ValueError(f"more than {MOST_TAGS} tags are in use")
-    return F.broadcast(used)
-
-
 def rates_by_tag(rates: DataFrame, tags: DataFrame) -> DataFrame:
-    """tag, tagged, untagged: the rates (session_id, rate) of sessions with and without each tag in use (session_id, tag), sorted.
+    """tag, session_id, rate: the rates (session_id, rate) of the sessions with each tag in use (session_id, tag), and of all sessions once, with tag null.
 
-    The vocabulary of tags is small; sessions are repeated for its tags.
+    Sessions without a tag are all sessions less those with it, so they are not repeated for every tag.
     """
-    marked = tags.distinct().withColumn("_has", F.lit(True))
-    every = rates.crossJoin(vocabulary(tags)).join(marked, ["session_id", "tag"], "left")
-    pick = lambda has: F.array_sort(F.collect_list(F.when(F.col("_has").isNotNull() == has, F.col("rate"))))
-    return every.groupBy("tag").agg(pick(True).alias("tagged"), pick(False).alias("untagged"))
+    tagged = tags.select("session_id", "tag").where("tag IS NOT NULL").distinct().join(rates, "session_id").select("tag", "session_id", "rate")
+    return tagged.union(rates.select(F.lit(None).cast(tagged.schema["tag"].dataType).alias("tag"), "session_id", "rate"))
 
 
 def close(a: Column, b: Column, relative: float = 1e-9, absolute: float = 0.0) -> Column:

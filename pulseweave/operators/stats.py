@@ -7,10 +7,10 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .context import vocabulary
+from ..functions.tails import t_tail
 
 # Least exposure of a session (s), sessions an arm, events, sessions for an association, sessions a level.
 MIN_ANALYSED_S, MIN_ARM, MIN_EVENTS, MIN_ENV, MIN_LEVEL = 600.0, 5, 10, 12, 3
@@ -19,6 +19,8 @@ TAGS = (
     "caffeine", "alcohol", "poor-sleep", "stress", "large-meal", "dehydration", "lying-down", "illness", "exercise-earlier",
     "nicotine", "sauna", "cold-exposure", "breathwork", "late-meal", "travel-jetlag", "noisy-sleep-env", "menstruation", "vaccination",
 )
+#: Sessions without an activity are a level of their own.
+UNSPECIFIED = "unspecified"
 #: Supported outcomes and what their effect is.
 OUTCOMES = {"ectopy": "rate_ratio", "ln_rmssd": "pct_change", "resting_hr": "delta", "flow_rmssd": "pct_change"}
 
@@ -29,63 +31,143 @@ def judged(sessions: DataFrame) -> DataFrame:
     return sessions.withColumn("reason", why)
 
 
-def arms(observations: DataFrame, tags: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Every observation for every tag used, with exposed.  ``tags`` has session_id, tag; observations keep their columns.
+def arms(observations: DataFrame, tags: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Every observation of a person for every tag that person uses, with exposed, for models that need the rows; ``tags`` has keys, session_id, tag.
 
-    The tags used are a small dimension (at most those of the vocabulary and a person's own), which is checked.
+    A join on ``keys``: a person's sessions meet that person's tags only.
     """
-    pairs = observations.join(tags.select(*keys, "tag").distinct(), list(keys)) if keys else observations.crossJoin(vocabulary(tags))
+    pairs = observations.join(tags.select(*keys, "tag").distinct(), list(keys))
     return pairs.join(tags.select("session_id", "tag", F.lit(True).alias("_t")).distinct(), ["session_id", "tag"], "left").withColumn("exposed", F.coalesce("_t", F.lit(False))).drop("_t")
 
 
-def rate_ratio(a: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Poisson rate ratio of exposed to unexposed sessions (ectopy_count, hours), with robust standard error and guards.
+def arm_sums(observations: DataFrame, tags: DataFrame, sums: dict[str, Column], keys: Sequence[str] = ()) -> DataFrame:
+    """keys, tag, and for each sum its value over exposed (name_1) and unexposed (name_0) observations.
 
-    Intercept and exposure alone have a closed form: the ratio of rates, and
-    for its logarithm the sandwich variance summed over the arms.
+    Only the pairs of a session and a tag it has are joined; what is not
+    exposed is the total less what is.  Tags no observation has are there with
+    nothing exposed.
     """
-    e, u = F.col("exposed"), ~F.col("exposed")
+    added = lambda df, by, tail: df.groupBy(*by).agg(*[F.sum(c).alias(n + tail) for n, c in sums.items()])
+    total = added(observations, keys, "_t")
+    pairs = observations.join(tags.select("session_id", "tag").distinct(), "session_id")
+    exposed = added(pairs, [*keys, "tag"], "_1")
+    used = with_totals(tags.select(*keys, "tag").distinct(), total, keys).join(exposed, [*keys, "tag"], "left")
+    zero = lambda n: F.coalesce(n + "_1", F.lit(0))
+    return used.select(*keys, "tag", *[zero(n).alias(n + "_1") for n in sums], *[(F.col(n + "_t") - zero(n)).alias(n + "_0") for n in sums])
+
+
+def with_totals(df: DataFrame, total: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``df`` with the totals of its keys; without keys there is one row of totals, whose values are put in as constants."""
+    if keys:
+        return df.join(total, list(keys))
+    row = total.first()
+    return df.withColumns({f.name: F.lit(row[f.name]).cast(f.dataType) for f in total.schema})
+
+
+def _split(a: DataFrame, sums: dict[str, Column], keys: Sequence[str]) -> DataFrame:
+    """The same sums of observations that have exposed for each of ``keys``."""
+    part = lambda n, c, v: F.coalesce(F.sum(F.when(c, v)), F.lit(0)).alias(n)
+    return a.groupBy(*keys).agg(*[part(n + "_1", F.col("exposed"), v) for n, v in sums.items()], *[part(n + "_0", ~F.col("exposed"), v) for n, v in sums.items()])
+
+
+def _rate_sums() -> dict[str, Column]:
     y, h = F.col("ectopy_count").cast("double"), F.col("hours")
-    s = lambda c, v: F.sum(F.when(c, v).otherwise(0.0))
-    g = a.groupBy(*keys).agg(
-        F.count_if(e).alias("n_exposed"), F.count_if(u).alias("n_unexposed"), s(e, y).alias("_y1"), s(u, y).alias("_y0"), s(e, h).alias("_h1"), s(u, h).alias("_h0"),
-        s(e, y * y).alias("_yy1"), s(e, y * h).alias("_yh1"), s(e, h * h).alias("_hh1"), s(u, y * y).alias("_yy0"), s(u, y * h).alias("_yh0"), s(u, h * h).alias("_hh0"),
-    )
-    l1, l0 = F.col("_y1") / F.col("_h1"), F.col("_y0") / F.col("_h0")
-    var = (F.col("_yy1") - 2 * l1 * F.col("_yh1") + l1 * l1 * F.col("_hh1")) / (F.col("_y1") * F.col("_y1")) + (F.col("_yy0") - 2 * l0 * F.col("_yh0") + l0 * l0 * F.col("_hh0")) / (F.col("_y0") * F.col("_y0"))
-    n = F.col("n_exposed") + F.col("n_unexposed")
-    status = F.when((F.col("n_exposed") < MIN_ARM) | (F.col("n_unexposed") < MIN_ARM) | (F.col("_y1") + F.col("_y0") < MIN_EVENTS), "insufficient").when((F.col("_y1") == 0) | (F.col("_y0") == 0), "no_events").otherwise("ok")
-    g = g.withColumns({"status": status}).withColumns({"estimate": F.when(F.col("status") == "ok", l1 / l0), "se_log": F.when(F.col("status") == "ok", F.sqrt(var * n / (n - 2)))})
-    z = 1.959963984540054
-    return g.select(*keys, "n_exposed", "n_unexposed", (l1).alias("rate_exposed"), (l0).alias("rate_unexposed"), "status", "estimate", (F.col("estimate") * F.exp(-z * F.col("se_log"))).alias("ci_low"), (F.col("estimate") * F.exp(z * F.col("se_log"))).alias("ci_high"))
+    return {"n": F.lit(1), "y": y, "h": h, "yy": y * y, "yh": y * h, "hh": h * h}
 
 
-def difference(a: DataFrame, value: str, keys: Sequence[str], kind: str = "delta") -> DataFrame:
-    """Difference of means of exposed and unexposed sessions with HC1 errors; ``pct_change`` reads it on a log scale."""
-    v = F.col(value).cast("double")
-    d = a.where(v.isNotNull())
-    e, u = F.col("exposed"), ~F.col("exposed")
-    g = d.groupBy(*keys).agg(
-        F.count_if(e).alias("n_exposed"), F.count_if(u).alias("n_unexposed"), F.avg(F.when(e, v)).alias("_m1"), F.avg(F.when(u, v)).alias("_m0"), F.var_pop(F.when(e, v)).alias("_v1"), F.var_pop(F.when(u, v)).alias("_v0"), F.var_pop(v).alias("_v")
-    )
-    n = F.col("n_exposed") + F.col("n_unexposed")
-    ok = (F.col("n_exposed") >= MIN_ARM) & (F.col("n_unexposed") >= MIN_ARM) & (F.col("_v") > 1e-9)
-    beta, se = F.col("_m1") - F.col("_m0"), F.sqrt(n / (n - 2) * (F.col("_v1") / F.col("n_exposed") + F.col("_v0") / F.col("n_unexposed")))
-    z = 1.959963984540054
+Z95 = 1.959963984540054
+
+
+def _rates(g: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Intercept and exposure alone have a closed form: the ratio of rates, and for its logarithm the sandwich variance summed over the arms."""
+    c = F.col
+    rate = {k: F.try_divide(c(f"y_{k}"), c(f"h_{k}")) for k in "10"}
+    part = {k: F.try_divide(c(f"yy_{k}") - 2 * rate[k] * c(f"yh_{k}") + rate[k] * rate[k] * c(f"hh_{k}"), c(f"y_{k}") * c(f"y_{k}")) for k in "10"}
+    n = c("n_1") + c("n_0")
+    status = F.when((c("n_1") < MIN_ARM) | (c("n_0") < MIN_ARM) | (c("y_1") + c("y_0") < MIN_EVENTS), "insufficient").when((c("y_1") == 0) | (c("y_0") == 0), "no_events").otherwise("ok")
+    g = g.withColumn("status", status)
+    g = g.withColumns({"estimate": F.when(c("status") == "ok", rate["1"] / rate["0"]), "_se": F.when(c("status") == "ok", F.sqrt(F.greatest(part["1"] + part["0"], F.lit(0.0)) * n / (n - 2)))})
+    ends = [(c("estimate") * F.exp(k * Z95 * c("_se"))).alias(name) for k, name in ((-1, "ci_low"), (1, "ci_high"))]
+    return g.select(*keys, c("n_1").alias("n_exposed"), c("n_0").alias("n_unexposed"), rate["1"].alias("rate_exposed"), rate["0"].alias("rate_unexposed"), "status", "estimate", *ends)
+
+
+def rate_ratio(a: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Poisson rate ratio of exposed to unexposed sessions (exposed, ectopy_count, hours), with robust standard error and guards."""
+    return _rates(_split(a, _rate_sums(), keys), keys)
+
+
+def rate_ratio_by_tag(observations: DataFrame, tags: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """The rate ratio of every tag in use, from sums over sessions that have it and over all."""
+    return _rates(arm_sums(observations, tags, _rate_sums(), keys), [*keys, "tag"])
+
+
+def _differences(g: DataFrame, keys: Sequence[str], kind: str) -> DataFrame:
+    """From sums of n, v and vv of values less their mean."""
+    c = F.col
+    mean = {k: F.try_divide(c(f"v_{k}"), c(f"n_{k}")) for k in "10"}
+    var = {k: F.greatest(F.try_divide(c(f"vv_{k}"), c(f"n_{k}")) - mean[k] * mean[k], F.lit(0.0)) for k in "10"}
+    n = c("n_1") + c("n_0")
+    whole = (c("vv_1") + c("vv_0")) / n - ((c("v_1") + c("v_0")) / n) * ((c("v_1") + c("v_0")) / n)
+    ok = (c("n_1") >= MIN_ARM) & (c("n_0") >= MIN_ARM) & (whole > 1e-9)
+    beta, se = mean["1"] - mean["0"], F.sqrt(n / (n - 2) * (var["1"] / c("n_1") + var["0"] / c("n_0")))
     shown = (lambda x: 100.0 * (F.exp(x) - 1)) if kind == "pct_change" else (lambda x: x)
     pick = lambda x: F.when(ok, shown(x))
-    return g.select(*keys, "n_exposed", "n_unexposed", F.when(ok, "ok").otherwise("insufficient").alias("status"), pick(beta).alias("estimate"), pick(beta - z * se).alias("ci_low"), pick(beta + z * se).alias("ci_high"))
+    return g.select(*keys, c("n_1").alias("n_exposed"), c("n_0").alias("n_unexposed"), F.when(ok, "ok").otherwise("insufficient").alias("status"), pick(beta).alias("estimate"), pick(beta - Z95 * se).alias("ci_low"), pick(beta + Z95 * se).alias("ci_high"))
+
+
+def centred(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Rows with a value, and v, the value less the mean of its keys: sums of squares then keep their digits."""
+    d = df.where(F.col(value).isNotNull())
+    mean = d.groupBy(*keys).agg(F.avg(F.col(value).cast("double")).alias("_mean"))
+    return with_totals(d, mean, keys).withColumn("v", F.col(value) - F.col("_mean")).drop("_mean")
+
+
+def _value_sums() -> dict[str, Column]:
+    return {"n": F.lit(1), "v": F.col("v"), "vv": F.col("v") * F.col("v")}
+
+
+def difference(a: DataFrame, value: str, keys: Sequence[str], kind: str = "delta") -> DataFrame:
+    """Difference of means of exposed and unexposed sessions with HC1 errors; ``pct_change`` reads it on a log scale."""
+    return _differences(_split(centred(a, value, keys), _value_sums(), keys), keys, kind)
+
+
+def difference_by_tag(observations: DataFrame, tags: DataFrame, value: str, kind: str = "delta", keys: Sequence[str] = ()) -> DataFrame:
+    """The difference of every tag in use, from sums over sessions that have it and over all."""
+    return _differences(arm_sums(centred(observations, value, keys), tags, _value_sums(), keys), [*keys, "tag"], kind)
+
+
+def rate_summary(rates: DataFrame, tags: DataFrame) -> DataFrame:
+    """tag, and number, mean and standard deviation of the rates (session_id, rate) with it (tagged) and without."""
+    r = F.col("rate").cast("double")
+    g, c = arm_sums(rates, tags, {"n": r.isNotNull().cast("long"), "v": r, "vv": r * r}), F.col
+    out = []
+    for k, name in (("1", "tagged"), ("0", "untagged")):
+        mean = F.try_divide(c(f"v_{k}"), c(f"n_{k}"))
+        out += [c(f"n_{k}").alias(f"n_{name}"), mean.alias(f"mean_{name}"), F.sqrt(F.greatest(F.try_divide(c(f"vv_{k}") - c(f"n_{k}") * mean * mean, c(f"n_{k}") - 1), F.lit(0.0))).alias(f"sd_{name}")]
+    return g.select("tag", *out)
+
+
+def outcome_effects(observations: DataFrame, tags: DataFrame, outcome: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Effect of every tag on one of OUTCOMES (for ectopy counts and hours, else the column of that name), with outcome and effect as columns."""
+    kind = OUTCOMES[outcome]
+    out = rate_ratio_by_tag(observations, tags, keys) if kind == "rate_ratio" else difference_by_tag(observations, tags, outcome, kind, keys)
+    return out.select(F.lit(outcome).alias("outcome"), F.lit(kind).alias("effect"), *keys, "tag", "n_exposed", "n_unexposed", "status", "estimate", "ci_low", "ci_high")
 
 
 def spearman(df: DataFrame, x: str, y: str, keys: Sequence[str], least: int = MIN_ENV) -> DataFrame:
-    """Rank correlation with average ranks for ties."""
+    """Rank correlation with average ranks for ties, and its p_value by the t distribution with n - 2 degrees of freedom."""
     d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
 
     def rank(c: str):
         return F.rank().over(Window.partitionBy(*keys).orderBy(c)) + (F.count("*").over(Window.partitionBy(*keys, c)) - 1) / 2.0
 
     r = d.withColumns({"_rx": rank(x), "_ry": rank(y)})
-    return r.groupBy(*keys).agg(F.count("*").alias("n"), F.when((F.stddev_samp(x) > 1e-9) & (F.stddev_samp(y) > 1e-9), F.corr("_rx", "_ry")).alias("rho")).where(F.col("n") >= least)
+    return r.groupBy(*keys).agg(F.count("*").alias("n"), F.when((F.stddev_samp(x) > 1e-9) & (F.stddev_samp(y) > 1e-9), F.corr("_rx", "_ry")).alias("rho")).where(F.col("n") >= least).withColumn("p_value", t_tail(_t_of_rho(), F.col("n") - 2))
+
+
+def _t_of_rho() -> Column:
+    rest = 1 - F.col("rho") * F.col("rho")
+    return F.when(rest > 0, F.col("rho") * F.sqrt((F.col("n") - 2) / rest)).when(F.col("rho").isNotNull(), F.lit(float("inf")))
 
 
 def tertiles(df: DataFrame, x: str, y: str, keys: Sequence[str], tiebreak: str) -> DataFrame:
@@ -119,9 +201,9 @@ def _design(d: pd.DataFrame) -> np.ndarray:
     base = [np.ones(n), d["exposed"].to_numpy(float)]
     hour = 2 * math.pi * d["hour"].to_numpy(float) / 24
     hours = [np.sin(hour), np.cos(hour)]
-    levels = sorted(d["comparison_key"].dropna().unique())
-    counts = d["comparison_key"].value_counts()
-    dummies = [(d["comparison_key"] == k).to_numpy(float) for k in levels[1:]] if len(levels) > 1 and counts.min() >= MIN_LEVEL else []
+    activity = d["comparison_key"].fillna(UNSPECIFIED)
+    levels, counts = sorted(activity.unique()), activity.value_counts()
+    dummies = [(activity == k).to_numpy(float) for k in levels[1:]] if len(levels) > 1 and counts.min() >= MIN_LEVEL else []
     for cols in ([*base, *hours, *dummies], [*base, *hours], base):
         if len(cols) + 2 <= n:
             return np.column_stack(cols)

@@ -76,17 +76,14 @@ def first_confirmed(spark, sf_dir):
 
 @R.add(
     """WITH t AS (SELECT DISTINCT user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) % 18 AS tag FROM events),
-r AS (SELECT user_id, count(*) FILTER (event_type = 'signup') AS rate FROM events GROUP BY 1),
-g AS (SELECT DISTINCT tag FROM t WHERE tag IS NOT NULL),
-x AS (SELECT g.tag, r.rate, t.tag IS NOT NULL AS has FROM g CROSS JOIN r LEFT JOIN t ON t.user_id = r.user_id AND t.tag = g.tag)
-SELECT tag, coalesce(string_agg(CAST(rate AS VARCHAR), ',' ORDER BY rate) FILTER (has), '') AS tagged, coalesce(string_agg(CAST(rate AS VARCHAR), ',' ORDER BY rate) FILTER (NOT has), '') AS untagged FROM x GROUP BY 1"""
+r AS (SELECT user_id, count(*) FILTER (event_type = 'signup') AS rate FROM events GROUP BY 1)
+SELECT tag, t.user_id AS session_id, rate FROM t JOIN r ON r.user_id = t.user_id WHERE tag IS NOT NULL UNION ALL SELECT NULL, user_id, rate FROM r"""
 )
 def rates_by_tag(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     tags = e.select(F.col("user_id").alias("session_id"), (F.get_json_object("props", "$.k").cast("long") % 18).alias("tag")).where("tag IS NOT NULL")
     rates = e.groupBy(F.col("user_id").alias("session_id")).agg(F.count_if(F.col("event_type") == "signup").alias("rate"))
-    text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
-    return context.rates_by_tag(rates, tags).select("tag", text("tagged"), text("untagged"))
+    return context.rates_by_tag(rates, tags)
 
 
 @R.add(

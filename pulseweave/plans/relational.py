@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import context, stats
+from ..operators import context, linear, stats
 from ..session import new_folder, table
 from .registry import Registry, tidy
 
@@ -255,9 +255,8 @@ def _observations(spark, sf_dir):
     return o.join(l, "session_id").groupBy("session_id").agg(F.count("*").alias("ectopy_count"), (F.sum("l_quantity") / 10.0).alias("hours"), F.log(F.avg("l_extendedprice")).alias("ln_rmssd"), F.avg("l_discount").alias("env"))
 
 
-def _arms(spark, sf_dir):
-    o = _observations(spark, sf_dir)
-    return stats.arms(o, o.select("session_id", F.concat(F.lit("tag-"), F.col("session_id") % 7).alias("tag")))
+def _session_tags(o):
+    return o.select("session_id", F.concat(F.lit("tag-"), F.col("session_id") % 7).alias("tag"))
 
 
 _RATE = """,
@@ -270,7 +269,8 @@ v AS (SELECT g.tag, n1, n0, y1 / h1 AS l1, y0 / h0 AS l0, sum((ectopy_count - y1
     "round(l1 / l0, 6) AS estimate, round(l1 / l0 * exp(-1.959963984540054 * sqrt(var * (n1 + n0) / (n1 + n0 - 2))), 6) AS ci_low, round(l1 / l0 * exp(1.959963984540054 * sqrt(var * (n1 + n0) / (n1 + n0 - 2))), 6) AS ci_high FROM v"
 )
 def poisson_rate_ratio(spark, sf_dir):
-    return tidy(stats.rate_ratio(_arms(spark, sf_dir), ["tag"]))
+    o = _observations(spark, sf_dir)
+    return tidy(stats.rate_ratio_by_tag(o, _session_tags(o)))
 
 
 @R.add(
@@ -279,7 +279,8 @@ s AS (SELECT *, sqrt((n1 + n0) / (n1 + n0 - 2)::DOUBLE * (v1 / n1 + v0 / n0)) AS
 SELECT tag, n1 AS n_exposed, n0 AS n_unexposed, 'ok' AS status, round(100.0 * (exp(b) - 1), 6) AS estimate, round(100.0 * (exp(b - 1.959963984540054 * se) - 1), 6) AS ci_low, round(100.0 * (exp(b + 1.959963984540054 * se) - 1), 6) AS ci_high FROM s"""
 )
 def ols_tag_effect(spark, sf_dir):
-    return tidy(stats.difference(_arms(spark, sf_dir), "ln_rmssd", ["tag"], "pct_change"))
+    o = _observations(spark, sf_dir)
+    return tidy(stats.difference_by_tag(o, _session_tags(o), "ln_rmssd", "pct_change"))
 
 
 @R.add(
@@ -289,7 +290,7 @@ SELECT k, count(*) AS n, round(corr(rx, ry), 6) AS rho FROM q GROUP BY 1 HAVING
 )
 def spearman(spark, sf_dir):
     o = _observations(spark, sf_dir).withColumn("k", F.col("session_id") % 7)
-    return tidy(stats.spearman(o, "env", "ectopy_count", ["k"]))
+    return tidy(stats.spearman(o, "env", "ectopy_count", ["k"]).drop("p_value"))
 
 
 @R.add(
@@ -318,12 +319,53 @@ def hour_profile(spark, sf_dir):
     return tidy(stats.hour_profile(s, e.where("event_type = 'error'").select("ts")), 4)
 
 
+def _persons(spark, sf_dir):
+    """Observations of twenty persons with hour and activity, and two tags a session."""
+    k = F.col("session_id")
+    o = _observations(spark, sf_dir).withColumns({"person": F.pmod(F.xxhash64(k), F.lit(20)), "hour": (k % 24).cast("double"), "comparison_key": F.concat(F.lit("a"), k % 3)})
+    return o, o.select("person", "session_id", F.concat(F.lit("tag-"), k % 7).alias("tag"))
+
+
 @R.add()
 def nb_glm(spark, sf_dir):
-    a = _arms(spark, sf_dir).withColumns({"hour": (F.col("session_id") % 24).cast("double"), "comparison_key": F.concat(F.lit("a"), F.col("session_id") % 3)})
-    return stats.effects(a.select("tag", "exposed", "ectopy_count", "hours", "hour", "comparison_key", F.pmod(F.xxhash64("session_id"), F.lit(20)).alias("person")), ["person", "tag"])
+    o, tags = _persons(spark, sf_dir)
+    return stats.effects(stats.arms(o, tags, ["person"]), ["person", "tag"])
+
+
+@R.add()
+def linear_effect(spark, sf_dir):
+    o, tags = _persons(spark, sf_dir)
+    more = tags.select("person", "session_id", F.concat(F.lit("more-"), F.col("session_id") % 2).alias("tag"))
+    return linear.effects(o, tags.union(more), "ln_rmssd", "pct_change", ["person"])
+
+
+@R.add()
+def spearman_tail(spark, sf_dir):
+    o = _observations(spark, sf_dir).withColumn("k", F.col("session_id") % 7)
+    return stats.spearman(o, "env", "ln_rmssd", ["k"])
 
 
 @R.add(f"WITH {_OBS} SELECT tag, e AS exposed, count(*) AS n, round(sum(ectopy_count) / sum(hours), 6) AS rate, round(exp(avg(ln_rmssd)), 4) AS geo_mean FROM ar GROUP BY 1, 2")
 def group_rates(spark, sf_dir):
-    return _arms(spark, sf_dir).groupBy("tag", "exposed").agg(F.count("*").alias("n"), F.round(F.sum("ectopy_count") / F.sum("hours"), 6).alias("rate"), F.round(F.exp(F.avg("ln_rmssd")), 4).alias("geo_mean"))
+    o = _observations(spark, sf_dir)
+    g = stats.arm_sums(o, _session_tags(o), {"n": F.lit(1), "y": F.col("ectopy_count"), "h": F.col("hours"), "v": F.col("ln_rmssd")})
+    arm = lambda k, e: F.struct(F.lit(e).alias("exposed"), *[F.col(f"{c}_{k}").alias(c) for c in ("n", "y", "h", "v")])
+    g = g.select("tag", F.inline(F.array(arm(1, True), arm(0, False)))).where("n > 0")
+    return g.select("tag", "exposed", "n", F.round(F.col("y") / F.col("h"), 6).alias("rate"), F.round(F.exp(F.col("v") / F.col("n")), 4).alias("geo_mean"))
+
+
+@R.add(
+    f"""WITH {_OBS}
+SELECT tag, count(*) FILTER (e) AS n_tagged, round(avg(env) FILTER (e), 6) AS mean_tagged, round(stddev_samp(env) FILTER (e), 6) AS sd_tagged,
+       count(*) FILTER (NOT e) AS n_untagged, round(avg(env) FILTER (NOT e), 6) AS mean_untagged, round(stddev_samp(env) FILTER (NOT e), 6) AS sd_untagged FROM ar GROUP BY 1"""
+)
+def rate_summary(spark, sf_dir):
+    o = _observations(spark, sf_dir)
+    return tidy(stats.rate_summary(o.select("session_id", F.col("env").alias("rate")), _session_tags(o)))
+
+
+@R.add(f"WITH {_OBS}{_RATE} SELECT 'ectopy' AS outcome, 'rate_ratio' AS effect, tag, round(l1 / l0, 6) AS estimate FROM v UNION ALL SELECT 'ln_rmssd', 'pct_change', tag, round(100.0 * (exp(avg(ln_rmssd) FILTER (e) - avg(ln_rmssd) FILTER (NOT e)) - 1), 6) FROM ar GROUP BY tag")
+def outcome_effects(spark, sf_dir):
+    o = _observations(spark, sf_dir)
+    both = [stats.outcome_effects(o, _session_tags(o), name).select("outcome", "effect", "tag", "estimate") for name in ("ectopy", "ln_rmssd")]
+    return tidy(both[0].union(both[1]))

@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
 from .series import by_session, differences, islands
 
 EPOCH_S = 30.0
@@ -34,12 +35,22 @@ INITIAL = (0.70, 0.28, 0.01, 0.01)
 WAKE_HR_DELTA, DEEP_HR_DELTA, DEEP_LF_HF, REM_LF_HF, REM_RAMP = 12.0, 4.0, 1.0, 2.5, 0.25
 
 
-def epoch_features(rr: DataFrame, least: int = 10, half: int = 5) -> DataFrame:
-    """Per 30 s epoch on a dense grid: n_beats, coverage, hr_bpm, rmssd_ms (pairs inside one epoch, +-5 epochs), hr_delta (over the night's 10th percentile)."""
+def epoch_grid(durations: DataFrame) -> DataFrame:
+    """session_id, epoch of every epoch of recordings (session_id, duration_s); the last one may be cut."""
+    n = F.ceil(F.col("duration_s") / EPOCH_S).cast("long")
+    return durations.where(F.col("duration_s") > 0).select("session_id", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("epoch"))
+
+
+def epoch_features(rr: DataFrame, least: int = 10, half: int = 5, grid: DataFrame | None = None) -> DataFrame:
+    """Per 30 s epoch on a dense grid: n_beats, coverage, hr_bpm, rmssd_ms (pairs inside one epoch, +-5 epochs), hr_delta (over the night's 10th percentile).
+
+    ``grid`` has session_id and epoch; without it epochs go to the last interval.
+    """
     d = differences(rr).withColumn("epoch", F.floor(F.col("t_s") / EPOCH_S).cast("long"))
     d = d.withColumn("_d", F.when(F.lag("epoch").over(by_session("n")) == F.col("epoch"), F.col("d_ms")))
     e = d.groupBy("session_id", "epoch").agg(F.count("*").alias("n_beats"), F.sum("rr_ms").alias("_rr"), F.sum(F.col("_d") * F.col("_d")).alias("_s"), F.count("_d").alias("_n"))
-    grid = rr.groupBy("session_id").agg(F.floor(F.max("t_s") / EPOCH_S).cast("long").alias("_last")).select("session_id", F.explode(F.sequence(F.lit(0).cast("long"), "_last")).alias("epoch"))
+    if grid is None:
+        grid = rr.groupBy("session_id").agg(F.floor(F.max("t_s") / EPOCH_S).cast("long").alias("_last")).select("session_id", F.explode(F.sequence(F.lit(0).cast("long"), "_last")).alias("epoch"))
     e = grid.join(e, ["session_id", "epoch"], "left").fillna(0, ["n_beats", "_rr", "_n"])
     w = by_session("epoch").rowsBetween(-half, half)
     e = e.withColumns(
@@ -221,11 +232,16 @@ def from_codes(scored: DataFrame, grid: DataFrame, n_codes: int = 5) -> DataFram
 
 
 def run_engines(features: DataFrame, engines: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
-    """Hypnograms (session_id, epoch, stage) of all engines, one below the other, with engine; an engine that cannot be planned gives one row with its error as status."""
+    """Hypnograms (session_id, epoch, stage) of all engines, one below the other, with engine and status.
+
+    Each engine's nights are written before they are used, so one that fails,
+    when it is planned or while it runs, gives one row with its error and
+    leaves the others alone.
+    """
     out = None
     for name, engine in engines.items():
         try:
-            h = engine(features).select("session_id", "epoch", F.col("stage").cast("int").alias("stage"), F.lit("ok").alias("status"))
+            h = written(engine(features).select("session_id", "epoch", F.col("stage").cast("int").alias("stage"), F.lit("ok").alias("status")), f"engine-{name}")
         except Exception as e:  # noqa: BLE001 - an engine's failure is an outcome of its own
             h = features.sparkSession.createDataFrame([(None, None, None, f"failed: {e}"[:200])], "session_id long, epoch long, stage int, status string")
         h = h.withColumn("engine", F.lit(name))
@@ -233,12 +249,28 @@ def run_engines(features: DataFrame, engines: dict[str, Callable[[DataFrame], Da
     return out
 
 
-# Healthy ranges (metric, low, high) of a night's summary.
+# Healthy ranges (metric, low, high) of a night's summary, and of the shares of stages in the time asleep by label.
 NORMS = (("efficiency_pct", 85.0, 100.0), ("latency_min", 0.0, 30.0), ("waso_min", 0.0, 40.0), ("rem_latency_min", 60.0, 120.0))
+SHARE_NORMS = {
+    "Light": (40.0, 65.0), "N1": (2.0, 10.0), "N2": (40.0, 60.0), "Deep": (5.0, 25.0), "N3": (5.0, 25.0), "REM": (15.0, 28.0), "NREM": (72.0, 85.0),
+}
+
+
+def stage_shares(hypnogram: DataFrame, vocabulary: str = "wldr_4") -> DataFrame:
+    """session_id, label, pct of the time asleep in each stage of the vocabulary, also of stages that do not occur."""
+    labels = VOCABULARIES[vocabulary]
+    n = hypnogram.groupBy("session_id").agg(F.count_if(F.col("stage") >= 1).alias("_all"), *[F.count_if(F.col("stage") == i).alias(x) for i, x in enumerate(labels) if i])
+    rows = F.explode(F.array(*[F.struct(F.lit(x).alias("label"), (100.0 * F.col(x) / F.col("_all")).alias("pct")) for x in labels[1:]]))
+    return n.where("_all > 0").select("session_id", rows.alias("r")).select("session_id", "r.*")
 
 
-def plausibility(summary: DataFrame, norms: Sequence[tuple[str, float, float]] = NORMS) -> DataFrame:
-    """session_id, metric, value, low, high, verdict (within range, below range, above range) of the metrics that a summary has values for."""
+def plausibility(summary: DataFrame, norms: Sequence[tuple[str, float, float]] = NORMS, shares: DataFrame | None = None) -> DataFrame:
+    """session_id, metric, value, low, high, verdict (within range, below range, above range) of the metrics that a summary has values for, and of the shares of stages (session_id, label, pct) that have a norm."""
     rows = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"), F.lit(a).alias("low"), F.lit(b).alias("high")) for m, a, b in norms]))
+    out = summary.select("session_id", rows.alias("r")).select("session_id", "r.*")
+    if shares is not None:
+        low, high = (F.create_map(*[F.lit(x) for k, v in SHARE_NORMS.items() for x in (k, v[i])]) for i in (0, 1))
+        known = shares.where(F.col("label").isin(*SHARE_NORMS))
+        out = out.union(known.select("session_id", F.concat(F.col("label"), F.lit("_pct")).alias("metric"), F.col("pct").alias("value"), low[F.col("label")].alias("low"), high[F.col("label")].alias("high")))
     verdict = F.when(F.col("value") < F.col("low"), "below range").when(F.col("value") > F.col("high"), "above range").otherwise("within range")
-    return summary.select("session_id", rows.alias("r")).select("session_id", "r.*").where("value IS NOT NULL").withColumn("verdict", verdict)
+    return out.where("value IS NOT NULL").withColumn("verdict", verdict)

@@ -61,23 +61,29 @@ def nonlinear(rr: DataFrame, least: int = 100) -> DataFrame:
     return rr.groupBy("session_id").applyInPandas(run, "session_id long, sampen double, dfa_alpha1 double")
 
 
-def band_power_epochs(rr: DataFrame, low: float, high: float, epoch_s: float = 30.0) -> DataFrame:
-    """Mean power of the band-passed interval series by epoch, over runs of 50 s or more."""
+def band_powers(rr: DataFrame, bands: dict[str, tuple[float, float]], epoch_s: float = 30.0) -> DataFrame:
+    """Mean power of the interval series in each band (a column) by epoch, over runs of 50 s or more; the series is resampled once for all bands."""
 
     def run(d: pd.DataFrame) -> pd.DataFrame:
-        sos, at, power = K.butterworth(4, (low, high), RATE, "band"), [], []
+        filters, at, power = {k: K.butterworth(4, b, RATE, "band") for k, b in bands.items()}, [], {k: [] for k in bands}
         for t, r in _runs(d.sort_values("n"), 50.0):
             grid = np.arange(t[0], t[-1], 1 / RATE)
             if len(grid) >= 40:
                 x = K.spline(t, r, grid)
                 at.append(grid)
-                power.append(K.zero_phase(sos, x - x.mean()) ** 2)
+                for k, sos in filters.items():
+                    power[k].append(K.zero_phase(sos, x - x.mean()) ** 2)
         if not at:
-            return pd.DataFrame({"session_id": pd.Series(dtype="int64"), "epoch": pd.Series(dtype="int64"), "power": pd.Series(dtype="float64")})
-        e = pd.DataFrame({"epoch": np.floor(np.concatenate(at) / epoch_s).astype("int64"), "power": np.concatenate(power)}).groupby("epoch", as_index=False)["power"].mean()
-        return e.assign(session_id=d["session_id"].iloc[0])[["session_id", "epoch", "power"]]
+            return pd.DataFrame({"session_id": pd.Series(dtype="int64"), "epoch": pd.Series(dtype="int64"), **{k: pd.Series(dtype="float64") for k in bands}})
+        e = pd.DataFrame({"epoch": np.floor(np.concatenate(at) / epoch_s).astype("int64"), **{k: np.concatenate(v) for k, v in power.items()}}).groupby("epoch", as_index=False).mean()
+        return e.assign(session_id=d["session_id"].iloc[0])[["session_id", "epoch", *bands]]
+
+    return rr.groupBy("session_id").applyInPandas(run, "session_id long, epoch long, " + ", ".join(f"{k} double" for k in bands))
 
-    return rr.groupBy("session_id").applyInPandas(run, "session_id long, epoch long, power double")
+
+def band_power_epochs(rr: DataFrame, low: float, high: float, epoch_s: float = 30.0) -> DataFrame:
+    """``band_powers`` of one band, as power."""
+    return band_powers(rr, {"power": (low, high)}, epoch_s)
 
 
 def detect_peaks(samples: DataFrame, rate: float) -> DataFrame:

@@ -193,11 +193,15 @@ def staging_engines(spark, sf_dir):
 o AS (SELECT *, min(epoch) FILTER (stage >= 1) OVER w AS on_, max(epoch) FILTER (stage >= 1) OVER w AS off_ FROM hy WINDOW w AS (PARTITION BY session_id)),
 s AS (SELECT session_id, 100.0::DOUBLE * count(*) FILTER (stage >= 1) / nullif(count(*) FILTER (stage <> -1), 0) AS eff, max(on_) * 0.5::DOUBLE AS lat,
   CASE WHEN max(on_) IS NOT NULL THEN count(*) FILTER (epoch > on_ AND epoch <= off_ AND stage = 0) * 0.5::DOUBLE END AS waso, min(epoch - on_) FILTER (stage = 3) * 0.5::DOUBLE AS rem FROM o GROUP BY 1),
-u AS (SELECT session_id, 'efficiency_pct' AS metric, eff AS value, 85.0 AS low, 100.0 AS high FROM s UNION ALL SELECT session_id, 'latency_min', lat, 0.0, 30.0 FROM s UNION ALL SELECT session_id, 'waso_min', waso, 0.0, 40.0 FROM s UNION ALL SELECT session_id, 'rem_latency_min', rem, 60.0, 120.0 FROM s)
+u AS (SELECT session_id, 'efficiency_pct' AS metric, eff AS value, 85.0 AS low, 100.0 AS high FROM s UNION ALL SELECT session_id, 'latency_min', lat, 0.0, 30.0 FROM s UNION ALL SELECT session_id, 'waso_min', waso, 0.0, 40.0 FROM s UNION ALL SELECT session_id, 'rem_latency_min', rem, 60.0, 120.0 FROM s
+  UNION ALL SELECT session_id, x.m, 100.0::DOUBLE * x.c / n, x.lo, x.hi FROM (
+    SELECT session_id, n, unnest([{'m': 'Light_pct', 'c': a, 'lo': 40.0, 'hi': 65.0}, {'m': 'Deep_pct', 'c': b, 'lo': 5.0, 'hi': 25.0}, {'m': 'REM_pct', 'c': c, 'lo': 15.0, 'hi': 28.0}]) AS x
+    FROM (SELECT session_id, count(*) FILTER (stage >= 1) AS n, count(*) FILTER (stage = 1) AS a, count(*) FILTER (stage = 2) AS b, count(*) FILTER (stage = 3) AS c FROM hy GROUP BY 1) WHERE n > 0))
 SELECT session_id, metric, round(value, 6) AS value, CAST(low AS DOUBLE) AS low, CAST(high AS DOUBLE) AS high, CASE WHEN value < low THEN 'below range' WHEN value > high THEN 'above range' ELSE 'within range' END AS verdict FROM u WHERE value IS NOT NULL"""
 )
 def night_plausibility(spark, sf_dir):
-    return tidy(sleep.plausibility(sleep.summarize(_hypnogram(spark, sf_dir))))
+    h = _hypnogram(spark, sf_dir)
+    return tidy(sleep.plausibility(sleep.summarize(h), shares=sleep.stage_shares(h)))
 
 
 @R.add(RR_SQL + " SELECT session_id, round(sqrt(avg(d_ms * d_ms)), 6) AS rmssd_ms FROM dd GROUP BY 1 HAVING count(d_ms) > 0")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import sleep
+from ..operators import night, sleep
 from ..session import table
 from .adapter import BEATS_SQL, RR_SQL, beats, rr_series
 from .registry import Registry, tidy
@@ -68,15 +68,63 @@ def stage_scores(spark, sf_dir):
     return tidy(_scored(spark, sf_dir).select("session_id", "epoch", "s_wake", "s_light", "s_deep", "s_rem"), 5)
 
 
-@R.add()
+_PATH = (
+    _SCORES.replace("WITH ev", "WITH RECURSIVE ev", 1).split("SELECT session_id, epoch, round(2.0 * mv")[0].rstrip()
+    + """,
+sc AS (SELECT session_id, epoch, coalesce(coverage >= 0.5 AND hr IS NOT NULL, false) AS ok, [2.0 * mv + 1.6 * a1 + 0.4 * a2, 1.1 - 1.5 * mv, 1.2 * a3 + 0.9 * a4 + 0.6 * a5 - 2.5 * mv,
+  1.5 * a6 + 0.5 * a7 + 0.3 * greatest(0.0, least(1.0, frac / 0.25)) - 2.5 * mv]::DOUBLE[] AS s FROM sg),
+ex AS (SELECT *, list_transform(s, lambda x: exp(x - list_max(s))) AS e FROM sc),
+lp AS (SELECT session_id, epoch, ok, list_transform(CASE WHEN ok THEN list_transform(e, lambda x: x / list_sum(e)) ELSE [0.25, 0.25, 0.25, 0.25]::DOUBLE[] END, lambda x: ln(greatest(x, 1e-12))) AS l FROM ex),
+st AS (SELECT unnest(range(4)) AS j),
+tr(i, t) AS (VALUES (0, [0.900, 0.080, 0.005, 0.015]::DOUBLE[]), (1, [0.030, 0.900, 0.045, 0.025]), (2, [0.010, 0.085, 0.900, 0.005]), (3, [0.025, 0.070, 0.005, 0.900])),
+walk(session_id, epoch, j, best) AS (
+  SELECT session_id, epoch, j, {'v': ln(([0.70, 0.28, 0.01, 0.01]::DOUBLE[])[j + 1]) + l[j + 1], 'p': [CAST(3 - j AS INTEGER)]} FROM lp, st WHERE epoch = 0
+  UNION ALL
+  SELECT session_id, epoch, j, max({'v': v, 'p': p}) FROM (
+    SELECT lp.session_id, lp.epoch, st.j, (w.best).v + ln(tr.t[st.j + 1]) + lp.l[st.j + 1] AS v, list_prepend(CAST(3 - st.j AS INTEGER), (w.best).p) AS p
+    FROM walk w JOIN lp ON lp.session_id = w.session_id AND lp.epoch = w.epoch + 1 JOIN tr ON tr.i = w.j, st) GROUP BY 1, 2, 3),
+en AS (SELECT session_id, max(epoch) AS epoch FROM lp GROUP BY 1),
+pa AS (SELECT walk.session_id, max(best) AS best FROM walk JOIN en ON en.session_id = walk.session_id AND en.epoch = walk.epoch GROUP BY 1)
+SELECT lp.session_id, lp.epoch, CAST(CASE WHEN ok THEN 3 - list_reverse(best.p)[lp.epoch + 1] ELSE -1 END AS BIGINT) AS stage FROM lp JOIN pa ON pa.session_id = lp.session_id"""
+)
+
+
+@R.add(_PATH)
 def viterbi_path(spark, sf_dir):
-    from ..operators.morphology import softmax
+    f = sleep.epoch_features(rr_series(spark, sf_dir)).withColumns({"moving": F.col("epoch") % 7 == 0, "lf_hf": F.when(F.col("epoch") % 11 != 0, (F.col("epoch") % 5).cast("double"))})
+    return tidy(night.rules(f).select("session_id", "epoch", "stage"))
+
+
+def _night(spark, sf_dir):
+    """Nights that end a minute behind their last beat; a window's wander is a beat's value."""
+    b = beats(spark, sf_dir)
+    durations = b.groupBy("session_id").agg((F.max("t_s") + 60.0).alias("duration_s"))
+    return durations, b.select("session_id", F.col("t_s").alias("start_s"), (F.col("value") / 1000.0).alias("wander_rms_mv"))
+
 
-    s = _scored(spark, sf_dir).withColumn("p", softmax(F.array("s_wake", "s_light", "s_deep", "s_rem")))
-    s = s.withColumn("p", F.when(F.coalesce(sleep.stageable(), F.lit(False)), F.col("p")).otherwise(F.array(*[F.lit(0.25)] * 4)))
-    path = sleep.viterbi(s.select("session_id", "epoch", "p"))
-    ok = s.select("session_id", "epoch", F.coalesce(sleep.stageable(), F.lit(False)).alias("ok"))
-    return path.join(ok, ["session_id", "epoch"]).select("session_id", "epoch", F.when(F.col("ok"), F.col("stage")).otherwise(sleep.UNSCORED).cast("long").alias("stage"))
+_MOVEMENT = BEATS_SQL + """,
+du AS (SELECT session_id, unnest(generate_series(0, CAST(ceil((max(t_s) + 60.0) / 30.0) AS BIGINT) - 1)) AS epoch FROM beats GROUP BY session_id),
+wm AS (SELECT session_id, CAST(floor(t_s / 30.0) AS BIGINT) AS epoch, avg(value / 1000.0) AS m FROM beats WHERE value IS NOT NULL GROUP BY 1, 2),
+me AS (SELECT session_id, quantile_cont(m, 0.5) AS med FROM wm GROUP BY 1),
+li AS (SELECT wm.session_id, med, quantile_cont(abs(m - med), 0.5) AS mad FROM wm JOIN me ON me.session_id = wm.session_id GROUP BY 1, 2),
+mo AS (SELECT du.session_id, du.epoch, m, CASE WHEN mad > 0 THEN med + 5 * mad ELSE 2.0 * med + 1e-9 END AS th FROM du LEFT JOIN wm ON wm.session_id = du.session_id AND wm.epoch = du.epoch LEFT JOIN li ON li.session_id = du.session_id)
+SELECT session_id, epoch, round(m, 6) AS movement, round(th, 6) AS threshold, 'wander_proxy' AS source, coalesce(m > th, false) AS moving FROM mo"""
+
+
+@R.add(_MOVEMENT)
+def night_movement(spark, sf_dir):
+    durations, windows = _night(spark, sf_dir)
+    return tidy(night.movement(sleep.epoch_grid(durations), windows))
+
+
+@R.add()
+def night_hypnogram(spark, sf_dir):
+    return night.stage(rr_series(spark, sf_dir), *_night(spark, sf_dir)).hypnogram.select("session_id", "epoch", "stage")
+
+
+@R.add()
+def night_report(spark, sf_dir):
+    return night.stage(rr_series(spark, sf_dir), *_night(spark, sf_dir)).summary
 
 
 @R.add(HYP_SQL + " SELECT session_id, epoch, CAST(CASE stage WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 1 WHEN 3 THEN 2 ELSE -1 END AS BIGINT) AS stage FROM hy")

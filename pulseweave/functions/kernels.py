@@ -100,6 +100,32 @@ def zero_phase(sos: np.ndarray, x: np.ndarray) -> np.ndarray:
     return b[pad : len(b) - pad] if pad > 0 else b
 
 
+def notch(hz: float, rate: float, quality: float = 30.0) -> np.ndarray:
+    """A second-order section that stops one frequency."""
+    w = 2 * np.pi * hz / rate
+    g = 1 / (1 + np.tan(w / quality / 2))
+    return np.array([[g, -2 * g * np.cos(w), g, 1.0, -2 * g * np.cos(w), 2 * g - 1]])
+
+
+def resampled(x: np.ndarray, up: int, down: int, chunk: int = 1 << 16) -> np.ndarray:
+    """``x`` at up / down times its rate: a low-pass (sinc under a Kaiser window, ten periods on either side) in polyphase form."""
+    most = max(up, down)
+    half = 10 * most
+    n = np.arange(-half, half + 1)
+    h = np.sinc(n / most) * np.kaiser(2 * half + 1, 5.0)
+    h = h / h.sum() * up
+    taps = -(-len(h) // up)
+    phases = np.concatenate([h, np.zeros(taps * up - len(h))]).reshape(taps, up).T  # tap t of phase r is h[r + t * up]
+    size = -(-len(x) * up // down)
+    padded = np.concatenate([np.zeros(taps), x, np.zeros(taps)])
+    out = np.empty(size)
+    for a in range(0, size, chunk):
+        place = np.arange(a, min(size, a + chunk), dtype=np.int64) * down + half
+        k, r = place // up, place % up
+        out[a : a + chunk] = np.einsum("ij,ij->i", phases[r], padded[np.clip(k[:, None] - np.arange(taps) + taps, 0, len(padded) - 1)])
+    return out
+
+
 def spline(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Cubic spline with not-a-knot ends."""
     n = len(x)

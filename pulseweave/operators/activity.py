@@ -10,15 +10,15 @@ from pyspark.sql import functions as F
 
 # Built-in profiles (key, name, expected rate range, most excluded share that can still be analysed).
 PROFILES = (
-    ("supine", "Supine rest", 40, 85, None),
+    ("supine", "Lying down (supine)", 40, 80, None),
     ("sitting", "Sitting", 50, 90, None),
     ("standing", "Standing", 55, 105, None),
-    ("walking", "Walking", 70, 130, None),
-    ("running", "Running", 110, 190, None),
-    ("cycling", "Cycling", 100, 185, None),
-    ("swimming", "Swimming", 100, 180, 0.30),
+    ("walking", "Walking", 70, 125, None),
+    ("running", "Running", 110, 195, None),
+    ("cycling", "Cycling", 100, 190, None),
+    ("swimming", "Swimming", 90, 175, 0.30),
     ("recovery", "Recovery (post-exercise)", 60, 150, None),
-    ("sleep", "Sleep (overnight)", 40, 80, 0.50),
+    ("sleep", "Sleep (overnight)", 35, 90, 0.50),
 )
 #: Share of the heart-rate reserve above which variability is not reported.
 SUPPRESS_RESERVE = 0.70

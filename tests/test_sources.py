@@ -67,3 +67,35 @@ def test_text(spark):
     d = spark.createDataFrame([("Zoë & Co.", "log_20261399_2026-08-14.csv", "a, ,b ,")], "n string, f string, t string")
     r = d.select(text.slugify(F.col("n")).alias("s"), text.filename_date(F.col("f")).alias("d"), text.tag_list(F.col("t")).alias("t"), text.duration(F.lit(27000)).alias("u"), text.signed(F.lit(-0.25)).alias("g")).first()
     assert (r.s, r.d, r.t, r.u, r.g) == ("zo-co", dt.date(2026, 8, 14), ["a", "b"], "7 h 30 m", "-0.3")
+
+
+def test_each_question_is_gone_with_its_answer(spark, outcomes, tmp_path):
+    _, d = outcomes
+    t0 = int(START.timestamp() * 1e9)
+    comma = ["Zeit;Wert;Puls;Rest"] + [f"{t0 + int(i * 1e9 / 130)};{'-' if i % 2 else ''}0,{100 + i % 7};72,5;x" for i in range(300)]
+    (tmp_path / "comma.csv").write_text("\n".join(comma))
+    write(tmp_path / "semicolon.csv", header="time;ecg;hr;rr;marker", sep=";")
+    for name in ("between.csv", "old.csv", "plain_2026-08-14.csv"):
+        (tmp_path / name).write_text((d / name).read_text(encoding="utf-8"), encoding="utf-8")
+    given = dict.fromkeys(("delimiter", "decimal", "column_map", "unit", "epoch"))
+
+    def ask(answers):
+        table = spark.createDataFrame([(p, *(a.get(k) for k in given)) for p, a in answers.items()], recordings.ANSWERS)
+        found = recordings.recordings(spark, str(tmp_path), NOW, table)
+        return {r.path.rsplit("/", 1)[1]: r for r in found.collect()}, {r.path.rsplit("/", 1)[1]: r for r in recordings.questions(found).collect()}, table
+
+    answers = {}
+    steps = {"comma.csv": [("delimiter", "delimiter", ";"), ("columns", "column_map", {"zeit": "time", "WERT": "ecg", "puls": "hr", "rest": "ignored"}), ("decimal", "decimal", ",")], "between.csv": [("unit", "unit", "uV")], "old.csv": [("implausible time", "epoch", "device")], "semicolon.csv": [("delimiter", "delimiter", ";")]}
+    for turn in range(4):
+        found, asked, table = ask(answers)
+        for name, parts in steps.items():
+            if turn < len(parts):
+                assert asked[name].key == parts[turn][0] and asked[name].question and (found[name].status, found[name].question) == ("question", parts[turn][0])
+                answers.setdefault(found[name].path, {})[parts[turn][1]] = parts[turn][2]
+            else:
+                assert name not in asked and found[name].status == "ok" and found[name].answered == [p[1] for p in sorted(parts, key=lambda p: list(given).index(p[1]))]
+        assert found["plain_2026-08-14.csv"].answered == []
+    assert "0.667" not in (found["between.csv"].observed or "") and found["comma.csv"].n_samples == 300
+    s = recordings.samples(spark, str(tmp_path / "comma.csv"), NOW, table)
+    r = s.agg(F.max("ecg_mv").alias("m"), F.min("ecg_mv").alias("l"), F.max("hr").alias("hr"), F.count("*").alias("n")).first()
+    assert (r.m, r.l, r.hr, r.n) == (0.106, -0.106, 72.5, 300)

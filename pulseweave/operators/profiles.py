@@ -107,20 +107,21 @@ def _recovery(i: Inputs) -> DataFrame:
     return out.select("session_id", "peak_hr_bpm", F.col("peak_end_s").alias("peak_hr_t_s"), F.col("hrr60").alias("hrr60_bpm"), F.col("hrr120").alias("hrr120_bpm"))
 
 
-def _listed(d: DataFrame, value: str, out: str) -> DataFrame:
-    """Minutes of a session in order as two arrays; a recording has a bounded number of them."""
-    rows = F.array_sort(F.collect_list(F.struct(F.col("window_start_s").alias("t"), F.col(value).alias("v"))))
-    return d.groupBy("session_id").agg(rows.alias("_m")).select("session_id", F.transform("_m", lambda x: x["t"]).alias(f"{out}_t_s"), F.transform("_m", lambda x: x["v"]).alias(f"{out}_{'bpm' if 'hr' in out else 'ms'}"))
+def _listed(minutes: DataFrame, rr: DataFrame, value: str, out: str, unit: str) -> DataFrame:
+    """Minutes of a session in order as two arrays, their starts and values; a recording has a bounded number of them."""
+    d = minutes.join(rr.groupBy("session_id").agg(F.min("t_s").alias("_t0")), "session_id")
+    rows = F.array_sort(F.collect_list(F.struct((F.col("_t0") + 60.0 * F.col("window")).alias("t"), F.col(value).alias("v"))))
+    return d.groupBy("session_id").agg(rows.alias("_m")).select("session_id", F.transform("_m", lambda x: x["t"]).alias(f"{out}_t_s"), F.transform("_m", lambda x: x["v"]).alias(f"{out}_{unit}"))
 
 
 def _minutes_hr(i: Inputs) -> DataFrame:
-    return _listed(hrv.per_minute_hr(i.rr), "hr_bpm", "per_minute_hr")
+    return _listed(hrv.per_minute_hr(i.rr), i.rr, "hr_bpm", "per_minute_hr", "bpm")
 
 
 def _minutes_rmssd(i: Inputs) -> DataFrame:
     m = hrv.per_minute_rmssd(i.rr)
     slope = activity.reactivation_slope(m).select("session_id", F.col("slope_ms_per_min").alias("rmssd_reactivation_ms_per_min"))
-    return _listed(m, "rmssd_ms", "per_minute_rmssd").join(slope, "session_id")
+    return _listed(m, i.rr, "rmssd_ms", "per_minute_rmssd", "ms").join(slope, "session_id")
 
 
 def _settling(i: Inputs) -> DataFrame:
@@ -141,8 +142,7 @@ def _coupling(i: Inputs) -> DataFrame:
 
 
 def _lowest(i: Inputs) -> DataFrame:
-    low = hrv.lowest_sustained(i.rr)
-    return low.select("session_id", F.col([c for c in low.columns if c != "session_id"][0]).alias("lowest_sustained_hr_bpm"))
+    return hrv.lowest_sustained_hr(i.rr).select("session_id", F.col("lowest_hr_bpm").alias("lowest_sustained_hr_bpm"))
 
 
 PROVIDERS = {

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import activity, compare, hrv
+from ..operators import activity, compare, hrv, profiles
 from ..session import table
 from .adapter import RR_SQL, beats, excluded, rr_series
 from .registry import Registry, tidy
@@ -174,3 +174,35 @@ FROM g LEFT JOIN bt ON bt.session_id = g.session_id AND bt.bucket = g.bucket LEF
 )
 def minute_table(spark, sf_dir):
     return tidy(compare.minute_table(rr_series(spark, sf_dir), excluded(beats(spark, sf_dir))))
+
+
+_KEYS = tuple(k for k, *_ in activity.PROFILES)
+_NINE = ", ".join(f"({i}, '{k}', {'NULL' if m is None else m}, [{', '.join(repr(c) for c in activity.CAUTIONS.get(k, ()))}]::VARCHAR[], {str(k in ('running', 'cycling')).lower()})" for i, (k, _, _, _, m) in enumerate(activity.PROFILES))
+
+
+@R.add(
+    f"""WITH pr(i, profile, most, ca, hard) AS (VALUES {_NINE}),
+s AS (SELECT o_orderkey, o_orderkey % 9 AS i, (o_orderkey % 100) / 100.0::DOUBLE AS x, 100 + o_orderkey % 90 AS hr FROM orders),
+j AS (SELECT o_orderkey, profile, coalesce(x > most, false) AS na, hard AND greatest(0.0, (hr - 60.0) / 130.0) > 0.7 AS h, ca FROM s JOIN pr ON pr.i = s.i)
+SELECT o_orderkey AS session_id, profile AS profile_key, na AS not_analysable, CASE WHEN na OR h THEN 'time,frequency,nonlinear' ELSE '' END AS suppressed, CASE WHEN na THEN '' ELSE array_to_string(ca, ',') END AS cautions FROM j"""
+)
+def profile_rules(spark, sf_dir):
+    k = F.col("o_orderkey")
+    key = F.array(*map(F.lit, _KEYS))[(k % 9).cast("int")]
+    s = table(spark, sf_dir, "orders").select(k.alias("session_id"), key.alias("profile_key"), (k % 100 / 100.0).alias("excluded_fraction"), (100 + k % 90).alias("mean_hr_bpm"), F.lit(60.0).alias("rest_hr"), F.lit(190.0).alias("max_hr"))
+    return profiles.judged(s).select("session_id", "profile_key", "not_analysable", F.array_join("suppressed", ",").alias("suppressed"), F.array_join("cautions", ",").alias("cautions"))
+
+
+def profile_inputs(spark, sf_dir) -> profiles.Inputs:
+    """Sessions of the events, each of a profile by its number; movement is the mean value of five seconds."""
+    b, rr = beats(spark, sf_dir), rr_series(spark, sf_dir)
+    key = F.array(*map(F.lit, _KEYS))[(F.col("session_id") % 9).cast("int")]
+    s = b.select("session_id").distinct().withColumns({"profile_key": key, "max_hr": F.lit(190.0), "max_hr_basis": F.lit("measured"), "excluded_fraction": F.lit(0.05), "lf_peak_hz": F.lit(0.1)})
+    movement = b.withColumn("k", F.floor(F.col("t_s") / 5.0).cast("long")).groupBy("session_id", "k").agg(F.avg("value").alias("movement"))
+    return profiles.Inputs(s, rr, b.where((F.col("event_type") == "view") & (F.col("beat") >= 100)).select("session_id", "t_s"), movement)
+
+
+@R.add()
+def profile_outputs(spark, sf_dir):
+    out = profiles.outputs(profile_inputs(spark, sf_dir))
+    return out.select("session_id", "profile_key", F.to_json("extras").alias("extras"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import sinks
 from ..functions import grouped
-from ..operators import activity, context, hrv, posture, quality, series, sleep
+from ..operators import activity, context, hrv, nightly, posture, quality, series, sleep
 from ..session import new_folder, table
 from ..sources import landing
 from .adapter import BEATS_SQL, RR_SQL, beats, rr_series
@@ -230,7 +230,53 @@ def session_replace(spark, sf_dir):
     sinks.replace_sessions(rows.withColumn("pipeline_version", F.when(F.col("session_id") % 5 == 4, 2).otherwise(3)), folder)
     for _ in range(2):
         sinks.replace_sessions(rows.where("session_id % 2 = 0").withColumn("pipeline_version", F.lit(4)), folder)
-    return tidy(landing.of_version(spark.read.schema("n long, pipeline_version int, session_id long").parquet(folder), 3).select("session_id", "n", "pipeline_version"))
+    return tidy(landing.of_version(spark.read.parquet(folder), 3).select("session_id", "n", "pipeline_version"))
+
+
+_SYNC = """rq AS (SELECT c_custkey AS person_id, DATE '2025-01-01' + CAST(c_custkey % 40 AS INTEGER) AS s, DATE '2025-01-01' + CAST(c_custkey % 97 AS INTEGER) AS e, DATE '2025-03-15' AS today FROM customer),
+av AS (SELECT DISTINCT o_custkey AS person_id, DATE '2025-01-01' + CAST(o_orderkey % 60 AS INTEGER) AS date FROM orders),
+r AS (SELECT *, today - 28 AS f FROM rq WHERE s <= e),
+ca AS (
+  SELECT person_id, 0 AS step, unnest([{'c': 'sleep', 'i': 0}, {'c': 'recharge', 'i': 1}]) AS x, 'list' AS kind, greatest(s, f) AS a, e AS b FROM r WHERE e >= f
+  UNION ALL SELECT person_id, 1, {'c': 'available', 'i': 0}, 'available', s, least(e, f - 1) FROM r WHERE s < f
+  UNION ALL SELECT r.person_id, 2, unnest([{'c': 'sleep', 'i': 0}, {'c': 'recharge', 'i': 1}]), 'night', av.date, av.date FROM r JOIN av ON av.person_id = r.person_id WHERE s < f AND av.date BETWEEN s AND least(e, f - 1)),
+pl AS (SELECT person_id, row_number() OVER (PARTITION BY person_id ORDER BY step, a, x.i) AS seq, x.c AS call, kind, CAST(a AS DATE) AS from_date, CAST(b AS DATE) AS to_date FROM ca)"""
+
+
+def _sync(spark, sf_dir):
+    k = F.col("c_custkey")
+    day = lambda n: F.date_add(F.lit("2025-01-01").cast("date"), n.cast("int"))
+    requests = table(spark, sf_dir, "customer").select(k.alias("person_id"), day(k % 40).alias("start_date"), day(k % 97).alias("end_date"), F.lit("2025-03-15").cast("date").alias("today"))
+    return nightly.plan(requests, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("person_id"), day(F.col("o_orderkey") % 60).alias("date")))
+
+
+@R.add(f"WITH {_SYNC} SELECT person_id, seq, call, kind, from_date, to_date FROM pl")
+def sync_plan(spark, sf_dir):
+    return tidy(_sync(spark, sf_dir))
+
+
+@R.add(
+    f"""WITH {_SYNC}, an AS (SELECT *, CASE WHEN (person_id * 7 + seq) % 23 = 0 THEN 429 ELSE 200 END AS status FROM pl),
+st AS (SELECT *, coalesce(max(status = 429) OVER (PARTITION BY person_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS b FROM an)
+SELECT person_id, seq, CASE WHEN b THEN 'skipped' WHEN status = 429 THEN 'stopped' ELSE 'made' END AS outcome FROM st"""
+)
+def sync_stops(spark, sf_dir):
+    calls = _sync(spark, sf_dir)
+    answers = calls.select("person_id", "seq", F.when((F.col("person_id") * 7 + F.col("seq")) % 23 == 0, 429).otherwise(200).alias("status"))
+    return tidy(nightly.until_stopped(calls, answers).select("person_id", "seq", "outcome"))
+
+
+@R.add(
+    """WITH h AS (SELECT DISTINCT user_id AS person_id, CAST(ts AS DATE) AS date FROM events), w AS (SELECT person_id, CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM h GROUP BY 1),
+g AS (SELECT * FROM w WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.person_id = w.person_id AND h.date = w.date)),
+r AS (SELECT *, date - CAST(row_number() OVER (PARTITION BY person_id ORDER BY date) AS INTEGER) AS run FROM g),
+p AS (SELECT *, (date - min(date) OVER (PARTITION BY person_id, run)) // 28 AS part FROM r)
+SELECT person_id, min(date) AS from_date, max(date) AS to_date, count(*) AS nights FROM p GROUP BY person_id, run, part"""
+)
+def missing_nights(spark, sf_dir):
+    held = table(spark, sf_dir, "events").select(F.col("user_id").alias("person_id"), F.to_date("ts").alias("date"))
+    ends = held.groupBy("person_id").agg(F.min("date").alias("a"), F.max("date").alias("b"))
+    return nightly.missing_islands(ends.select("person_id", F.explode(F.sequence("a", "b")).alias("date")), held)
 
 
 @R.add(HYP_SQL + " SELECT session_id, epoch, CAST(stage AS BIGINT) AS stage FROM hy")

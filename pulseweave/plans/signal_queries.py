@@ -168,6 +168,15 @@ def stream_write_new(spark, sf_dir):
     return spark.read.parquet(f"{target}/table").groupBy("user_id").agg(F.count("*").alias("n"))
 
 
+@R.add("SELECT user_id, count(*) AS n, round(max(value), 6) AS most FROM events GROUP BY 1")
+def stream_replace(spark, sf_dir):
+    """Every batch replaces the rows of the users that it has, in a table of buckets."""
+    target = new_folder(spark, "replaced")
+    s = _stream(spark, sf_dir).select("user_id", "value")
+    streams.each_batch(s, streams.replace_keys(f"{target}/table", "user_id", 8), f"{target}/state")
+    return tidy(spark.read.parquet(f"{target}/table").groupBy("user_id").agg(F.count("*").alias("n"), F.max("value").alias("most")))
+
+
 @R.add(
     BEATS_SQL
     + """ SELECT session_id, n, round(rr_ms, 6) AS rr_ms FROM raw

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
+from .. import sinks
 from ..session import exists
 
 
@@ -38,22 +39,35 @@ def deduplicated(stream: DataFrame, time: str, keys: list[str], late: str = "1 h
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
 
 
-def intervals(stream: DataFrame, key: str, time: str) -> DataFrame:
-    """key, t_us, rr_ms: differences of arriving beats; the last beat of each key is the state.  Beats of one batch go by time; earlier ones than the state are late and left out."""
+def intervals(stream: DataFrame, key: str, time: str, late: str | None = "1 hour", keep_s: int = 86_400) -> DataFrame:
+    """key, t_us, rr_ms: differences of arriving beats; the last beat of each key is the state.
+
+    Beats of one batch go by time; earlier ones than the state are late and left
+    out.  A key without beats for ``keep_s`` of the stream's time is forgotten,
+    so the state holds the keys in use only; without ``late`` it is kept for ever.
+    """
 
     def run(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         t = pd.concat([f[time] for f in frames]).sort_values()
         t = t.astype("datetime64[us, UTC]" if t.dt.tz else "datetime64[us]").astype("int64")
         last = state.get[0] if state.exists else None
         if last is not None:
             t = t[t >= last]
         if len(t):
-            state.update((int(t.iloc[-1]),))
+            last_us = int(t.iloc[-1])
+            state.update((last_us,))
+            if late is not None:
+                state.setTimeoutTimestamp(max(last_us // 1000, state.getCurrentWatermarkMs()) + 1000 * keep_s)
             if last is not None:
                 t = pd.concat([pd.Series([last]), t])
             yield pd.DataFrame({key: k[0], "t_us": t.iloc[1:], "rr_ms": (t.diff().iloc[1:]) / 1000.0})
 
-    return stream.groupBy(key).applyInPandasWithState(run, f"{key} long, t_us long, rr_ms double", "last long", "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.NoTimeout if late is None else GroupStateTimeout.EventTimeTimeout
+    rows = stream if late is None else stream.withWatermark(time, late)
+    return rows.groupBy(key).applyInPandasWithState(run, f"{key} long, t_us long, rr_ms double", "last long", "append", timeout)
 
 
 def run_available(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
@@ -102,11 +116,11 @@ def write_new(target: str, key: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def replace_keys(target: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """Replaces, for every batch, the partitions of the table at ``target`` that the batch has rows for."""
+def replace_keys(target: str, key: str, buckets: int = sinks.BUCKETS) -> Callable[[DataFrame, int], None]:
+    """Replaces, for every batch, the keys it has rows for in the table at ``target``; a batch whose marker is there is left out."""
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(target)
+    def write(batch: DataFrame, batch_id: int) -> None:
+        sinks.once(batch.sparkSession, target, batch_id, lambda: sinks.replace_sessions(batch, target, key, buckets))
 
     return write
 

@@ -16,7 +16,7 @@ within half the threshold angle of a leader are one ball: by the triangle
 inequality all of them link with each other, so they are counted, not
 enumerated.  Descent runs over leaders, with the radii of the balls added to
 the threshold; a pair of balls that lies wholly within it is counted too, and
-only the pairs in between are compared member by member.
+only the members of pairs in between are compared, in blocks that return counts.
 
 Vectors are compared only if their labels are equal and not null (and their
 lengths are equal).  Null vectors, zero vectors, vectors with null or
@@ -49,17 +49,18 @@ WIDENINGS = 2
 TRIES = 3
 AUDIT, AUDIT_MOST, AUDIT_LINKS = 256, 16384, 64
 RECALL = 0.95
-#: Vectors of a block that is compared exactly.
-EXACT_BLOCK = 1024
+#: Vectors of a block that is compared exactly, and members of a ball that are.
+EXACT_BLOCK, MEMBER_BLOCK = 1024, 256
 BITS = 24
 
 
 @dataclass
 class Deduplicated:
-    """vectors: vec_id, n_links, component_id, kept; recall: as audited; pairs: links between leaders."""
+    """vectors: vec_id, n_links, component_id, kept; recall: as audited; descent_recall: that of the descent alone (None if the audit saw no link); pairs: links between leaders."""
 
     vectors: DataFrame
     recall: float
+    descent_recall: float | None
     pairs: DataFrame
 
 
@@ -280,7 +281,7 @@ def near_duplicates(vectors: DataFrame, *, key: str = "vec_id", vector: str = "e
     size = ball.join(nodes.select("id", "copies"), "id").groupBy("leader").agg(F.max("angle").alias("radius"), F.sum("copies").alias("weight"))
     leaders = scratch.save(nodes.join(size.withColumnRenamed("leader", "id"), "id"), "leaders")
 
-    edges, tries, turn, recall, found = None, 0, 0, 0.0, None
+    edges, tries, turn, recall, own, found = None, 0, 0, 0.0, None, None
     radius = leaders.select("id", "radius")
     while True:
         seeds = (2 * tries, 2 * tries + 1)
@@ -308,7 +309,7 @@ def near_duplicates(vectors: DataFrame, *, key: str = "vec_id", vector: str = "e
         near = _reach(edges, radius, theta).where("linked").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
         rest = _compared(leaders.join(ends.select("id"), "id", "left_semi"), leaders, theta, scratch)
         found = scratch.save(near.union(rest).distinct(), "near")
-        recall = _audit(leaders, edges, found, theta, scratch)
+        recall, own = _audit(leaders, edges, found, near, theta, scratch)
         tries += 1
         if recall >= RECALL:
             break
@@ -326,13 +327,13 @@ def near_duplicates(vectors: DataFrame, *, key: str = "vec_id", vector: str = "e
     whole = exact.where("kind = 'all'")
     members = ball.join(nodes.select("id", "copies"), "id").select("id", "leader", "copies")
     some = exact.where("kind = 'some'").select("a", "b")
-    crossed = some.join(members.select(F.col("leader").alias("a"), F.col("id").alias("x"), F.col("copies").alias("cx")), "a").join(members.select(F.col("leader").alias("b"), F.col("id").alias("y"), F.col("copies").alias("cy")), "b")
-    compared = scratch.save(_angle(crossed.select("a", "b", "x", "y", "cx", "cy"), nodes, "x", "y").where(F.col("cos") >= threshold), "compared")
+    compared = scratch.save(_crossed(some, members, nodes, threshold), "compared")
+    joining = compared.where("id IS NULL").select("a", "b").distinct()
 
     per_ball = whole.select(F.col("a").alias("leader"), F.col("wb").alias("n")).union(whole.select("b", "wa")).groupBy("leader").agg(F.sum("n").alias("beside"))
     per_ball = leaders.select(F.col("id").alias("leader"), (F.col("weight") - 1).alias("inside")).join(per_ball, "leader", "left")
-    per_node = compared.select(F.col("x").alias("id"), F.col("cy").alias("n")).union(compared.select("y", "cx")).groupBy("id").agg(F.sum("n").alias("more"))
-    joined = whole.select("a", "b").union(compared.select("a", "b")).union(ball.where("id <> leader").select("id", "leader"))
+    per_node = compared.where("id IS NOT NULL").groupBy("id").agg(F.sum("n").alias("more"))
+    joined = whole.select("a", "b").union(joining).union(ball.where("id <> leader").select("id", "leader"))
     labels = connected(joined.toDF("a", "b"), scratch)
     counted = members.join(per_ball, "leader").join(per_node, "id", "left").join(labels.select(F.col("node").alias("id"), "label"), "id", "left")
     counted = counted.select("id", (F.col("inside") + F.coalesce("beside", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("label", "id").alias("component_id"))
@@ -340,7 +341,56 @@ def near_duplicates(vectors: DataFrame, *, key: str = "vec_id", vector: str = "e
     out = ready.join(of, ["g", "v"]).select("vec_id", "n_links", "component_id")
     rest = rows.where(~F.coalesce(good, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = out.union(rest).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
-    return Deduplicated(out, recall, whole.select("a", "b"))
+    return Deduplicated(out, recall, own, whole.select("a", "b"))
+
+
+def _crossed(pairs: DataFrame, members: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Members of two balls (a, b) that lie partly within reach, compared in blocks of up to MEMBER_BLOCK.
+
+    id, n: links of a member into the other ball, those of a block added up;
+    a, b (with id null): balls that at least one link joins, which is enough,
+    for all members of a ball are linked with one another.
+    """
+    balls_ = pairs.select(F.explode(F.array("a", "b")).alias("leader")).distinct()
+    rows = members.join(balls_, "leader", "left_semi").join(nodes.select("id", "v"), "id").select("leader", "id", "v", "copies")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids: list[int] = []
+        vectors: list[bytes] = []
+        copies: list[int] = []
+        at = None
+
+        def out() -> pa.RecordBatch:
+            return _arrow("leader ids m c", pa.array([at], pa.int64()), pa.array([np.array(ids, "<i8").tobytes()]), pa.array([b"".join(vectors)]), pa.array([np.array(copies, "<i8").tobytes()]))
+
+        for batch in batches:
+            for g, i, v, c in zip(*(batch.column(n).to_pylist() for n in ("leader", "id", "v", "copies")), strict=True):
+                if ids and (g != at or len(ids) == MEMBER_BLOCK):
+                    yield out()
+                    ids, vectors, copies = [], [], []
+                at = g
+                ids.append(i)
+                vectors.append(v)
+                copies.append(c)
+        if ids:
+            yield out()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                i, j = np.frombuffer(r["ia"], "<i8"), np.frombuffer(r["ib"], "<i8")
+                hit = np.frombuffer(r["ma"], "<f8").reshape(len(i), -1) @ np.frombuffer(r["mb"], "<f8").reshape(len(j), -1).T >= threshold
+                if hit.any():
+                    n = np.concatenate([hit @ np.frombuffer(r["cb"], "<i8"), np.frombuffer(r["ca"], "<i8") @ hit])
+                    found = n > 0
+                    k = int(found.sum())
+                    ids = pa.array(np.concatenate([i, j])[found].tolist() + [None], pa.int64())
+                    yield _arrow("a b id n", pa.array([r["a"]] * (k + 1), pa.int64()), pa.array([r["b"]] * (k + 1), pa.int64()), ids, pa.array(np.append(n[found], 0), pa.int64()))
+
+    blocks = rows.repartitionByRange("leader", "id").sortWithinPartitions("leader", "id").mapInArrow(pack, "leader long, ids binary, m binary, c binary")
+    one = blocks.toDF("a", "ia", "ma", "ca")
+    two = blocks.toDF("b", "ib", "mb", "cb")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "ia", "ma", "ca", "ib", "mb", "cb").mapInArrow(run, "a long, b long, id long, n long")
 
 
 def _reach(edges: DataFrame, radius: DataFrame, theta: float) -> DataFrame:
@@ -402,8 +452,8 @@ def _compared(asked: DataFrame, leaders: DataFrame, theta: float, scratch: Scrat
     asked = scratch.save(asked.select("g", "id", "v", "radius"), "asked")
     one = scratch.save(_packed(asked, asked.count()), "asked-blocks")
     two = one if asked.count() == leaders.count() else scratch.save(_packed(leaders, leaders.count()), "blocks")
-    # every pair of blocks of one g meets in one cell of a square
-    side = max(1, min(16, -(-two.count() // 8)))
+    # every pair of blocks of one g meets in one cell of a square, whose side grows with the root of the blocks
+    side = max(1, math.isqrt(two.count()))
     cells = F.explode(F.sequence(F.lit(0), F.lit(side - 1)))
     place = F.pmod(F.xxhash64("ids"), F.lit(side)).cast("int")
     left = one.withColumn("x", place).withColumn("y", cells)
@@ -412,8 +462,8 @@ def _compared(asked: DataFrame, leaders: DataFrame, theta: float, scratch: Scrat
     return scratch.save(pairs.mapInArrow(run, "a long, b long").distinct(), "compared")
 
 
-def _audit(leaders: DataFrame, edges: DataFrame, found: DataFrame, theta: float, scratch: Scratch) -> float:
-    """The part that the graph has of the true links of a sample of leaders; 0.0 if too few links were seen to tell.
+def _audit(leaders: DataFrame, edges: DataFrame, found: DataFrame, descended: DataFrame, theta: float, scratch: Scratch) -> tuple[float, float | None]:
+    """The part that the graph has of the true links of a sample of leaders (0.0 if too few links were seen to tell), and the part that the descent alone had (None if none was seen).
 
     One half is drawn from all leaders and one from those with a candidate a little beyond reach.
     """
@@ -428,6 +478,8 @@ def _audit(leaders: DataFrame, edges: DataFrame, found: DataFrame, theta: float,
         if n >= AUDIT_LINKS or size >= min(total, AUDIT_MOST):
             break
         size *= 8
+    part = lambda graph: true.join(graph, ["a", "b"], "left_semi").count() / n
+    own = part(descended.distinct()) if n else None
     if n < AUDIT_LINKS and size < total:
-        return 0.0
-    return true.join(found, ["a", "b"], "left_semi").count() / n if n else 1.0
+        return 0.0, own
+    return (part(found) if n else 1.0), own

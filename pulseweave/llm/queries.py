@@ -52,7 +52,8 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings")).vectors
+    found = embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return found.vectors.withColumns({"recall": F.lit(found.recall), "descent_recall": F.lit(found.descent_recall).cast("double")})
 
 
 def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

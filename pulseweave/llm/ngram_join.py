@@ -413,7 +413,8 @@ def _join(docs: DataFrame, scratch: Scratch, width: int) -> Joined:
     # prefix shingles that several nodes share
     posts = prefixes(sets, rank)
     heads = scratch.save(posts.groupBy("token").agg(F.count("*").alias("size")).where("size > 1"), "heads")
-    lists = scratch.save(posts.join(heads, "token"), "lists")
+    # the shared shingles grow with the corpus: a shuffled join at every size, whose skewed keys Spark can split, never a broadcast
+    lists = scratch.save(posts.join(heads.hint("merge"), "token"), "lists")
     scratch.drop(heads)
 
     # step 1: short lists pair by pair, long ones against their pivots

@@ -64,7 +64,8 @@ def copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     kept = groups.join(keyed.select(key, "doc_id").distinct(), key).groupBy("component").agg(first).select(F.col("first.row").alias(key), "first.times", "first.n")
     kept = Scratch(spark, "copies").save(kept, "kept")
     once = (F.col("times") == 1) | (F.col("n") == 0)  # texts without words are in no group
-    one = keyed.join(kept.where(once), key, "left_semi").select(*cols)
+    # as many rows as the corpus keeps: shuffled at every size, never broadcast
+    one = keyed.join(kept.where(once).hint("merge"), key, "left_semi").select(*cols)
     more = kept.where(~once).select(key)
     if more.count() * 16 <= ngram_join.BROADCAST_BYTES:  # few rows repeat in full as a rule; else the texts are shuffled once more
         more = F.broadcast(more)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -110,3 +112,40 @@ def motion_degraded(beats: DataFrame, windows_: DataFrame, width: float = WINDOW
     b = beats.join(med.select("session_id", "_t0"), "session_id", "left").withColumn("k", F.floor((F.col("t_s") - F.col("_t0")) / width).cast("long"))
     hit = F.coalesce(F.col("motion") & (F.col("t_s") < F.col("end_s")), F.lit(False))
     return b.join(w, ["session_id", "k"], "left").withColumn("motion", hit).drop("k", "end_s", "_t0")
+
+
+#: The version of stored windows from which all that ``from_stored`` needs is there.
+STORED_VERSION = 3
+
+
+def to_store(windows_: DataFrame, version: int = STORED_VERSION) -> DataFrame:
+    """Quality windows as they are kept: session_id, start_s, sqi_mean, wander_rms_mv, excluded, version; no samples, no reasons."""
+    return windows_.select("session_id", "start_s", "sqi_mean", "wander_rms_mv", "excluded", F.lit(version).alias("version"))
+
+
+@dataclass
+class Stored:
+    """windows, segments and totals (session_id, excluded_s, analysed_s) rebuilt, and the sessions that have to be made from their samples again (stale)."""
+
+    windows: DataFrame
+    segments: DataFrame
+    totals: DataFrame
+    stale: DataFrame
+
+
+def from_stored(stored: DataFrame, wanted: DataFrame, least: int = STORED_VERSION, width: float = WINDOW_S) -> Stored:
+    """Quality of the sessions of ``wanted`` (session_id) from stored windows, without samples.
+
+    Windows end ``width`` behind their start: the last one of a recording, which
+    the samples cut short, is whole here, so totals can be up to ``width``
+    longer.  Reasons are not stored; excluded windows say so.  Sessions that are
+    not there, or written before version ``least``, are stale.
+    """
+    ok = stored.join(wanted.select("session_id").distinct(), "session_id", "left_semi").where(F.col("version") >= least)
+    reasons = F.when(F.col("excluded"), F.array(F.lit("excluded when it was stored"))).otherwise(F.array().cast("array<string>"))
+    k = F.row_number().over(by_session("start_s")) - 1
+    w = ok.select("session_id", k.cast("long").alias("k"), "start_s", (F.col("start_s") + width).alias("end_s"), "sqi_mean", "wander_rms_mv", reasons.alias("reasons"), "excluded")
+    segments = merge_excluded(w)
+    lengths = w.groupBy("session_id").agg((F.count("*") * width).alias("duration_s"))
+    stale = wanted.select("session_id").distinct().join(ok.select("session_id").distinct(), "session_id", "left_anti")
+    return Stored(w, segments, totals(segments, lengths).drop("duration_s"), stale)

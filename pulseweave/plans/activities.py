@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import activity, compare, hrv, profiles
+from ..operators import activity, compare, hrv, profiles, report
 from ..session import table
-from .adapter import RR_SQL, beats, excluded, rr_series
+from .adapter import BEATS_SQL, RR_SQL, beats, excluded, rr_series
 from .registry import Registry, tidy
 from .rhythm import _ANCHORED
 
@@ -163,12 +163,16 @@ def minmax_decimate(spark, sf_dir):
     return tidy(compare.decimate(rr_series(spark, sf_dir), "t_s", "rr_ms", 50))
 
 
-@R.add(
-    RR_SQL
-    + """, e AS (SELECT session_id, CASE WHEN max(t_s) > 10800 THEN 5 ELSE 1 END AS w, max(t_s) AS t1 FROM rr GROUP BY 1),
+_MINUTE_ROWS = """, e AS (SELECT session_id, CASE WHEN max(t_s) > 10800 THEN 5 ELSE 1 END AS w, max(t_s) AS t1 FROM rr GROUP BY 1),
 g AS (SELECT session_id, w, unnest(generate_series(0, CAST(floor(t1 / (60 * w)) AS BIGINT))) AS bucket FROM e),
 bt AS (SELECT rr.session_id, CAST(floor(t_s / (60 * w)) AS BIGINT) AS bucket, count(*) AS n, 60000.0 / avg(rr_ms) AS hr FROM rr JOIN e ON e.session_id = rr.session_id GROUP BY 1, 2),
-ex AS (SELECT g.session_id, g.bucket, sum(greatest(0.0, least(end_s, (g.bucket + 1) * 60.0 * w) - greatest(start_s, g.bucket * 60.0 * w))) AS x FROM g JOIN seg ON seg.session_id = g.session_id GROUP BY 1, 2)
+ex AS (SELECT g.session_id, g.bucket, sum(greatest(0.0, least(end_s, (g.bucket + 1) * 60.0 * w) - greatest(start_s, g.bucket * 60.0 * w))) AS x FROM g JOIN seg ON seg.session_id = g.session_id GROUP BY 1, 2)"""
+
+
+@R.add(
+    RR_SQL
+    + _MINUTE_ROWS
+    + """
 SELECT g.session_id, g.bucket, CAST(w AS BIGINT) AS width, coalesce(n, 0) AS n_beats, round(CASE WHEN n >= 5 * w THEN hr END, 6) AS hr_bpm, round(coalesce(x, 0), 6) AS excluded_s
 FROM g LEFT JOIN bt ON bt.session_id = g.session_id AND bt.bucket = g.bucket LEFT JOIN ex ON ex.session_id = g.session_id AND ex.bucket = g.bucket"""
 )
@@ -206,3 +210,78 @@ def profile_inputs(spark, sf_dir) -> profiles.Inputs:
 def profile_outputs(spark, sf_dir):
     out = profiles.outputs(profile_inputs(spark, sf_dir))
     return out.select("session_id", "profile_key", F.to_json("extras").alias("extras"))
+
+
+@R.add(
+    RR_SQL
+    + _MINUTE_ROWS
+    + """,
+mt AS (SELECT *, CAST(floor((t_s - min(t_s) OVER (PARTITION BY session_id)) / 60.0) AS BIGINT) AS k, min(t_s) OVER (PARTITION BY session_id) AS t0 FROM dd),
+md AS (SELECT *, CASE WHEN lag(k) OVER (PARTITION BY session_id ORDER BY n) = k THEN d_ms END AS d FROM mt),
+mk AS (SELECT session_id, k, t0 + 60.0 * k AS start_s, CASE WHEN count(*) >= 10 THEN stddev_samp(rr_ms) END AS sdnn, CASE WHEN count(d) >= 10 THEN sqrt(avg(d * d)) END AS rmssd FROM md GROUP BY session_id, k, t0),
+mb AS (SELECT mk.session_id, CAST(floor(start_s / (60.0 * w)) AS BIGINT) AS bucket, avg(sdnn) AS sdnn, avg(rmssd) AS rmssd FROM mk JOIN e ON e.session_id = mk.session_id GROUP BY 1, 2),
+mq AS (SELECT beats.session_id, CAST(floor(t_s / (60.0 * w)) AS BIGINT) AS bucket, avg(k / 100.0::DOUBLE) AS sqi FROM beats JOIN e ON e.session_id = beats.session_id WHERE k IS NOT NULL GROUP BY 1, 2)
+SELECT g.session_id, g.bucket, CAST(w AS BIGINT) AS width, coalesce(bt.n, 0) AS n_beats, round(CASE WHEN bt.n >= 5 * w THEN bt.hr END, 6) AS hr_bpm, round(coalesce(x, 0), 6) AS excluded_s, round(sdnn, 6) AS sdnn_ms, round(rmssd, 6) AS rmssd_ms, round(sqi, 6) AS sqi
+FROM g LEFT JOIN bt ON bt.session_id = g.session_id AND bt.bucket = g.bucket LEFT JOIN ex ON ex.session_id = g.session_id AND ex.bucket = g.bucket
+LEFT JOIN mb ON mb.session_id = g.session_id AND mb.bucket = g.bucket LEFT JOIN mq ON mq.session_id = g.session_id AND mq.bucket = g.bucket"""
+)
+def report_minutes(spark, sf_dir):
+    b = beats(spark, sf_dir)
+    windows = b.select("session_id", F.col("t_s").alias("start_s"), (F.col("k") / 100.0).alias("sqi_mean"))
+    return tidy(report.minutes(rr_series(spark, sf_dir), excluded(b), windows))
+
+
+@R.add(BEATS_SQL + " SELECT session_id, beat, place FROM (SELECT session_id, beat, row_number() OVER (PARTITION BY session_id ORDER BY value, beat) AS place FROM beats WHERE value IS NOT NULL) WHERE place <= 60")
+def least_likely_beats(spark, sf_dir):
+    return tidy(report.least_likely(beats(spark, sf_dir), "value").select("session_id", "beat", "place"))
+
+
+@R.add(
+    BEATS_SQL
+    + """,
+du AS (SELECT session_id, max(t_s) AS d FROM beats GROUP BY 1), wo AS (SELECT session_id, t_s FROM beats WHERE value IS NOT NULL QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY value, beat) = 1),
+pl AS (SELECT session_id, 'opening' AS label, 0.0 AS s, d FROM du UNION ALL SELECT session_id, 'middle', (d - 10.0) / 2.0, d FROM du WHERE d > 30 UNION ALL SELECT session_id, 'closing', d - 10.0, d FROM du WHERE d > 20
+  UNION ALL SELECT du.session_id, 'worst', greatest(0.0, least(t_s - 5.0, d - 10.0)), d FROM du JOIN wo ON wo.session_id = du.session_id),
+sa AS (SELECT session_id, beat AS i, t_s, value AS x FROM beats),
+hi AS (SELECT sa.session_id, label, i, t_s - s AS at_s, x, count(*) OVER (PARTITION BY sa.session_id, label) AS n FROM sa JOIN pl ON pl.session_id = sa.session_id AND t_s >= s AND t_s < s + least(10.0, d))
+SELECT session_id, label, i, round(at_s, 6) AS at_s, round(x, 6) AS x FROM hi WHERE n >= 10"""
+)
+def report_strips(spark, sf_dir):
+    b = beats(spark, sf_dir)
+    worst = report.least_likely(b, "value", 1)
+    where = report.places(b.groupBy("session_id").agg(F.max("t_s").alias("duration_s")), worst)
+    return tidy(report.strips(b.select("session_id", F.col("beat").alias("i"), "t_s", F.col("value").alias("x")), where))
+
+
+@R.add(
+    BEATS_SQL
+    + """, hs AS (SELECT session_id, beat AS epoch, CAST(k % 3 AS BIGINT) AS stage FROM beats WHERE beat % 10 <> 7),
+hr AS (SELECT *, sum(CASE WHEN lag_s IS NOT DISTINCT FROM stage AND lag_e = epoch - 1 THEN 0 ELSE 1 END) OVER (PARTITION BY session_id ORDER BY epoch) AS run FROM (SELECT *, lag(stage) OVER w AS lag_s, lag(epoch) OVER w AS lag_e FROM hs WINDOW w AS (PARTITION BY session_id ORDER BY epoch)))
+SELECT session_id, any_value(stage) AS stage, min(epoch) * 30.0::DOUBLE AS start_s, (max(epoch) + 1) * 30.0::DOUBLE AS end_s, count(*) AS epochs FROM hr GROUP BY session_id, run"""
+)
+def hypnogram_steps(spark, sf_dir):
+    h = beats(spark, sf_dir).where("beat % 10 <> 7").select("session_id", F.col("beat").alias("epoch"), (F.col("k") % 3).alias("stage"))
+    return tidy(report.steps(h, "stage"))
+
+
+_SIXTEEN = {
+    "analysed_min": "CASE WHEN n <> 0 THEN n / 60.0::DOUBLE END", "excluded_s": "t", "pct_corrected": "d * 100", "mean_hr_bpm": "p / 1000", "ectopy_per_hour": "q", "resting_hr_bpm": "q + 1", "rmssd_ms": "q - 5",
+    "ln_rmssd": "CASE WHEN q - 5 > 0 THEN ln(q - 5) END", "sdnn_ms": "p", "pnn50_pct": "d", "sd1_ms": "q", "sd2_ms": "p", "sd1_sd2_ratio": "q / p", "sampen": "t", "dfa_alpha1": "d", "lf_hf": "CASE WHEN q > 10 THEN p / q END",
+}
+
+
+@R.add(
+    """WITH a AS (SELECT o_custkey, o_orderkey, CAST(count(*) AS DOUBLE) AS n, avg(CAST(l_tax AS DOUBLE)) AS t, avg(CAST(l_discount AS DOUBLE)) AS d, avg(CAST(l_quantity AS DOUBLE)) AS q, avg(CAST(l_extendedprice AS DOUBLE)) AS p FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2),
+l AS ("""
+    + " UNION ALL ".join(f"SELECT o_custkey, o_orderkey, {i + 1} AS place, '{m}' AS metric, {x} AS value FROM a" for i, (m, x) in enumerate(_SIXTEEN.items()))
+    + """)
+SELECT o_custkey, o_orderkey, CAST(place AS BIGINT) AS place, metric, round(value, 5) AS value, round(value - first_value(value) OVER (PARTITION BY o_custkey, metric ORDER BY o_orderkey), 5) AS delta FROM l"""
+)
+def comparison_table(spark, sf_dir):
+    l = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_tax", "l_discount", "l_quantity", "l_extendedprice")
+    a = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey").join(l, "o_orderkey").groupBy("o_custkey", "o_orderkey")
+    a = a.agg(F.count("*").cast("double").alias("n"), *[F.avg(F.col(c).cast("double")).alias(k) for k, c in (("t", "l_tax"), ("d", "l_discount"), ("q", "l_quantity"), ("p", "l_extendedprice"))])
+    q, p, t, d = (F.col(c) for c in "qptd")
+    values = {"analysed_s": F.col("n"), "excluded_s": t, "pct_corrected": d * 100, "mean_hr_bpm": p / 1000, "ectopy_per_hour": q, "resting_hr_bpm": q + 1, "rmssd_ms": q - 5, "sdnn_ms": p, "pnn50_pct": d, "sd1_ms": q, "sd2_ms": p, "sd1_sd2_ratio": q / p, "sampen": t, "dfa_alpha1": d, "lf_hf": F.when(q > 10, p / q)}
+    s = a.select("o_custkey", "o_orderkey", *[c.alias(k) for k, c in values.items()])
+    return tidy(report.comparison(s, ["o_custkey"], ["o_orderkey"]).drop("label", "unit"), 5)

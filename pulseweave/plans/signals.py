@@ -214,3 +214,22 @@ def softmax_scores(spark, sf_dir):
     s = F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double"))
     e = table(spark, sf_dir, "embeddings").select("vec_id", morphology.softmax(s).alias("p"))
     return tidy(e.select("vec_id", *[F.col("p")[i].alias(f"p{i}") for i in range(4)]))
+
+
+@R.add(
+    SAMPLES_SQL
+    + """,
+sw AS (SELECT session_id, start_s, (k % 4 = 0) AS excluded FROM (SELECT session_id, beat AS k, beat * 5.0::DOUBLE AS start_s FROM beats WHERE beat < 200 AND session_id % 7 <> 3)),
+sr AS (SELECT *, CAST(start_s / 5 AS BIGINT) - row_number() OVER (PARTITION BY session_id ORDER BY start_s) AS run FROM sw WHERE excluded),
+sg AS (SELECT session_id, sum(e - s) AS x FROM (SELECT session_id, run, min(start_s) AS s, max(start_s) + 5.0 AS e FROM sr GROUP BY 1, 2) GROUP BY 1),
+sn AS (SELECT session_id, count(*) * 5.0 AS d FROM sw GROUP BY 1)
+SELECT b.session_id, b.session_id % 7 = 3 AS stale, round(CASE WHEN d IS NOT NULL THEN coalesce(x, 0) END, 6) AS excluded_s, round(d - coalesce(x, 0), 6) AS analysed_s
+FROM (SELECT DISTINCT session_id FROM beats) b LEFT JOIN sn ON sn.session_id = b.session_id LEFT JOIN sg ON sg.session_id = b.session_id"""
+)
+def stored_quality(spark, sf_dir):
+    b = beats(spark, sf_dir)
+    w = b.where("beat < 200").select("session_id", (F.col("beat") * 5.0).alias("start_s"), F.lit(0.9).alias("sqi_mean"), F.lit(0.1).alias("wander_rms_mv"), (F.col("beat") % 4 == 0).alias("excluded"))
+    stored = quality.to_store(w).withColumn("version", F.when(F.col("session_id") % 7 == 3, 2).otherwise(3))
+    s, ids = quality.from_stored(stored, b), b.select("session_id").distinct()
+    out = ids.join(s.stale.withColumn("stale", F.lit(True)), "session_id", "left").join(s.totals, "session_id", "left")
+    return tidy(out.select("session_id", F.coalesce("stale", F.lit(False)).alias("stale"), "excluded_s", "analysed_s"))

@@ -265,7 +265,7 @@ def hypnogram_steps(spark, sf_dir):
 
 
 _SIXTEEN = {
-    "analysed_min": "CASE WHEN n <> 0 THEN n / 60.0::DOUBLE END", "excluded_s": "t", "pct_corrected": "d * 100", "mean_hr_bpm": "p / 1000", "ectopy_per_hour": "q", "resting_hr_bpm": "q + 1", "rmssd_ms": "q - 5",
+    "analysed_min": "CASE WHEN n <> 0 THEN n / 60.0::DOUBLE END", "excluded_s": "t", "pct_corrected": "d * 100", "mean_hr_bpm": "p / 700", "ectopy_per_hour": "q", "resting_hr_bpm": "q + 1", "rmssd_ms": "q - 5",
     "ln_rmssd": "CASE WHEN q - 5 > 0 THEN ln(q - 5) END", "sdnn_ms": "p", "pnn50_pct": "d", "sd1_ms": "q", "sd2_ms": "p", "sd1_sd2_ratio": "q / p", "sampen": "t", "dfa_alpha1": "d", "lf_hf": "CASE WHEN q > 10 THEN p / q END",
 }
 
@@ -282,6 +282,6 @@ def comparison_table(spark, sf_dir):
     a = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey").join(l, "o_orderkey").groupBy("o_custkey", "o_orderkey")
     a = a.agg(F.count("*").cast("double").alias("n"), *[F.avg(F.col(c).cast("double")).alias(k) for k, c in (("t", "l_tax"), ("d", "l_discount"), ("q", "l_quantity"), ("p", "l_extendedprice"))])
     q, p, t, d = (F.col(c) for c in "qptd")
-    values = {"analysed_s": F.col("n"), "excluded_s": t, "pct_corrected": d * 100, "mean_hr_bpm": p / 1000, "ectopy_per_hour": q, "resting_hr_bpm": q + 1, "rmssd_ms": q - 5, "sdnn_ms": p, "pnn50_pct": d, "sd1_ms": q, "sd2_ms": p, "sd1_sd2_ratio": q / p, "sampen": t, "dfa_alpha1": d, "lf_hf": F.when(q > 10, p / q)}
+    values = {"analysed_s": F.col("n"), "excluded_s": t, "pct_corrected": d * 100, "mean_hr_bpm": p / 700, "ectopy_per_hour": q, "resting_hr_bpm": q + 1, "rmssd_ms": q - 5, "sdnn_ms": p, "pnn50_pct": d, "sd1_ms": q, "sd2_ms": p, "sd1_sd2_ratio": q / p, "sampen": t, "dfa_alpha1": d, "lf_hf": F.when(q > 10, p / q)}
     s = a.select("o_custkey", "o_orderkey", *[c.alias(k) for k, c in values.items()])
     return tidy(report.comparison(s, ["o_custkey"], ["o_orderkey"]).drop("label", "unit"), 5)

@@ -220,14 +220,14 @@ mt AS (SELECT *, CAST(floor((t_s - min(t_s) OVER (PARTITION BY session_id)) / 60
 md AS (SELECT *, CASE WHEN lag(k) OVER (PARTITION BY session_id ORDER BY n) = k THEN d_ms END AS d FROM mt),
 mk AS (SELECT session_id, k, t0 + 60.0 * k AS start_s, CASE WHEN count(*) >= 10 THEN stddev_samp(rr_ms) END AS sdnn, CASE WHEN count(d) >= 10 THEN sqrt(avg(d * d)) END AS rmssd FROM md GROUP BY session_id, k, t0),
 mb AS (SELECT mk.session_id, CAST(floor(start_s / (60.0 * w)) AS BIGINT) AS bucket, avg(sdnn) AS sdnn, avg(rmssd) AS rmssd FROM mk JOIN e ON e.session_id = mk.session_id GROUP BY 1, 2),
-mq AS (SELECT beats.session_id, CAST(floor(t_s / (60.0 * w)) AS BIGINT) AS bucket, avg(k / 100.0::DOUBLE) AS sqi FROM beats JOIN e ON e.session_id = beats.session_id WHERE k IS NOT NULL GROUP BY 1, 2)
+mq AS (SELECT beats.session_id, CAST(floor(t_s / (60.0 * w)) AS BIGINT) AS bucket, avg(k / 97.0::DOUBLE) AS sqi FROM beats JOIN e ON e.session_id = beats.session_id WHERE k IS NOT NULL GROUP BY 1, 2)
 SELECT g.session_id, g.bucket, CAST(w AS BIGINT) AS width, coalesce(bt.n, 0) AS n_beats, round(CASE WHEN bt.n >= 5 * w THEN bt.hr END, 6) AS hr_bpm, round(coalesce(x, 0), 6) AS excluded_s, round(sdnn, 6) AS sdnn_ms, round(rmssd, 6) AS rmssd_ms, round(sqi, 6) AS sqi
 FROM g LEFT JOIN bt ON bt.session_id = g.session_id AND bt.bucket = g.bucket LEFT JOIN ex ON ex.session_id = g.session_id AND ex.bucket = g.bucket
 LEFT JOIN mb ON mb.session_id = g.session_id AND mb.bucket = g.bucket LEFT JOIN mq ON mq.session_id = g.session_id AND mq.bucket = g.bucket"""
 )
 def report_minutes(spark, sf_dir):
     b = beats(spark, sf_dir)
-    windows = b.select("session_id", F.col("t_s").alias("start_s"), (F.col("k") / 100.0).alias("sqi_mean"))
+    windows = b.select("session_id", F.col("t_s").alias("start_s"), (F.col("k") / 97.0).alias("sqi_mean"))
     return tidy(report.minutes(rr_series(spark, sf_dir), excluded(b), windows))
 
 
@@ -265,8 +265,8 @@ def hypnogram_steps(spark, sf_dir):
 
 
 _SIXTEEN = {
-    "analysed_min": "CASE WHEN n <> 0 THEN n / 60.0::DOUBLE END", "excluded_s": "t", "pct_corrected": "d * 100", "mean_hr_bpm": "p / 700", "ectopy_per_hour": "q", "resting_hr_bpm": "q + 1", "rmssd_ms": "q - 5",
-    "ln_rmssd": "CASE WHEN q - 5 > 0 THEN ln(q - 5) END", "sdnn_ms": "p", "pnn50_pct": "d", "sd1_ms": "q", "sd2_ms": "p", "sd1_sd2_ratio": "q / p", "sampen": "t", "dfa_alpha1": "d", "lf_hf": "CASE WHEN q > 10 THEN p / q END",
+    "analysed_min": "CASE WHEN n <> 0 THEN n / 60.0::DOUBLE END", "excluded_s": "t", "pct_corrected": "d * 100", "mean_hr_bpm": "sqrt(p)", "ectopy_per_hour": "q", "resting_hr_bpm": "q + 1", "rmssd_ms": "q - 5",
+    "ln_rmssd": "CASE WHEN q - 5 > 0 THEN ln(q - 5) END", "sdnn_ms": "p", "pnn50_pct": "d", "sd1_ms": "q", "sd2_ms": "p", "sd1_sd2_ratio": "q / sqrt(p)", "sampen": "t", "dfa_alpha1": "d", "lf_hf": "CASE WHEN q > 10 THEN sqrt(p) / q END",
 }
 
 
@@ -282,6 +282,6 @@ def comparison_table(spark, sf_dir):
     a = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey").join(l, "o_orderkey").groupBy("o_custkey", "o_orderkey")
     a = a.agg(F.count("*").cast("double").alias("n"), *[F.avg(F.col(c).cast("double")).alias(k) for k, c in (("t", "l_tax"), ("d", "l_discount"), ("q", "l_quantity"), ("p", "l_extendedprice"))])
     q, p, t, d = (F.col(c) for c in "qptd")
-    values = {"analysed_s": F.col("n"), "excluded_s": t, "pct_corrected": d * 100, "mean_hr_bpm": p / 700, "ectopy_per_hour": q, "resting_hr_bpm": q + 1, "rmssd_ms": q - 5, "sdnn_ms": p, "pnn50_pct": d, "sd1_ms": q, "sd2_ms": p, "sd1_sd2_ratio": q / p, "sampen": t, "dfa_alpha1": d, "lf_hf": F.when(q > 10, p / q)}
+    values = {"analysed_s": F.col("n"), "excluded_s": t, "pct_corrected": d * 100, "mean_hr_bpm": F.sqrt(p), "ectopy_per_hour": q, "resting_hr_bpm": q + 1, "rmssd_ms": q - 5, "sdnn_ms": p, "pnn50_pct": d, "sd1_ms": q, "sd2_ms": p, "sd1_sd2_ratio": q / F.sqrt(p), "sampen": t, "dfa_alpha1": d, "lf_hf": F.when(q > 10, F.sqrt(p) / q)}
     s = a.select("o_custkey", "o_orderkey", *[c.alias(k) for k, c in values.items()])
     return tidy(report.comparison(s, ["o_custkey"], ["o_orderkey"]).drop("label", "unit"), 5)

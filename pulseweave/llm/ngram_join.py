@@ -62,7 +62,7 @@ SKETCH_BITS, SKETCH_BLOCKS = 20, 16
 #: Lists of up to this many nodes are compared pair by pair; longer ones have so many pivots.
 SHORT, PIVOTS = 8, 4
 #: A block has about so many nodes and shingles.
-BLOCK_NODES, BLOCK_SHINGLES = 128, 1 << 17
+BLOCK_NODES, BLOCK_SHINGLES = 256, 1 << 18
 #: Node ids are broadcast to the sets while they take up to so many bytes, and both are shuffled beyond.
 BROADCAST_BYTES = 16 << 20
 SIGNATURE_BITS = (128, 8192)

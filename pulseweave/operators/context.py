@@ -123,12 +123,20 @@ def outside_ranges(df: DataFrame, ranges: Sequence[tuple[str, float, float]], or
 
 
 def rates_by_tag(rates: DataFrame, tags: DataFrame) -> DataFrame:
-    """tag, session_id, rate: the rates (session_id, rate) of the sessions with each tag in use (session_id, tag), and of all sessions once, with tag null.
+    """tag, tagged, untagged: the rates (session_id, rate) of sessions with and without each tag in use (session_id, tag), sorted.
 
-    Sessions without a tag are all sessions less those with it, so they are not repeated for every tag.
+    Sessions are counted by rate, once in all and once for each tag they have;
+    those without a tag are all less those with it.  So no session is repeated
+    for the tags it lacks, and what is brought together is counts of rates.
     """
-    tagged = tags.select("session_id", "tag").where("tag IS NOT NULL").distinct().join(rates, "session_id").select("tag", "session_id", "rate")
-    return tagged.union(rates.select(F.lit(None).cast(tagged.schema["tag"].dataType).alias("tag"), "session_id", "rate"))
+    known = rates.where("rate IS NOT NULL")
+    every = known.groupBy("rate").agg(F.count("*").alias("_all"))
+    marked = tags.select("session_id", "tag").where("tag IS NOT NULL").distinct()
+    having = marked.join(known, "session_id").groupBy("tag", "rate").agg(F.count("*").alias("_with"))
+    counts = every.crossJoin(marked.select("tag").distinct()).join(having, ["tag", "rate"], "left").withColumn("_with", F.coalesce("_with", F.lit(0)))
+    both = counts.groupBy("tag").agg(F.array_sort(F.collect_list(F.struct("rate", "_with", (F.col("_all") - F.col("_with")).alias("_rest")))).alias("_c"))
+    spread = lambda n: F.flatten(F.transform("_c", lambda c: F.array_repeat(c["rate"], c[n].cast("int"))))
+    return both.select("tag", spread("_with").alias("tagged"), spread("_rest").alias("untagged"))
 
 
 def close(a: Column, b: Column, relative: float = 1e-9, absolute: float = 0.0) -> Column:

@@ -55,14 +55,16 @@ def windows(rr: DataFrame, beats: DataFrame) -> DataFrame:
     return both.groupBy("session_id").applyInPandas(run, "session_id long, k long, start_s double, end_s double, hr_bpm double, rate_brpm double, amplitude_brpm double")
 
 
-def gated(windows_: DataFrame, segments: DataFrame) -> DataFrame:
-    """Adds excluded_fraction (the part under excluded segments), gate (null, or what a window failed) and brpm (the mean of both channels where it passed)."""
-    # both sides are cut at bucket ends, so the overlaps of a pair add up without being told apart
+def gated(windows_: DataFrame, segments: DataFrame, length: float | None = None) -> DataFrame:
+    """Adds excluded_fraction (the part of ``length`` seconds, or of a window from its start to its end, under excluded segments), gate (null, or what a window failed) and brpm (the mean of both channels where it passed)."""
+    # a pair is taken in the first bucket that both touch, so its overlap is one difference, and a window's are added in order of time
     w = bucketed(windows_, F.col("start_s"), F.col("end_s"), WINDOW_S)
     s = bucketed(segments.select("session_id", F.col("start_s").alias("_s"), F.col("end_s").alias("_e")), F.col("_s"), F.col("_e"), WINDOW_S)
-    inside = F.least("end_s", "_e", (F.col("bucket") + 1) * WINDOW_S) - F.greatest("start_s", "_s", F.col("bucket") * WINDOW_S)
-    over = w.join(s, ["session_id", "bucket"]).groupBy("session_id", "k").agg(F.sum(F.greatest(F.lit(0.0), inside)).alias("_over"))
-    share = F.coalesce(F.col("_over"), F.lit(0.0)) / F.greatest(F.col("end_s") - F.col("start_s"), F.lit(1e-9))
+    inside = F.least("end_s", "_e") - F.greatest("start_s", "_s")
+    pairs = w.join(s, ["session_id", "bucket"]).where(F.col("bucket") == F.floor(F.greatest("start_s", "_s") / WINDOW_S))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("_s", "_e", F.greatest(F.lit(0.0), inside).alias("x")))), lambda p: p["x"])
+    over = pairs.groupBy("session_id", "k").agg(F.aggregate(parts, F.lit(0.0), lambda a, x: a + x).alias("_over"))
+    share = F.coalesce(F.col("_over"), F.lit(0.0)) / (F.greatest(F.col("end_s") - F.col("start_s"), F.lit(1e-9)) if length is None else F.lit(length))
     gate = (
         F.when(F.col("excluded_fraction") > MOST_EXCLUDED, "excluded signal")
         .when(F.col("hr_bpm") > MOST_HR, "heart rate")

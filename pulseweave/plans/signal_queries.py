@@ -57,7 +57,7 @@ def _breaths(spark, sf_dir):
     n = F.count("*") % 9 * 0.5 + 5
     w = series.sliding(rr_series(spark, sf_dir), 60.0, 30.0).groupBy("session_id", F.col("window").alias("k"), F.col("window_start_s").alias("start_s"))
     w = w.agg(F.avg(60000.0 / F.col("rr_ms")).alias("hr_bpm"), F.when(F.count("*") % 13 > 0, n).alias("rate_brpm"), (n + F.max("n") % 11 - 5).alias("amplitude_brpm"))
-    return breathing.gated(w.withColumn("end_s", F.col("start_s") + 60.0), excluded(beats(spark, sf_dir)))
+    return breathing.gated(w.withColumn("end_s", F.col("start_s") + 60.0), excluded(beats(spark, sf_dir)), 60.0)
 
 
 @R.add(_BREATHS + " SELECT session_id, k, round(excluded_fraction, 6) AS excluded_fraction, gate, round(brpm, 6) AS brpm FROM bx")

@@ -43,14 +43,25 @@ def to_html(markdown: Column) -> Column:
     return F.regexp_replace(s, r"(?m)^## ([^\n]*)$", "<h3>$1</h3>")
 
 
+def half_away(value: Column, places: int) -> Column:
+    """A double rounded in binary, halves away from zero; what a negative one rounds to keeps its sign, also at zero."""
+    scale = float(10**places)
+    return F.signum(value) * F.round(F.abs(value) * scale) / scale
+
+
 def signed(value: Column, places: int = 1) -> Column:
     """A difference with its sign, halves away from zero; a dash where there is none."""
-    return F.when(value.isNull(), "—").otherwise(F.format_string(f"%+.{places}f", F.round(value, places)))
+    return F.when(value.isNull(), "—").otherwise(F.format_string(f"%+.{places}f", half_away(value, places)))
+
+
+def fixed(value: Column, places: int = 1) -> Column:
+    """So many places, by the exact value of the double as in C: 0.95 lies below its name and gives 0.9."""
+    return F.call_function("format_number", value, F.lit("0." + "0" * places))
 
 
 def number(value: Column) -> Column:
     """Two places under 1000, none from there on."""
-    return F.when(value.isNull(), "—").when(F.abs(value) < 1000, F.format_string("%.2f", F.round(value, 2))).otherwise(F.format_string("%.0f", F.round(value)))
+    return F.when(value.isNull(), "—").when(F.abs(value) < 1000, F.format_string("%.2f", half_away(value, 2))).otherwise(F.format_string("%.0f", half_away(value, 0)))
 
 
 def duration(seconds: Column) -> Column:

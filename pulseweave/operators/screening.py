@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import fixed, half_away
 from .series import by_session, islands, true_runs
 
 # Sustained-rate limits in bpm.
@@ -26,8 +27,8 @@ def sustained(windows: DataFrame, kind: str, limit: Column | float, width: float
     spans = merge_spans(across, F.max("hr_bpm").alias("worst") if high else F.min("hr_bpm").alias("worst"), F.count("*").alias("n"))
     worst = F.max("worst") if high else F.min("worst")
     return spans.groupBy("session_id").agg(
-        F.lit(kind).alias("kind"), F.round(worst, 1).alias("worst_bpm"), F.sum("n").alias("n_windows"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_s", "end_s"))), lambda s: F.format_string("%.1f-%.1f", s["start_s"], s["end_s"])), ",").alias("spans"),
+        F.lit(kind).alias("kind"), half_away(worst, 1).alias("worst_bpm"), F.sum("n").alias("n_windows"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_s", "end_s"))), lambda s: F.concat(fixed(s["start_s"]), F.lit("-"), fixed(s["end_s"]))), ",").alias("spans"),
     )
 
 

@@ -1,8 +1,9 @@
 """From the samples of recordings to variability: filters, beats, quality, corrected intervals, metrics.
 
 A recording is bounded (a night has some four million samples), so filters run
-in one grouped function for each session; all else is joins and windows over
-its small tables.
+in one grouped function for each session, which gives the figures of its
+windows and its peaks; all else is joins and windows over these small tables.
+No sample is shuffled but for the grouping itself.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +44,47 @@ def conditioned(samples: DataFrame, rate: float) -> DataFrame:
     return samples.select("session_id", "i", "t_s", "x").groupBy("session_id").applyInPandas(run, f"{cols}, clean double, wander double, sqi double, peak boolean, engine string, reason string")
 
 
+def _signal(d: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Times and values of one recording in order, from rows or blocks of samples."""
+    place = d["i"].to_numpy()
+    if len(place) > 1 and (np.diff(place) < 0).any():
+        d = d.take(np.argsort(place, kind="stable"))
+    values = lambda c: c.combine_chunks().flatten() if pa.types.is_list(c.type) or pa.types.is_large_list(c.type) else c
+    return values(d["t_s"]).to_numpy(zero_copy_only=False).astype(float), values(d["x"]).to_numpy(zero_copy_only=False).astype(float)
+
+
+def summaries(samples: DataFrame, rate: float) -> DataFrame:
+    """A row for each quality window of recordings: its figures (see ``quality.judged``), its peaks (t_s, amplitude), and the recording's detector and why others failed.
+
+    ``samples`` has session_id, i, t_s and x in mV, as rows or as blocks: then t_s
+    and x are arrays of samples in order, and i is the first one's number.
+    """
+    peak = pa.list_(pa.struct([("t_s", pa.float64()), ("amplitude", pa.float64())]))
+    kinds = {"session_id": pa.int64(), "k": pa.int64(), "start_s": pa.float64(), "end_s": pa.float64(), "n": pa.int64(), "_gap": pa.bool_(), "_clip": pa.bool_(), "_p99": pa.float64(), "_sd": pa.float64(), "_sqi": pa.float64(), "_wander": pa.float64()}
+
+    def run(d: pa.Table) -> pa.Table:
+        t, x = _signal(d)
+        clean, peaks, engine, reason = K.detect(x, rate)
+        wander = K.zero_phase(K.butterworth(2, WANDER_HZ, rate, "low"), x) if len(x) > 1 else np.zeros(len(x))
+        f = K.window_figures(t, x, K.signal_index(clean, peaks, rate), wander, quality.WINDOW_S, quality.RAIL_MV, quality.RAIL_SHARE, quality.CLIP_RUN, quality.GAP_MEDIANS)
+        count, of = len(f["k"]), f["of"][peaks]
+        at = peaks[np.argsort(of, kind="stable")]
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=count))])
+        inside = pa.StructArray.from_arrays([pa.array(t[at]), pa.array(clean[at].astype(float))], ["t_s", "amplitude"])
+        cols = [pa.array([d["session_id"][0].as_py()] * count, kinds["session_id"])]
+        cols += [pa.array(f[c], kind, from_pandas=True) for c, kind in kinds.items() if c != "session_id"]
+        cols += [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), inside).cast(peak), pa.array([engine] * count, pa.string()), pa.array([reason] * count, pa.string())]
+        return pa.Table.from_arrays(cols, names=[*kinds, "peaks", "engine", "reason"])
+
+    cols = "session_id long, k long, start_s double, end_s double, n long, _gap boolean, _clip boolean, _p99 double, _sd double, _sqi double, _wander double"
+    return samples.select("session_id", "i", "t_s", "x").groupBy("session_id").applyInArrow(run, f"{cols}, peaks array<struct<t_s:double,amplitude:double>>, engine string, reason string")
+
+
+def quality_windows(samples: DataFrame, rate: float) -> DataFrame:
+    """``quality.windows`` of recordings (rows or blocks of samples)."""
+    return quality.judged(summaries(samples, rate))
+
+
 def gravity(axes: DataFrame, rate: float) -> DataFrame:
     """Axes (session_id, i, t_s, x, y, z in mg) with their low-passed parts gx, gy, gz and the band-passed magnitude, movement."""
 
@@ -104,21 +147,23 @@ def correction_summary(classified: DataFrame) -> DataFrame:
 
 
 def process(samples: DataFrame, rate: float) -> Recording:
-    """The tables of recordings (session_id, i, t_s, x).  Filtered samples and corrected beats are written once, for all that reads them."""
-    d = written(conditioned(samples, rate), "conditioned")
-    windows = quality.windows(d)
+    """The tables of recordings (session_id, i, t_s, x, as rows or blocks).  The figures of windows and corrected beats are written once, for all that reads them."""
+    d = written(summaries(samples, rate), "windows")
+    windows = quality.judged(d)
     segments = quality.merge_excluded(windows)
-    order = series.by_session("i")
-    beats = d.where("peak").select("session_id", (F.row_number().over(order) - 1).cast("long").alias("beat"), "t_s", F.col("clean").alias("amplitude"))
+    peaks = d.select("session_id", "k", F.posexplode("peaks").alias("place", "peak"))
+    order = series.by_session("k", "place")
+    beats = peaks.select("session_id", (F.row_number().over(order) - 1).cast("long").alias("beat"), "peak.t_s", "peak.amplitude")
     both = written(correction(beats), "beats")
     corrected = both.where("kind = 'corrected'").select("session_id", "beat", "t_s")
     return Recording(windows, segments, beats, corrected, series.build_rr(corrected, segments), correction_summary(both.where("kind = 'raw'")), detection(d))
 
 
-def detection(conditioned_: DataFrame) -> DataFrame:
-    """session_id, status (ok, fallback or failed), engine, reason, n_peaks: which detector served a recording, and why not an earlier one."""
+def detection(found: DataFrame) -> DataFrame:
+    """From ``summaries`` or ``conditioned``: session_id, status (ok, fallback or failed), engine, reason, n_peaks: which detector served a recording, and why not an earlier one."""
     status = F.when(F.col("engine").isNull(), "failed").when(F.col("reason").isNotNull(), "fallback").otherwise("ok")
-    found = conditioned_.groupBy("session_id").agg(F.max("engine").alias("engine"), F.max("reason").alias("reason"), F.count_if("peak").alias("n_peaks"))
+    n = F.sum(F.size("peaks")) if "peaks" in found.columns else F.count_if("peak")
+    found = found.groupBy("session_id").agg(F.max("engine").alias("engine"), F.max("reason").alias("reason"), n.alias("n_peaks"))
     return found.select("session_id", status.alias("status"), "engine", "reason", "n_peaks")
 
 

@@ -50,14 +50,29 @@ def raw_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 TRACE_HZ = 40.0
 
 
+#: Half the width of a beat in a stand-in trace, in units of 1e-5 s.
+REACH = 6000
+
+
 def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Samples (session_id, i, t_s, x) of the beats: each is a triangle of 120 ms, the higher the greater its event's value."""
-    b = beats(spark, sf_dir).select("session_id", "t_s", (0.6 + F.coalesce("value", F.lit(0.0)) / 1000.0).alias("a"))
-    first, last = F.ceil((F.col("t_s") - 0.06) * TRACE_HZ), F.floor((F.col("t_s") + 0.06) * TRACE_HZ)
-    near = b.withColumn("i", F.explode(F.sequence(F.greatest(F.lit(0).cast("long"), first), last)))
-    x = near.groupBy("session_id", "i").agg(F.max(F.col("a") * (1 - F.abs(F.col("i") / TRACE_HZ - F.col("t_s")) / 0.06)).alias("x"))
-    grid = b.groupBy("session_id").agg(F.ceil((F.max("t_s") + 0.5) * TRACE_HZ).alias("n")).select("session_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n"))).alias("i"))
-    return grid.join(x, ["session_id", "i"], "left").select("session_id", "i", (F.col("i") / TRACE_HZ).alias("t_s"), F.coalesce("x", F.lit(0.0)).alias("x"))
+    """Samples of the beats in blocks (session_id, i of the first, t_s and x as arrays): each beat is a triangle of 120 ms, the higher the greater its event's value.
+
+    A block goes from a beat to the next, the first one from 0.  Beats that
+    reach into it are found by windows, so only events are shuffled.
+    """
+    b = beats(spark, sf_dir).select("session_id", "t_s", (0.6 + F.coalesce("value", F.lit(0.0)) / 1000.0).alias("a"), F.round(F.col("t_s") * 1e5).cast("long").alias("at"))
+    w = Window.partitionBy("session_id").orderBy("at")
+    begin = F.when(F.row_number().over(w) == 1, F.lit(0)).otherwise(F.greatest(F.lit(0), F.ceil(F.col("t_s") * TRACE_HZ))).cast("long")
+    b = b.withColumns({"i": begin, "near": F.collect_list(F.struct("t_s", "a")).over(w.rangeBetween(-REACH - 1, REACH + 1))})
+    end = F.coalesce(F.lead("i").over(w), F.ceil((F.col("t_s") + 0.5) * TRACE_HZ).cast("long") + 1)
+    b = b.select("session_id", "i", end.alias("end"), F.concat("near", F.coalesce(F.lead("near").over(w), F.array().cast("array<struct<t_s:double,a:double>>"))).alias("near")).where("i < end")
+
+    def value(t):
+        heights = F.transform("near", lambda n: F.when(F.abs(t - n["t_s"]) <= REACH / 1e5, n["a"] * (1 - F.abs(t - n["t_s"]) / (REACH / 1e5))))
+        return F.coalesce(F.array_max(heights), F.lit(0.0))
+
+    t = F.transform(F.sequence(F.col("i"), F.col("end") - 1), lambda i: i / TRACE_HZ)
+    return b.withColumn("t_s", t).select("session_id", "i", "t_s", F.transform("t_s", value).alias("x"))
 
 
 BEATS_SQL = """

@@ -194,12 +194,12 @@ def recording_variability(spark, sf_dir):
 
 @R.add()
 def recording_quality(spark, sf_dir):
-    return recording.process(traces(spark, sf_dir), TRACE_HZ).windows
+    return recording.quality_windows(traces(spark, sf_dir), TRACE_HZ)
 
 
 @R.add()
 def detector_chain(spark, sf_dir):
-    return recording.detection(recording.conditioned(traces(spark, sf_dir), TRACE_HZ))
+    return recording.detection(recording.summaries(traces(spark, sf_dir), TRACE_HZ))
 
 
 @R.add()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pulseweave.functions import kernels as K
 from pulseweave.operators import quality, recording
-from pulseweave.plans import adapter, signal_queries
+from pulseweave.plans import adapter, relational, signal_queries
 
 
 def test_rolling_quantiles_sort_all_windows_at_once():
@@ -81,3 +81,16 @@ def test_summaries_judge_windows_as_samples_do(spark):
         assert sorted(map(tuple, recording.detection(d).collect())) == status
         peaks = sorted((r.session_id, p.t_s, p.amplitude) for r in d.collect() for p in r.peaks)
         assert peaks == sorted((r.session_id, r.t_s, r.clean) for r in one.where("peak").collect())
+
+
+def test_observations_have_partitions_of_so_many_rows_at_most(spark, tmp_path):
+    rows = 24 * relational.ROWS_A_PART
+    l = spark.range(0, rows, 1, 4).select(F.floor(F.col("id") / 4).alias("l_orderkey"), F.lit(2.0).alias("l_quantity"), F.lit(3.0).alias("l_extendedprice"), F.lit(0.1).alias("l_discount"))
+    l.coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(rows // 4).withColumnRenamed("id", "o_orderkey").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "134217728")  # one split
+        o = relational._observations(spark, str(tmp_path))
+        assert o.rdd.getNumPartitions() == 24 and o.count() == rows // 4 and o.agg(F.sum("ectopy_count")).first()[0] == rows
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")

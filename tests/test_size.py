@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from pulseweave.functions import kernels as K
-from pulseweave.operators import quality, recording
+from pulseweave.operators import quality, recording, stats
 from pulseweave.plans import adapter, relational, signal_queries
 
 
@@ -94,3 +94,24 @@ def test_observations_have_partitions_of_so_many_rows_at_most(spark, tmp_path):
         assert o.rdd.getNumPartitions() == 24 and o.count() == rows // 4 and o.agg(F.sum("ectopy_count")).first()[0] == rows
     finally:
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_count_models_of_cells_equal_those_of_rows(spark):
+    g, rows, tags = np.random.default_rng(3), [], []
+    for i in range(1600):
+        mine, key = [t for t in ("x", "y") if g.random() < 0.3], ["a", "b", None][i % 3]
+        rows.append((i, None if i == 5 else i // 7 % 2, int(g.negative_binomial(2, 0.4)) * (2 if "x" in mine else 1), float(g.integers(2, 4)), float(i % 5 * 3), key))
+        tags += [(i // 7 % 2, i, t) for t in mine + mine[:1]]
+    o = spark.createDataFrame(rows, "session_id long, person long, ectopy_count long, hours double, hour double, comparison_key string")
+    t = spark.createDataFrame([*tags, (0, 10**6, "nobody")], "person long, session_id long, tag string")
+    cells = stats.arm_cells(o, t, ["ectopy_count", "hours", "hour", "comparison_key"], ["person"])
+    plain = stats.arms(o, t, ["person"])
+    per = lambda d, n: sorted(tuple(map(str, r)) for r in d.groupBy("person", "tag", "exposed").agg(n).collect())
+    assert per(cells, F.sum("weight")) == per(plain, F.count("*"))
+    assert cells.groupBy("person", "tag").count().agg(F.max("count")).first()[0] < 500  # of 800 observations
+    one, two = ({(r.person, r.tag): r for r in stats.effects(a, ["person", "tag"]).collect()} for a in (plain, cells))
+    assert set(one) == set(two) and {r.status for r in one.values()} == {"ok", "insufficient"}
+    for k, r in one.items():
+        assert r.status == two[k].status
+        for c in ("estimate", "ci_low", "ci_high"):
+            assert (r[c] is None and two[k][c] is None) or abs(r[c] - two[k][c]) < 1e-6 * r[c]

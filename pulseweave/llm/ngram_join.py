@@ -23,12 +23,16 @@ The lists of nodes by prefix shingle are used up in two steps:
    are split into bands by set size (the length filter) and blocks of bounded
    size, and pairs of blocks are compared inside tasks: only pairs with
    different labels, only at the home of their first common prefix shingle.
-   Blocks of a band's commonest label are not held against each other.  A
-   task returns only the links that join labels.
+   Blocks of a band's commonest label are not held against each other.  At
+   first only signatures are there, for the suffix filter; whole sets follow
+   for the nodes that have a pair left.  A task returns only the links that
+   join labels.
 
 So every pair that shares a prefix shingle either has one label or was
 compared, and no step makes rows for the pairs of a group.  The work of step 2
-grows with the nodes of a long list that the pivots did not join.
+grows with the nodes of a long list that the pivots did not join; these grow
+faster than the texts, since lists become long, but most of them meet no node
+that is near.
 
 Sets are told apart by 128-bit digests and their sizes, shingles by 64-bit
 hashes.  A null text, or one without words, has an empty set and links
@@ -270,6 +274,27 @@ def _bits(rows: np.ndarray, ids: np.ndarray, shape: tuple[int, int]) -> np.ndarr
     return out
 
 
+def _folded(signatures: list[bytes]) -> np.ndarray:
+    """Signatures as rows of words, folded to the narrowest of them."""
+    words = min(map(len, signatures)) // 8
+    return np.stack([np.bitwise_xor.reduce(np.frombuffer(v, np.uint64).reshape(-1, words), axis=0) for v in signatures])
+
+
+def undecided(n: np.ndarray, core: np.ndarray, block: np.ndarray, label: np.ndarray, signatures: list[bytes]) -> np.ndarray:
+    """The nodes of two blocks (of one, if there is only one) that have a pair to compare: neither its sizes nor its signatures rule it out."""
+    one, bits, out = len(np.unique(block)) == 1, _folded(signatures), np.zeros(len(n), dtype=bool)
+    for i in range(len(n)):
+        j = np.arange(i + 1, len(n))
+        j = j[(core[j] | core[i]) & (label[j] != label[i]) & (np.minimum(n[j], n[i]) * DENOMINATOR >= np.maximum(n[j], n[i]) * NUMERATOR)]
+        if not one:
+            j = j[block[j] != block[i]]
+        differ = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)
+        j = j[(NUMERATOR + DENOMINATOR) * differ <= (DENOMINATOR - NUMERATOR) * (n[j] + n[i])]
+        out[j] = True
+        out[i] |= len(j) > 0
+    return np.flatnonzero(out)
+
+
 def compare_blocks(sets: list[np.ndarray], core: np.ndarray, block: np.ndarray, label: np.ndarray, home_tokens: np.ndarray, rank: np.ndarray) -> list[tuple[int, int]]:
     """Links between nodes of two blocks (of one, if there is only one) that join different labels, as places in the lists.
 
@@ -370,7 +395,7 @@ def _place(homes: DataFrame, scratch: Scratch) -> DataFrame:
     last = F.col("bulks") + F.col("rests") - 1
     other = F.explode(F.when(in_bulk, F.sequence("bulks", last)).otherwise(F.sequence(F.lit(0), last)))
     placed = placed.withColumn("other", other)
-    return placed.select("home", "band", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "node", "label", "core", "tokens")
+    return placed.select("home", "band", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "node", "label", "n", "core", "tokens")
 
 
 @dataclass
@@ -406,9 +431,9 @@ def _join(docs: DataFrame, scratch: Scratch, width: int) -> Joined:
     classes = scratch.save(members.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
     sets = rows.where("first").select(F.col("own").alias("node"), "n", "signature", "shingles").join(others.select(F.col("own").alias("node")), "node", "left_anti")
 
-    def of(nodes: DataFrame, name: str) -> DataFrame:
-        """node, shingles of some nodes."""
-        return scratch.save(sets.select("node", "shingles").join(small(nodes, 8), "node", "left_semi"), name)
+    def of(nodes: DataFrame, what: str, name: str) -> DataFrame:
+        """node and its shingles or signature, of some nodes."""
+        return scratch.save(sets.select("node", what).join(small(nodes, 8), "node", "left_semi"), name)
 
     # prefix shingles that several nodes share
     posts = prefixes(sets, rank)
@@ -428,7 +453,7 @@ def _join(docs: DataFrame, scratch: Scratch, width: int) -> Joined:
     asked = scratch.save(_ordered(found).distinct(), "pairs")
     near = scratch.save(suffix_filter(asked, sets.select("node", "n", "signature")), "near")
     wanted = scratch.save(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
-    some = of(wanted, "sets")
+    some = of(wanted, "shingles", "sets")
     links = scratch.save(verify(near, some), "links")
     scratch.drop(some)
     scratch.drop(asked, near)
@@ -436,8 +461,19 @@ def _join(docs: DataFrame, scratch: Scratch, width: int) -> Joined:
 
     # step 2: long lists of several labels, in blocks
     homes = _homes(long, labels, scratch)
-    placed = _place(homes, scratch)
-    placed = placed.join(of(scratch.save(homes.select("node").distinct(), "wanted"), "sets"), "node")
+    placed, block = _place(homes, scratch), ["home", "band", "p", "q"]
+
+    def sift(key: tuple, group: pa.Table) -> pa.Table:
+        label, keep = np.asarray(group.column("label")), np.empty(0, np.int64)
+        if (label != label[0]).any():
+            keep = undecided(np.asarray(group.column("n")), np.asarray(group.column("core").to_pylist()), np.asarray(group.column("block")), label, group.column("signature").to_pylist())
+        return group.drop_columns(["n", "signature"]).take(_long(keep))
+
+    # signatures go to every pair of blocks, whole sets only where a pair of nodes is left
+    signed = placed.join(of(scratch.save(homes.select("node").distinct(), "wanted"), "signature", "signatures"), "node").select(*placed.columns, "signature")
+    left = placed.drop("n").schema
+    close = scratch.save(signed.groupBy(*block).applyInArrow(sift, left), "close")
+    placed = close.join(of(scratch.save(close.select("node").distinct(), "wanted"), "shingles", "sets"), "node")
     shared = docs.sparkSession.sparkContext.broadcast(rank)
 
     def compare(key: tuple, group: pa.Table) -> pa.Table:
@@ -452,7 +488,7 @@ def _join(docs: DataFrame, scratch: Scratch, width: int) -> Joined:
         a, b = np.array(pairs, dtype=np.int64).reshape(-1, 2).T
         return pa.table([_long(node[a]), _long(node[b]), _long(label[a]), _long(label[b])], ["a", "b", "la", "lb"])
 
-    more = scratch.save(placed.groupBy("home", "band", "p", "q").applyInArrow(compare, "a long, b long, la long, lb long"), "more")
+    more = scratch.save(placed.groupBy(*block).applyInArrow(compare, "a long, b long, la long, lb long"), "more")
     joined = connected(more.select("la", "lb"), scratch, "la", "lb").toDF("label", "joined")
 
     # the smallest document of each component, for nodes with copies or links

@@ -15,7 +15,7 @@ from pulseweave.llm.textgrams import shingle_sets
 from pulseweave.session import shared_dir
 
 from .test_table_operators import sample_vectors, vectors
-from .test_text_operators import EN, shingles, texts_of
+from .test_text_operators import EN, brute_components, shingles, texts_of
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -123,6 +123,44 @@ def test_blocks_join_what_brute_force_joins():
     assert not ngram_join.compare_blocks(sets, core, ones, label, every[:0], rank)
 
 
+def test_undecided_nodes_hold_every_near_pair():
+    r, g = random.Random(8), np.random.default_rng(8)
+    for n in (3, 40, 300, 5000):
+        base, sets = g.integers(0, 1 << 62, n, dtype=np.uint64), []
+        for k in range(40):
+            x = base.copy() if k < 20 else g.integers(0, 1 << 62, n, dtype=np.uint64)
+            x[: r.randint(0, n // 6)] += np.uint64(k + 1)
+            sets.append(np.unique(x[: r.randint(n - n // 7, n)]))
+        sizes, signs = np.array([len(s) for s in sets]), [ngram_join.signature(s) for s in sets]
+        label, core, block = np.arange(40) % 30, np.arange(40) % 3 > 0, np.arange(40) % 2
+        for b in (block, block * 0):
+            near = {x for i in range(40) for j in range(i) if label[i] != label[j] and (core[i] or core[j]) and (b[i] != b[j] or not b.any()) and 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j])) for x in (i, j)}
+            got = set(ngram_join.undecided(sizes, core, b, label, signs).tolist())
+            assert near and near <= got and (n < 40 or got <= set(range(20)))
+        assert not len(ngram_join.undecided(sizes, core, block, label * 0, signs)) and not len(ngram_join.undecided(sizes, core & False, block, label, signs))
+
+
+def test_whole_sets_go_only_to_blocks_with_a_near_pair(spark, monkeypatch):
+    r, words = random.Random(9), [f"{a}{b}" for a in EN for b in EN]
+    passages = [" ".join(r.choice(words) for _ in range(40)) for _ in range(24)]
+    # long lists of texts that share passages and are not near, and three that are
+    rows = [(i, " ".join(r.sample(passages, 8))) for i in range(70)]
+    rows += [(100 + k, " ".join([*rows[0][1].split()[: 320 - 2 * k], *[f"x{k}y{m}" for m in range(2 * k)]])) for k in (1, 2, 3)]
+    saved, save = [], ngram_join.Scratch.save
+
+    def noted(self, df, name):
+        out = save(self, df, name)
+        saved.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(ngram_join.Scratch, "save", noted)
+    monkeypatch.setattr(ngram_join, "PIVOTS", 0)
+    got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).documents.collect()
+    _, want = brute_components(rows)
+    assert {x.doc_id: x.component_id for x in got} == want and want[103] == 0
+    assert max(n for name, n in saved if name == "homes") > 70 and [n for name, n in saved if name == "sets"][-1] < 10
+
+
 def test_top_k_over_a_grid_with_bars(spark, monkeypatch):
     v = vectors(spark, sample_vectors() + sample_vectors()[:20])  # repeated rows count each
     asked = v.where("vec_id % 20 = 0")

@@ -62,13 +62,17 @@ def copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     groups = groups.groupBy(F.col("doc_id").alias(key)).agg(F.min("component_id").alias("component"), F.count("*").alias("times"), F.max("n_shingles").alias("n"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(key).alias("row"), "times", "n")).alias("first")
     kept = groups.join(keyed.select(key, "doc_id").distinct(), key).groupBy("component").agg(first).select(F.col("first.row").alias(key), "first.times", "first.n")
-    kept = Scratch(spark, "copies").save(kept, "kept")
+    scratch = Scratch(spark, "copies")
+    kept = scratch.save(kept, "kept")
     once = (F.col("times") == 1) | (F.col("n") == 0)  # texts without words are in no group
-    one = keyed.join(kept.where(once), key, "left_semi").select(*cols)
-    more = kept.where(~once).select(key)
-    if more.count() * 16 <= ngram_join.BROADCAST_BYTES:  # few rows repeat in full as a rule; else the texts are shuffled once more
-        more = F.broadcast(more)
-    return one.union(keyed.join(more, key, "left_semi").select(*cols).dropDuplicates())
+
+    def small(rows: DataFrame) -> DataFrame:
+        """Few rows go, or repeat in full, as a rule; else the texts are shuffled once more."""
+        return F.broadcast(rows) if rows.count() * 16 <= ngram_join.BROADCAST_BYTES else rows
+
+    gone = scratch.save(groups.select(key).join(kept.where(once), key, "left_anti"), "gone")
+    one = keyed.join(small(gone), key, "left_anti").select(*cols)
+    return one.union(keyed.join(small(kept.where(~once).select(key)), key, "left_semi").select(*cols).dropDuplicates())
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

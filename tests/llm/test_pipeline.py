@@ -48,6 +48,20 @@ def test_copies_keep_one_row_of_a_group(spark):
     assert sorted(got, key=str) == sorted(exp, key=str)
 
 
+def test_copies_are_taken_out_without_a_shuffle_of_the_texts(spark):
+    a, b, c, d = texts_of([f"{x}{y}" for x in EN for y in EN], 4, 22)
+    docs = spark.createDataFrame([(1, a), (2, b), (3, c), (4, d), (5, a), (6, b), (2, b), (7, None)], "doc_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        out = corpus_pipeline.copies_stage(spark, docs, "")
+        plan = out._jdf.queryExecution().executedPlan().toString()  # noqa: SLF001
+        assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 2
+        assert sorted(out.collect(), key=str) == sorted([(1, a), (2, b), (3, c), (4, d), (7, None)], key=str)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_stages_without_labels_keep_clean_documents(spark, tmp_path):
     texts = texts_of(EN, 6, 3)
     docs = spark.createDataFrame([*((i, t, None) for i, t in enumerate(texts)), (90, None, None), (91, "12 34", None)], "doc_id long, text string, lang string")

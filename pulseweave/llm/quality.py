@@ -42,6 +42,8 @@ NEIGHBOURS = 31
 #: Repetition n-grams have up to so many words, and so many features.
 REPEAT_ORDER = 8
 REPEATS = 1 << (REPEAT_ORDER + 1)
+#: Labelled rows that are dense at a time while the space is fitted.
+BLOCK_ROWS = 256
 
 
 @dataclass
@@ -96,14 +98,40 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
-def features(texts: list[str], idf: np.ndarray) -> np.ndarray:
-    """TF-IDF weights, a row of length 1 for each text."""
+def weights(texts: list[str], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, feature, TF-IDF weight), each row of length 1."""
     rows, cols, counts = grams(texts, len(idf) - REPEATS)
+    return rows, cols, tf_idf(rows, counts, idf[cols], len(texts)).astype(np.float32)
+
+
+def features(texts: list[str], idf: np.ndarray) -> np.ndarray:
+    """TF-IDF weights, a dense row of length 1 for each text."""
+    rows, cols, values = weights(texts, idf)
     out = np.zeros((len(texts), len(idf)), dtype=np.float32)
-    out[rows, cols] = tf_idf(rows, counts, idf[cols], len(texts))
+    out[rows, cols] = values
     return out
 
 
+@dataclass
+class SparseRows:
+    """Rows of (features, weights); to iterate gives blocks of them as dense matrices, one at a time."""
+
+    rows: list[list[np.ndarray]]
+    width: int
+
+    @property
+    def shape(self) -> tuple[int, int]:
+        return len(self.rows), self.width
+
+    def __iter__(self) -> Iterator[np.ndarray]:
+        for a in range(0, len(self.rows), BLOCK_ROWS):
+            part = self.rows[a : a + BLOCK_ROWS]
+            block = np.zeros((len(part), self.width), dtype=np.float32)
+            for to, (cols, values) in zip(block, part, strict=True):
+                to[cols] = values
+            yield block
+
+
 def project(texts: list[str], idf: np.ndarray, space: np.ndarray) -> np.ndarray:
     """Latent vectors of length 1; zero where a text is empty."""
     out = unit(features(texts, idf) @ space)
@@ -111,13 +139,13 @@ def project(texts: list[str], idf: np.ndarray, space: np.ndarray) -> np.ndarray:
     return out
 
 
-def latent_space(x: np.ndarray, rank: int, seed: int = 7) -> np.ndarray:
+def latent_space(x: np.ndarray | SparseRows, rank: int, seed: int = 7) -> np.ndarray:
     """Right singular vectors of the rows of ``x`` by randomised subspace iteration."""
-    rank = max(1, min(rank, *x.shape))
+    blocks, rank = x if isinstance(x, SparseRows) else [x], max(1, min(rank, *x.shape))
     q = np.random.default_rng(seed).standard_normal((x.shape[1], min(rank + 16, *x.shape))).astype(np.float32)
     for _ in range(4):
-        q, _ = np.linalg.qr(x.T @ (x @ q))
-    _, _, v = np.linalg.svd(x @ q, full_matrices=False)
+        q, _ = np.linalg.qr(sum(b.T @ (b @ q) for b in blocks))
+    _, _, v = np.linalg.svd(np.concatenate([b @ q for b in blocks]), full_matrices=False)
     return (q @ v.T)[:, :rank].astype(np.float32)
 
 
@@ -138,19 +166,20 @@ def _train(docs: DataFrame, labels: DataFrame, dims: int, rank: int, sample: int
     known = known.withColumn("k", F.xxhash64("text"))
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # texts are let go as soon as their features are there
-        got, parts = [], []
+        # texts are let go as soon as their features are there; these stay sparse, since all rows at once take hundreds of MB beside the heap
+        got = []
         for batch in batches:
             keys, marks = batch.column("k").to_pylist(), batch.column("label").to_pylist()
-            for a, b, some in text_batches(batch.column("text")):
-                got += zip(keys[a:b], marks[a:b], strict=True)
-                parts.append(features(some, idf))
+            for a, _, some in text_batches(batch.column("text")):
+                r, c, w = weights(some, idf)
+                ends = np.searchsorted(r, np.arange(len(some) + 1))
+                got += [(keys[a + i], marks[a + i], c[ends[i] : ends[i + 1]].astype(np.int32), w[ends[i] : ends[i + 1]].copy()) for i in range(len(some))]
         if got:
-            order = sorted(range(len(got)), key=got.__getitem__)
-            x = np.concatenate(parts)[order]
+            got.sort(key=lambda x: x[:2])
+            x = SparseRows([row for _, _, *row in got], len(idf))
             space = latent_space(x, rank)
-            z = unit(x @ space)
-            yield pa.RecordBatch.from_arrays([pa.array([space.astype("<f4").tobytes()]), pa.array([z.astype("<f4").tobytes()]), pa.array([[got[i][1] for i in order]], pa.list_(pa.int32())), pa.array([space.shape[1]], pa.int32())], ["space", "vectors", "labels", "rank"])
+            z = unit(np.concatenate([b @ space for b in x]))
+            yield pa.RecordBatch.from_arrays([pa.array([space.astype("<f4").tobytes()]), pa.array([z.astype("<f4").tobytes()]), pa.array([[y for _, y, *_ in got]], pa.list_(pa.int32())), pa.array([space.shape[1]], pa.int32())], ["space", "vectors", "labels", "rank"])
 
     got = known.repartition(1).mapInArrow(fit, "space binary, vectors binary, labels array<int>, rank int").first()
     if got is None:

@@ -3,6 +3,7 @@
 import math
 import os
 import random
+import tracemalloc
 from collections import Counter
 from types import SimpleNamespace
 
@@ -68,6 +69,31 @@ def test_votes_equal_plain_cosines():
     assert got[-1] == got[-2]
 
 
+def test_labelled_rows_are_never_dense_all_at_once(spark, monkeypatch):
+    rows = list(enumerate(texts_of(EN, 900, 5)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
+    peaks = []
+
+    def here(self, f, schema):
+        batches = self.toArrow().to_batches()
+        tracemalloc.start()
+        out = pa.Table.from_batches(f(iter(batches)))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        return spark.createDataFrame(out)
+
+    monkeypatch.setattr(type(docs), "mapInArrow", here)
+    model = quality.train(docs, labels)
+    assert len(model.labels) == 900 and max(peaks) < 900 * len(model.idf) * 4
+
+    # the space is that of the dense rows; which sign a vector has is open
+    x = quality.features([t for _, t in rows], model.idf)
+    sparse = quality.SparseRows([(np.flatnonzero(row), row[row != 0]) for row in x], x.shape[1])
+    a, b = (quality.unit(x @ quality.latent_space(m, 8)) for m in (x, sparse))
+    assert np.allclose(a @ a.T, b @ b.T, atol=1e-3) and all(np.array_equal(p, q) for p, q in zip(np.split(x, [256, 512, 768]), sparse, strict=True))
+
+
 def test_very_long_texts_have_whole_sets():
     r = random.Random(2)
     long = " ".join(f"W{r.randint(0, 30000)}" for _ in range(110_000))  # over 512 kB

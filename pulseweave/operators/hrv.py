@@ -46,8 +46,8 @@ def per_minute_rmssd(rr: DataFrame, width: float = 60.0, least: int = 10) -> Dat
 
 
 def sustained_hr(rr: DataFrame, width: float = 45.0, step: float = 5.0, least: int = 10) -> DataFrame:
-    """Mean HR in sliding windows anchored at the first beat."""
-    return sliding(rr, width, step).groupBy("session_id", "window", "window_start_s").agg((60000.0 / F.avg("rr_ms")).alias("hr_bpm"), F.count("*").alias("n")).where(F.col("n") >= least)
+    """Mean HR in sliding windows anchored at the first beat; intervals are added up in their order, on which a mean at a limit depends."""
+    return sliding(rr, width, step, order="n").groupBy("session_id", "window", "window_start_s").agg((60000.0 / F.avg("rr_ms")).alias("hr_bpm"), F.count("*").alias("n")).where(F.col("n") >= least)
 
 
 def lowest_sustained_hr(rr: DataFrame) -> DataFrame:

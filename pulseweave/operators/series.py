@@ -118,14 +118,16 @@ def anchored(df: DataFrame, width: float, name: str = "window", t: str = "t_s")
     return df.withColumn("_t0", t0).withColumn(name, F.floor((F.col(t) - F.col("_t0")) / width)).withColumn("window_start_s", F.col("_t0") + F.col(name) * width).drop("_t0")
 
 
-def sliding(df: DataFrame, width: float, step: float, t: str = "t_s", over: float | None = None) -> DataFrame:
+def sliding(df: DataFrame, width: float, step: float, t: str = "t_s", over: float | None = None, order: str | None = None) -> DataFrame:
     """Rows in each half-open window [start, start + width) that holds them; starts are t0 + k * step.
 
     The last start is at most t1 - width + ``over`` (``step`` by default).  Each
-    row is repeated for its windows, so one grouping serves all windows.
+    row is repeated for its windows, so one grouping serves all windows.  Rows
+    of a session come sorted by ``order``, if given; a grouping by session and
+    window needs no shuffle and adds them up so, to the last bit.
     """
     over = step if over is None else over
-    w = Window.partitionBy("session_id")
+    w = Window.partitionBy("session_id") if order is None else by_session(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     d = df.withColumns({"_t0": F.min(t).over(w), "_t1": F.max(t).over(w)}).withColumn("_x", F.col(t) - F.col("_t0"))
     low = F.greatest(F.lit(0), F.floor((F.col("_x") - width) / step) + 1)
     high = F.floor(F.col("_x") / step)
